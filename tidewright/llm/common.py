@@ -13,6 +13,8 @@ import shutil
 import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -96,7 +98,26 @@ def crc32_of(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once."""
+    global _shipped
+    if _shipped == spark.sparkContext.applicationId:
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tidewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/tidewright.zip", "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(f"{folder}/tidewright.zip")
+    _shipped = spark.sparkContext.applicationId
+
+
+_shipped = ""
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` as it is scanned; narrow inputs in fewer partitions than cores are dealt out first."""
+    """``df`` as it is scanned, ready for Python workers; inputs in fewer partitions than cores are dealt out first."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module, and whether the module has ORACLE SQL for it.
 _QUERIES = {
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
+    "op10_jaccard_join": ("jaccard_join", None),
 }
 
 
