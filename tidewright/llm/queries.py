@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module, and whether the module has ORACLE SQL for it.
 _QUERIES = {
     "op1_decontaminate": ("decontaminate", None),
+    "op2_language_id": ("langid", None),
+    "op3_sentencepiece": ("pieces", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
     "op8_toxicity": ("toxicity", None),
     "op10_jaccard_join": ("jaccard_join", None),
