@@ -12,8 +12,10 @@ _QUERIES = {
     "op1_decontaminate": ("decontaminate", None),
     "op2_language_id": ("langid", None),
     "op3_sentencepiece": ("pieces", None),
+    "op5_token_shards": ("sstable", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
     "op8_toxicity": ("toxicity", None),
+    "op9_warc": ("warc", None),
     "op10_jaccard_join": ("jaccard_join", None),
 }
 
