@@ -12,7 +12,9 @@ _QUERIES = {
     "op1_decontaminate": ("decontaminate", None),
     "op2_language_id": ("langid", None),
     "op3_sentencepiece": ("pieces", None),
+    "op4_chat_format": ("chat", "OP4_SQL"),
     "op5_token_shards": ("sstable", None),
+    "op6_lm_score": ("masked_lm", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
     "op8_toxicity": ("toxicity", None),
     "op9_warc": ("warc", None),
