@@ -8,6 +8,7 @@ as in tests.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import sys
@@ -45,7 +46,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+#: Staged tables of this process, in the order in which they were written.
+_staged: list[str] = []
+
+
+def staged() -> int:
+    """How many tables are staged so far: a mark for sweep."""
+    return len(_staged)
+
+
+def sweep(spark: SparkSession, since: int, keep: list[DataFrame]) -> None:
+    """Delete the tables staged after the mark ``since``, but for ``keep``: nothing may need them any more."""
+    kept = {df.staged_at for df in keep}
+    for path in _staged[since:]:
+        if path not in kept:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _staged[since:] = [p for p in _staged[since:] if p in kept]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +95,21 @@ def located(docs: DataFrame, file: str, row: str) -> DataFrame:
         return with_locator(stage(docs, "located"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def as_scan(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows can be located as they are, else staged: to be located more than once."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return stage(docs, "located")
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table of short rows, marked for broadcast if it was counted to have at most ``rows``."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import stage, staged, sweep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     checksum comes to the driver. Loops and repeated edges are fine; no edges give no rows.
     """
     both = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    first = staged()
     now = stage(both, "edges")
     mark = _mark(now)
     while mark[0]:
@@ -26,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         now = stage(small, "edges")
+        sweep(edges.sparkSession, first, [now])
         if (new := _mark(now)) == mark:
             break
         mark = new

@@ -15,7 +15,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bounded, drop_rows, located, scratch, stage, table
+from .common import as_scan, bounded, drop_rows, located, scratch, stage, staged, sweep, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -107,11 +107,15 @@ def _regrouped(digests: DataFrame, groups: DataFrame, texts: DataFrame, differs:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept (see exact_groups)."""
+    docs = as_scan(docs)
     names = docs.columns
     file, row = _free(names, "_dedup_file"), _free(names, "_dedup_row")
+    mark = staged()
     groups = exact_groups(docs, id_col, text_col)
     gone = groups.where("file != keep_file OR row != keep_row").select(F.col("file").alias(file), F.col("row").alias(row))
-    return drop_rows(located(docs, file, row), stage(gone, "dedup-gone"), [file, row]).drop(file, row)
+    gone = stage(gone, "dedup-gone")
+    sweep(docs.sparkSession, mark, [gone])
+    return drop_rows(located(docs, file, row), gone, [file, row]).drop(file, row)
 
 
 def _free(names: list[str], wanted: str) -> str:

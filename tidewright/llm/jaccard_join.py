@@ -2,9 +2,9 @@
 
 A document's set is its distinct word n-grams, as 64-bit hashes. Two sets of sizes a and b whose
 similarity is at least s share enough that, in any one order of all n-grams, they meet within the
-first ``size - ceil(s * size) + 1`` of each (its prefix). The order used here takes a fixed fifth of the
+first ``size - ceil(s * size) + 1`` of each (its prefix). The order used here takes a fixed part of the
 hash space first, rare n-grams before frequent ones, and the rest of the space after it, so that
-document frequencies are needed for that fifth only. N-grams of one document alone fill up prefixes
+document frequencies are needed for that part only. N-grams of one document alone fill up prefixes
 but can't link anything, which leaves most documents without a key.
 
 1. Documents with equal sets form a class; only one member of each goes on.
@@ -26,13 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import batch_bytes, bounded, check_hash_seed, drop_rows, located, spread, stage, table
+from .common import as_scan, batch_bytes, bounded, check_hash_seed, drop_rows, located, release, spread, stage, staged, sweep, table
 from .components import components
 
-#: Part of the hash space whose n-grams come first and have their document frequencies counted.
-FIRST = 0.2
+#: The part of the hash space whose n-grams come first, and have their document frequencies counted, is so many
+#: times the part of a set that its prefix takes up.
+ROOM = 2.0
 #: Members of a chunk at most, and n-grams in it about.
 CHUNK, CHUNK_GRAMS = 512, 600_000
+#: Bits of the map that tells n-grams of one class alone from others before they are shuffled.
+MAP_BITS = 1 << 26
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -57,6 +60,11 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(x)
 
 
+def first_part(percent: int) -> int:
+    """The hash below which n-grams come first in the order."""
+    return int(min(0.5, ROOM * (100 - percent) / 100 or 0.01) * 2**63) * 2 - 1
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
@@ -66,7 +74,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
     check_hash_seed()
     import xxhash
 
-    theta = np.uint64(int(FIRST * 2**64))
+    theta = np.uint64(first_part(percent))
     for b in batches:
         sizes, digests, firsts = [], [], []
         for text in batch_bytes(b.column("text")):
@@ -149,38 +157,81 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     spark = docs.sparkSession
     rows = located(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), "file", "row")
     made = spread(rows).mapInArrow(lambda it: _sets(it, n, percent), "file string, row bigint, doc_id bigint, n bigint, digest binary, first array<bigint>")
-    sets = stage(made, "join-sets")
-
-    # Classes of equal sets, numbered by a hash of the digest; a member of each stands for it.
-    class_id = F.xxhash64("digest", "n")
-    first_of = F.min_by(F.struct("file", "row"), F.struct("file", "row"))
-    classes = sets.where("size(first) > 0").groupBy(class_id.alias("class")).agg(first_of.alias("at"))
-    chosen = stage(classes.select("class", "at.file", "at.row"), "join-classes")
-    grams = sets.where("size(first) > 0").select(class_id.alias("class"), "n", "first", "file", "row")
-    grams = stage(grams.join(chosen, ["class", "file", "row"], "left_semi").select("class", "n", F.col("file"), F.col("row"), "first"), "join-first")
+    mark = staged()
+    sets = stage(made.withColumn("id", F.monotonically_increasing_id()), "join-sets")
+
+    light = stage(sets.withColumn("set", F.xxhash64("digest", "n")).drop("first", "digest"), "join-rows")
+    prefixes = _prefixes(sets, percent)
+    sweep(spark, mark, [light, prefixes])
+    release(spark)
+    of_set = _components_of(rows, light, prefixes, n, percent)
+    sweep(spark, mark, [light, of_set])
+    release(spark)
+    with_set = light.where("n > 0").join(of_set, "set").select("file", "row", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return with_set.unionByName(light.where("n = 0").select("file", "row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Staged ``class, n, prefix, grp`` of the classes that share a prefix n-gram with another; a class is the number of the member that stands for it."""
+    # Classes of equal sets; the member with the smallest number stands for each.
+    held = sets.where("size(first) > 0")
+    numbers = held.select(F.xxhash64("digest", "n").alias("set"), "id")
+    others = numbers.join(numbers.groupBy("set").agg(F.min("id").alias("class")), "set").where("id != class").select("id")
+    chosen = drop_rows(held, stage(others, "join-others"), ["id"])
+    grams = chosen.select(F.col("id").alias("class"), "n", F.size("first").alias("held"), "first")
 
     # Prefix keys: n-grams of one class alone come first and fill the prefix, the others follow by (part of the space, frequency, hash).
-    each = grams.select("class", F.explode("first").alias("gram"))
-    frequent = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    later = F.when((F.col("gram") >= 0) & (F.col("gram") < int(FIRST * 2**64)), 0).otherwise(1)
+    each = grams.select(F.explode("first").alias("gram"))
+    frequent = stage(each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "join-frequent")
+    each = _possibly(grams, frequent)
+    later = F.when((F.col("gram") >= 0) & (F.col("gram") < F.lit(first_part(percent))), 0).otherwise(1)
     shared = each.join(frequent, "gram").groupBy("class").agg(F.array_sort(F.collect_list(F.struct(later.alias("later"), "df", "gram"))).alias("shared"))
     need = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("bigint") + 1
-    room = (need - F.size("first") + F.size("shared")).cast("int")
-    prefixes = grams.join(shared, "class").where(room > 0).select("class", "n", "file", "row", F.transform(F.slice("shared", 1, room), lambda x: x.gram).alias("prefix"))
-    prefixes = stage(prefixes.withColumn("grp", F.xxhash64("n", "prefix")), "join-prefixes")
+    room = (need - F.col("held") + F.size("shared")).cast("int")
+    prefixes = grams.drop("first").join(shared, "class").where(room > 0).select("class", "n", F.transform(F.slice("shared", 1, room), lambda x: x.gram).alias("prefix"))
+    return stage(prefixes.withColumn("grp", F.xxhash64("n", "prefix")), "join-prefixes")
+
+
+def _possibly(grams: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``class, gram`` of n-grams that may be in ``frequent``: the others are left out, by a bitmap of fixed size, before they are shuffled."""
+    slot = F.pmod("gram", F.lit(MAP_BITS)) + 1
+    parts = frequent.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in parts.collect():  # MAP_BITS / 8 bytes in all, whatever the input
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["part"] - 1) * len(part) : r["part"] * len(part)] = part
+    held = grams.sparkSession.sparkContext.broadcast(bits)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = held.value
+        for b in batches:
+            first = b.column("first")
+            gram = first.flatten().to_numpy()
+            at = gram & (MAP_BITS - 1)  # pmod by a power of two
+            there = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            owner = np.repeat(b.column("class").to_numpy(), np.diff(first.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[there]), pa.array(gram[there])], ["class", "gram"])
+
+    return grams.select("class", "first").mapInArrow(kept, "class bigint, gram bigint")
+
+
+def _components_of(rows: DataFrame, light: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Staged ``set, component_id`` of every set, from the prefixes of those that may have links."""
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100.0 - 1e-9)).cast("bigint") if percent < 100 else F.col("n")
     groups = prefixes.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keys = groups.select("grp", F.explode("prefix").alias("gram"), bands.alias("band")).select("grp", "gram", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    least = keys.groupBy("gram", "band").agg(F.min("grp").alias("least"), F.count("*").alias("many")).where("many > 1")
-    met = keys.join(least, ["gram", "band"]).where("grp != least").select(F.col("grp").alias("a"), F.col("least").alias("b")).distinct()
+    keys = groups.select("grp", F.explode("prefix").alias("gram"), bands.alias("band"))
+    keys = keys.select("grp", F.explode(F.array(F.xxhash64("gram", "band"), F.xxhash64("gram", F.col("band") + 1))).alias("key"))
+    least = keys.groupBy("key").agg(F.min("grp").alias("least"), F.count("*").alias("many")).where("many > 1")
+    met = keys.join(least, "key").where("grp != least").select(F.col("grp").alias("a"), F.col("least").alias("b")).distinct()
     of_group = stage(components(stage(met, "join-met")), "join-clusters")
 
     # Classes of the clusters, with groups of several classes expanded, and their whole sets.
     several = prefixes.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")
     in_play = of_group.select(F.col("node").alias("grp")).unionByName(several).distinct()
     members = prefixes.join(in_play, "grp").join(of_group.withColumnRenamed("node", "grp"), "grp", "left")
-    members = stage(members.select("class", "n", "file", "row", F.coalesce("component", "grp").alias("cluster")), "join-members")
-    texts = rows.join(bounded(members.select("class", "file", "row")), ["file", "row"]).select("class", "text")
+    members = stage(members.select("class", "n", F.coalesce("component", "grp").alias("cluster")), "join-members")
+    at = stage(light.select(F.col("id").alias("class"), "file", "row").join(bounded(members.select("class")), "class"), "join-at")
+    texts = rows.join(bounded(at), ["file", "row"]).select("class", "text")
     whole = stage(texts.mapInArrow(lambda it: _whole(it, n), "class bigint, grams binary"), "join-whole")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("total"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("many") / CHUNK), F.ceil(F.col("total") / CHUNK_GRAMS)).cast("int").alias("chunks"))
@@ -204,13 +255,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         edges = stage(edges.unionByName(tiles(rest, further)), "join-links")
     part = components(edges).withColumnRenamed("node", "class")
 
-    # The smallest identifier of each component, given back to every row.
-    of_row = sets.select("file", "row", "doc_id", F.col("n").alias("n_shingles"), class_id.alias("class"))
-    ids = stage(of_row.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(part, "class", "left").withColumn("component", F.coalesce("component", "class")), "join-ids")
+    # The smallest identifier of each component, given to all its sets.
+    ids = light.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.min("id").alias("class")).join(part, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    ids = stage(ids, "join-ids")
     several = ids.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("many")).where("many > 1").drop("many")
-    ids = ids.join(several, "component", "left").select("class", F.coalesce("component_id", "least").alias("component_id"))
-    with_set = of_row.where("n_shingles > 0").join(ids, "class").drop("class")
-    return with_set.unionByName(of_row.where("n_shingles = 0").select("file", "row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return stage(ids.join(several, "component", "left").select("set", F.coalesce("component_id", "least").alias("component_id")), "join-of-set")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -218,16 +267,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without a set (null, empty or blank texts) are linked with nothing and stay.
     """
+    docs = as_scan(docs)
     names = docs.columns
     file, row = "_join_file", "_join_row"
     while file in names or row in names:
         file, row = file + "_", row + "_"
+    mark = staged()
     found = stage(linked(docs, id_col, text_col, n, percent), "join-found")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
     several = found.where("n_shingles > 0").withColumn("key", F.struct("component_id", F.when(F.col("component_id").isNull(), F.struct("file", "row"))))
     first = several.groupBy("key").agg(F.min(key).alias("first"), F.count("*").alias("many")).where("many > 1")
     gone = several.join(first, several["key"].eqNullSafe(first["key"])).where("file != first.file OR row != first.row")
     gone = stage(gone.select(F.col("file").alias(file), F.col("row").alias(row)), "join-gone")
+    sweep(docs.sparkSession, mark, [gone])
     return drop_rows(located(docs, file, row), gone, [file, row]).drop(file, row)
 
 

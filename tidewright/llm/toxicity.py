@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc32_of, spread, stage, table
+from .common import crc32_of, spread, stage, staged, sweep, table
 
 #: Labelled rows that the lexicon is learned from, at most (those with the smallest hashes of their ids).
 SAMPLE = 20_000
@@ -121,6 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     """
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    mark = staged()
     chosen = stage(chosen, "labels")
     # Bounded by ``sample`` rows of two numbers.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("text", "toxic")
@@ -142,7 +143,9 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
         if not any(term[:k] in weights for k in range(2, len(term))):  # a shorter beginning says it all
             weights[term] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
     top = max(weights.values(), default=1.0)
-    return _calibrate(Lexicon({k: w / top for k, w in weights.items()}, exceptions or []), rows)
+    lexicon = _calibrate(Lexicon({k: w / top for k, w in weights.items()}, exceptions or []), rows)
+    sweep(docs.sparkSession, mark, [])
+    return lexicon
 
 
 def _calibrate(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
