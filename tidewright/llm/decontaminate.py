@@ -114,7 +114,7 @@ class Benchmark:
         self.filters = {}
         for n, grams in self.by_gram.items():
             keys = np.sort(np.fromiter(grams, np.uint64, len(grams)))
-            bits = max(12, int(np.ceil(np.log2(len(keys)))) + 5)
+            bits = max(12, int(np.ceil(np.log2(len(keys)))) + 7)
             near = np.zeros(1 << bits, bool)
             near[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
             self.filters[n] = (np.uint64(64 - bits), near, keys)
@@ -126,7 +126,7 @@ class Benchmark:
         for n, (shift, near, keys) in self.filters.items():
             grams = gram_hashes(words, n)
             hits = np.flatnonzero(near[(grams >> shift).astype(np.int64)])
-            hits = hits[np.isin(grams[hits], keys)] if len(hits) else hits
+            hits = hits[keys[np.minimum(np.searchsorted(keys, grams[hits]), len(keys) - 1)] == grams[hits]]
             starts: dict[int, set] = defaultdict(set)
             for p in hits.tolist():
                 for size in {sum(self.items[k][2].values()) for k in self.by_gram[n][int(grams[p])]}:
