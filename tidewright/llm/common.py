@@ -66,11 +66,16 @@ def sweep(spark: SparkSession, since: int, keep: list[DataFrame]) -> None:
     kept = {df.staged_at for df in keep}
     for path in _staged[since:]:
         if path not in kept:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
     _staged[since:] = [p for p in _staged[since:] if p in kept]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch data with what is in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import as_scan, bounded, drop_rows, located, scratch, stage, staged, sweep, table
+from .common import as_scan, bounded, drop_rows, located, release, remove, scratch, stage, staged, sweep, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,13 +36,18 @@ def sha256_hex(text: Column) -> Column:
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    # Executors give up a stopped query's local copies of its state at the next maintenance; logs take up the disk they
+    # fill, not 4 MB for each partition beforehand.
+    state = "spark.sql.streaming.stateStore."
+    wanted = {f"{state}providerClass": ROCKSDB, f"{state}maintenanceInterval": "5s", f"{state}rocksdb.allowFAllocate": "false"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def digest_state(spark: SparkSession, digests: str, schema, state: str) -> DataFrame:
@@ -80,7 +85,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests = rows.select("doc_id", "file", "row", digest(norm).alias("digest"))
     digests.write.parquet(path)
     schema, digests = digests.schema, spark.read.schema(digests.schema).parquet(path)
-    groups = stage(digest_state(spark, path, schema, scratch(spark, "dedup-state")), "dedup-groups")
+    state = scratch(spark, "dedup-state")
+    groups = stage(digest_state(spark, path, schema, state), "dedup-groups")
+    remove(spark, state)
+    release(spark)
     repeated = bounded(stage(groups.where("size > 1"), "dedup-repeated"))
 
     # Hits: read the texts of all rows in groups of two or more by their locators and compare bytes.
