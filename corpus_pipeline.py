@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, exact_dedup, jaccard_join, pieces, toxicity
-from tidewright.llm.common import stage, table
+from tidewright.llm.common import release, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,21 +20,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the largest identifier."""
+    release(spark)  # the shuffle files of the stage before
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (shingles of five words, similarity of 0.8 or more)."""
+    release(spark)  # the shuffle files of the stage before
     return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    release(spark)  # the shuffle files of the stage before
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Identifiers and token ids of what is left."""
+    release(spark)  # the shuffle files of the stage before
     return pieces.encode_documents(docs)
 
 
