@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], required: list[
     then ValueError. Only the first line is read here; rows stay a lazy scan.
     """
     head = spark.read.option("header", True).csv(path).columns
-    clean = [c.lstrip("﻿").strip() for c in head]
+    clean = [c.lstrip("\ufeff").strip() for c in head]
     if lacking := sorted(set(required or ()) - set(clean)):
         raise ValueError(f"{path}: required columns are missing: {', '.join(lacking)}")
     schema = StructType([StructField(f"_{i}", StringType()) for i in range(len(head))])
