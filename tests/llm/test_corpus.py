@@ -191,3 +191,11 @@ def test_lm_prefers_its_own_corpus(spark):
     got = {r.doc_id: r for r in masked_lm.score(frame(spark, [*good, *odd, None, " "])).collect()}
     assert min(got[k].mean_log_prob for k in range(30)) > max(got[k].mean_log_prob for k in (30, 31))
     assert (got[32].n_words, got[32].log_prob, got[32].mean_log_prob) == (0, 0.0, None)
+
+
+def test_lm_tells_rare_words_apart_by_their_counts(spark):
+    texts = ["the and of " * 40, *["seen " * 5] * 2, "once"]
+    got = {r.doc_id: r for r in masked_lm.score(frame(spark, texts), vocabulary=3).collect()}
+    vocabulary, rare = masked_lm.count_words(frame(spark, texts), 3)
+    assert vocabulary.rare_mass == 11 and sorted(r.n for r in rare.collect()) == [1, 10]
+    assert got[3].n_words == 1 and got[1].mean_log_prob > got[3].mean_log_prob + 1

@@ -8,7 +8,8 @@ sum over its words.
 Counts cover all words of all documents. The network is trained on every STRIDE-th position of every document:
 each partition starts from the same weights, takes its steps, and the resulting weights are averaged by
 positions seen, in a tree of partitions. All sizes that machines hold are parameters: VOCABULARY
-words have classes of their own by frequency, the others share the last class evenly.
+words have classes by frequency, the others share the last class by their counts, which stay in a staged table
+that is joined to the tokens.
 """
 
 from __future__ import annotations
@@ -45,36 +46,48 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Words (sorted hashes), their rank by frequency, class and log share of it; log share of a word without a class of its own."""
+    """The most frequent words (sorted hashes), their rank by frequency, class and log share of it; how many words the others make up.
+
+    A rare word's log share of the last class is the log of its count, which is joined, less that of the mass of all of them.
+    """
 
     words: np.ndarray
     rank: np.ndarray
     classes: np.ndarray
     share: np.ndarray
-    rare_share: float
+    rare_mass: int
+
+    def named(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each word is among the most frequent ones."""
+        if not len(self.words):
+            return np.zeros(len(hashes), bool)
+        return self.words[np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)] == hashes
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embedding row, class, and log share of each word."""
+        """Embedding row, class, and log share of each word, for rare words without the log of their count."""
+        rare_share = -np.log(max(1, self.rare_mass))
         at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        known = self.named(hashes)
         rank = np.where(known, self.rank[at] if len(self.words) else 0, NAMED)
         row = np.where(rank < NAMED, rank, NAMED + (hashes.view(np.uint64) >> np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64)
         if not len(self.words):
-            return row, np.full(len(hashes), CLASSES - 1), np.full(len(hashes), self.rare_share)
-        return row, np.where(known, self.classes[at], CLASSES - 1), np.where(known, self.share[at], self.rare_share)
+            return row, np.full(len(hashes), CLASSES - 1), np.full(len(hashes), rare_share)
+        return row, np.where(known, self.classes[at], CLASSES - 1), np.where(known, self.share[at], rare_share)
 
 
-def count_words(docs: DataFrame, vocabulary: int = VOCABULARY) -> Vocabulary:
-    """Counts of all words of all rows of ``docs`` (text), turned into classes of about equal mass."""
+def count_words(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Vocabulary, DataFrame]:
+    """Counts of all words of all rows of ``docs`` (text), turned into classes of about equal mass; ``word, n`` of the rare words."""
     counts = spread(docs.select("text")).mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "words")
-    total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
     n, words = top["n"].to_numpy(np.float64), top["word"].to_numpy(np.int64)
     classes = np.minimum((np.cumsum(n) - n) / max(1.0, n.sum()) * (CLASSES - 1), CLASSES - 2).astype(np.int64)
     share = np.log(n / np.bincount(classes, n, CLASSES)[classes]) if len(n) else n
     order = np.argsort(words)
-    return Vocabulary(words[order], np.arange(len(words))[order], classes[order], share[order], -float(np.log(types - len(n) + 1)))
+    # Whatever comes after the last of the frequent words in their order is rare.
+    rare = counts.where((F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("word") > int(words[-1])))) if len(n) else counts
+    return Vocabulary(words[order], np.arange(len(words))[order], classes[order], share[order], int(total - n.sum())), rare
 
 
 def initial(seed: int = 11) -> list[np.ndarray]:
@@ -188,9 +201,8 @@ class Scorer:
         # Each side position's share of the hidden layer, for every embedding row.
         self.parts = [emb @ w1[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
 
-    def words(self, text: bytes) -> np.ndarray:
-        """Log-probability of every word given both sides."""
-        hashes = words_of(text)
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        """Log-probability of every word given both sides, for rare words without the log of their count."""
         row, target, share = self.vocabulary.look_up(hashes)
         out = np.empty(len(hashes))
         context = contexts(row)
@@ -208,27 +220,37 @@ class Scorer:
         return out + share
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_counts(scored: DataFrame, rare: DataFrame) -> DataFrame:
+    """``scored`` (staged: row, log_prob, rare words) with the logs of the rare words' counts added to log_prob."""
+    tokens = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    added = tokens.join(rare, "word").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("added"))
+    return scored.join(added, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """``doc_id, n_words, log_prob, mean_log_prob`` of each row, by a model of the rows' own corpus.
 
     Null, empty and blank texts have no words, a sum of 0 and a null mean. Repeated rows and null identifiers are passed on;
     an empty table gives no rows. Other columns aren't read. Weights depend on how rows are dealt to partitions.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary = count_words(rows)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, train(rows, vocabulary)))
+    frequent, rare = count_words(rows, vocabulary)
+    held = docs.sparkSession.sparkContext.broadcast((frequent, train(rows, frequent)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check_hash_seed()
         scorer = Scorer(*held.value)
         for b in batches:
-            each = [scorer.words(t) for t in batch_bytes(b.column("text"))]
-            n = np.array([len(e) for e in each], np.int64)
-            total = np.array([e.sum() for e in each], np.float64).round(4)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return spread(rows).mapInArrow(scored, "doc_id bigint, n_words bigint, log_prob double, mean_log_prob double")
+            words = [words_of(t) for t in batch_bytes(b.column("text"))]
+            n = np.array([len(h) for h in words], np.int64)
+            total = np.array([scorer.words(h).sum() for h in words], np.float64)
+            others = [h[~scorer.vocabulary.named(h)] for h in words]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(others, pa.list_(pa.int64()))], ["doc_id", "n_words", "log_prob", "rare"])
+
+    out = spread(rows).mapInArrow(scored, "doc_id bigint, n_words bigint, log_prob double, rare array<bigint>")
+    out = _with_counts(stage(out.withColumn("row", F.monotonically_increasing_id()), "scored"), rare)
+    out = out.withColumn("log_prob", F.round("log_prob", 4))
+    return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
