@@ -197,5 +197,23 @@ def test_lm_tells_rare_words_apart_by_their_counts(spark):
     texts = ["the and of " * 40, *["seen " * 5] * 2, "once"]
     got = {r.doc_id: r for r in masked_lm.score(frame(spark, texts), vocabulary=3).collect()}
     vocabulary, rare = masked_lm.count_words(frame(spark, texts), 3)
-    assert vocabulary.rare_mass == 11 and sorted(r.n for r in rare.collect()) == [1, 10]
+    assert vocabulary.rare_mass.sum() == 11 and sorted(r.n for r in rare.collect()) == [1, 10]
     assert got[3].n_words == 1 and got[1].mean_log_prob > got[3].mean_log_prob + 1
+
+
+def test_lm_predicts_the_word_itself_from_its_sides():
+    a, b, x, y = range(4)  # x and y are equally frequent; their sides alone tell them apart
+    rng = random.Random(4)
+    tree = masked_lm.huffman(np.array([100, 100, 50, 50]))
+    w = masked_lm.initial()
+    rows = np.array([k for _ in range(2000) for k in rng.choice([(a, x, a), (b, y, b)])])
+    context = masked_lm.contexts(rows)
+    for _ in range(20):
+        for k in range(0, len(rows), 256):
+            masked_lm.train_step(w, context[k : k + 256], rows[k : k + 256], 0.1, tree)
+    words = np.sort(np.array([11, 22, 33, 44]))
+    scorer = masked_lm.Scorer(masked_lm.Vocabulary(words, np.arange(4), np.zeros(masked_lm.BUCKETS), tree), w)
+    right, wrong = (scorer.words(words[[a, k, a]])[0][1] for k in (x, y))
+    assert right > wrong + 1
+    sums = [np.exp(scorer.words(words[[a, k, b]])[0][1]) for k in range(4)]
+    assert abs(sum(sums) - 1) < 1e-5

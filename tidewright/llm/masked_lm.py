@@ -1,19 +1,20 @@
 """Masked pseudo-likelihood by a bidirectional window network, trained in numpy.
 
 Every word of a document is hidden in turn and predicted from the two words on either side. The network
-(embeddings, one rectified layer, softmax) predicts the word's class, and counts over the whole corpus give
-the word's share of its class: log p(word) = log p(class | both sides) + log p(word | class). A document's score is the
-sum over its words.
+(embeddings, one rectified layer, hierarchical softmax) predicts the word itself, as the leaf of a Huffman tree over the
+VOCABULARY most frequent words and BUCKETS groups of all others: at each node of the path a logistic unit moves the odds
+that the counts give. Counts over the whole corpus give a rare word's share of its group, which doesn't depend on its sides.
+A document's score is the sum over its words.
 
 Counts cover all words of all documents. The network is trained on every STRIDE-th position of every document:
 each partition starts from the same weights, takes its steps, and the resulting weights are averaged by
-positions seen, in a tree of partitions. All sizes that machines hold are parameters: VOCABULARY
-words have classes by frequency, the others share the last class by their counts, which stay in a staged table
-that is joined to the tokens.
+positions seen, in a tree of partitions. All sizes that machines hold are parameters; the counts of rare words stay
+in a staged table that is joined to the tokens.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import batch_bytes, check_hash_seed, spread, stage, table
 
-VOCABULARY, CLASSES, NAMED, BUCKETS = 32_768, 64, 4_096, 1_024
+VOCABULARY, BUCKETS = 32_768, 1_024
 SIDE, EMBED, HIDDEN = 2, 12, 24
 STRIDE, MINIBATCH, RATE = 16, 256, 0.1
 #: Weights of so many partitions are averaged by one task, and come to the driver at the end.
-FAN_IN = 32
-_TABLE = NAMED + BUCKETS + 1  # the last row is the edge of a text
+FAN_IN = 8
+_TABLE = VOCABULARY + BUCKETS + 1  # the last row is the edge of a text
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -45,56 +46,92 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Vocabulary:
-    """The most frequent words (sorted hashes), their rank by frequency, class and log share of it; how many words the others make up.
+class Tree:
+    """Paths of a Huffman tree: nodes and turns of leaf k at start[k] : start[k] + length[k]; each node's log odds of a turn to 1 by counts."""
+
+    start: np.ndarray
+    length: np.ndarray
+    nodes: np.ndarray
+    turns: np.ndarray
+    odds: np.ndarray
+
+    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and turns of all paths one after another, which leaf each belongs to, and where each path begins."""
+        many = self.length[leaves]
+        first = np.cumsum(many) - many
+        whose = np.repeat(np.arange(len(leaves)), many)
+        at = np.repeat(self.start[leaves] - first, many) + np.arange(len(whose))
+        return self.nodes[at], self.turns[at], whose, first
+
+
+def huffman(mass: np.ndarray) -> Tree:
+    """The tree over all leaves with a positive ``mass``; nodes are numbered from the root."""
+    mass = mass.astype(np.float64)
+    if (few := 2 - np.count_nonzero(mass)) > 0:  # a node needs two sides
+        mass[np.flatnonzero(mass == 0)[:few]] = 1e-9
+    leaves = np.flatnonzero(mass)
+    heap = [(m, k) for k, m in enumerate(mass[leaves].tolist())]
+    heapq.heapify(heap)
+    inner = len(leaves) - 1
+    parent, turn, odds = np.full(len(leaves) + inner, -1), np.zeros(len(leaves) + inner, np.float32), np.zeros(inner, np.float32)
+    for k in range(inner):
+        (m0, a), (m1, b) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a] = parent[b] = len(leaves) + k
+        turn[b] = 1
+        odds[inner - 1 - k] = np.log(m1 / m0)
+        heapq.heappush(heap, (m0 + m1, len(leaves) + k))
+    now, which, steps = np.arange(len(leaves)), np.arange(len(leaves)), []
+    while len(now):
+        up = parent[now]
+        on = up >= 0
+        steps.append((which[on], len(leaves) + inner - 1 - up[on], turn[now[on]]))
+        now, which = up[on], which[on]
+    which, nodes, turns = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(which, kind="stable")
+    length = np.zeros(len(mass), np.int64)
+    length[leaves] = np.bincount(which, minlength=len(leaves))
+    return Tree(np.cumsum(length) - length, length, nodes[order], turns[order], odds)
 
-    A rare word's log share of the last class is the log of its count, which is joined, less that of the mass of all of them.
-    """
+
+@dataclass
+class Vocabulary:
+    """The most frequent words (sorted hashes), their rank by frequency, how many words each group of the others makes up, and the tree."""
 
     words: np.ndarray
     rank: np.ndarray
-    classes: np.ndarray
-    share: np.ndarray
-    rare_mass: int
+    rare_mass: np.ndarray
+    tree: Tree
 
-    def named(self, hashes: np.ndarray) -> np.ndarray:
-        """Whether each word is among the most frequent ones."""
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """Embedding row and leaf of each word: its rank, or VOCABULARY and the group of a rare word."""
+        group = VOCABULARY + ((hashes.view(np.uint64) >> np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64)
         if not len(self.words):
-            return np.zeros(len(hashes), bool)
-        return self.words[np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)] == hashes
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embedding row, class, and log share of each word, for rare words without the log of their count."""
-        rare_share = -np.log(max(1, self.rare_mass))
-        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        known = self.named(hashes)
-        rank = np.where(known, self.rank[at] if len(self.words) else 0, NAMED)
-        row = np.where(rank < NAMED, rank, NAMED + (hashes.view(np.uint64) >> np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64)
-        if not len(self.words):
-            return row, np.full(len(hashes), CLASSES - 1), np.full(len(hashes), rare_share)
-        return row, np.where(known, self.classes[at], CLASSES - 1), np.where(known, self.share[at], rare_share)
+            return group
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.rank[at], group)
 
 
 def count_words(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Vocabulary, DataFrame]:
-    """Counts of all words of all rows of ``docs`` (text), turned into classes of about equal mass; ``word, n`` of the rare words."""
+    """Counts of all words of all rows of ``docs`` (text), turned into a tree; ``word, n`` of all but the ``vocabulary`` most frequent."""
     counts = spread(docs.select("text")).mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
-    n, words = top["n"].to_numpy(np.float64), top["word"].to_numpy(np.int64)
-    classes = np.minimum((np.cumsum(n) - n) / max(1.0, n.sum()) * (CLASSES - 1), CLASSES - 2).astype(np.int64)
-    share = np.log(n / np.bincount(classes, n, CLASSES)[classes]) if len(n) else n
-    order = np.argsort(words)
+    top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY)).toPandas()
+    n, words = top["n"].to_numpy(np.int64), top["word"].to_numpy(np.int64)
     # Whatever comes after the last of the frequent words in their order is rare.
     rare = counts.where((F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("word") > int(words[-1])))) if len(n) else counts
-    return Vocabulary(words[order], np.arange(len(words))[order], classes[order], share[order], int(total - n.sum())), rare
+    mass = np.zeros(VOCABULARY + BUCKETS, np.int64)
+    mass[: len(n)] = n
+    for r in rare.groupBy((F.shiftrightunsigned("word", 7) % BUCKETS).alias("group")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        mass[VOCABULARY + r["group"]] = r["n"]
+    order = np.argsort(words)
+    return Vocabulary(words[order], np.arange(len(words))[order], mass[VOCABULARY:], huffman(mass)), rare
 
 
 def initial(seed: int = 11) -> list[np.ndarray]:
-    """Embeddings, hidden weights and bias, output weights and bias."""
+    """Embeddings, hidden weights and bias, weights of the tree's nodes, which at first leave the odds as they are."""
     rng = np.random.default_rng(seed)
     make = lambda *shape, by: (rng.normal(size=shape) * by).astype(np.float32)
-    return [make(_TABLE, EMBED, by=0.3), make(2 * SIDE * EMBED, HIDDEN, by=0.2), np.zeros(HIDDEN, np.float32), make(HIDDEN, CLASSES, by=0.2), np.zeros(CLASSES, np.float32)]
+    return [make(_TABLE, EMBED, by=0.3), make(2 * SIDE * EMBED, HIDDEN, by=0.2), np.zeros(HIDDEN, np.float32), np.zeros((VOCABULARY + BUCKETS, HIDDEN), np.float32)]
 
 
 def contexts(rows: np.ndarray) -> np.ndarray:
@@ -103,27 +140,35 @@ def contexts(rows: np.ndarray) -> np.ndarray:
     return np.stack([padded[k : k + len(rows)] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def train_step(w: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> float:
-    """One step of gradient descent in place; the mean loss before it."""
-    emb, w1, b1, w2, b2 = w
+def _subtract(table: np.ndarray, rows: np.ndarray, values: np.ndarray, damped: bool = False) -> None:
+    """Take from rows of the table, which may repeat, the sum of their values, ``damped`` by the root of how many they are."""
+    order = np.argsort(rows)
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total = np.add.reduceat(values[order], first, axis=0)
+    if damped:
+        total /= np.sqrt(np.diff(np.append(first, len(rows))))[:, None].astype(np.float32)
+    table[ordered[first]] -= total
+
+
+def train_step(w: list[np.ndarray], context: np.ndarray, target: np.ndarray, rate: float, tree: Tree) -> float:
+    """One step of gradient descent in place; the mean loss before it. Steps of a node's weights are damped by the paths through it."""
+    emb, w1, b1, u = w
     x = emb[context].reshape(len(context), -1)
     pre = x @ w1 + b1
     h = np.maximum(pre, 0)
-    z = h @ w2 + b2
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(1, keepdims=True)
-    at = np.arange(len(target))
-    loss = -float(np.log(np.maximum(p[at, target], 1e-12)).mean())
-    p[at, target] -= 1
-    p /= len(target)
-    dh = (p @ w2.T) * (pre > 0)
-    dx = (dh @ w1.T).reshape(*context.shape, EMBED)
-    w2 -= rate * (h.T @ p)
-    b2 -= rate * p.sum(0)
+    nodes, turns, whose, first = tree.paths(target)
+    un, hn = u[nodes], h[whose]
+    z = np.einsum("ij,ij->i", hn, un) + tree.odds[nodes]
+    g = 1 / (1 + np.exp(-z))
+    loss = -float(np.log(np.maximum(np.abs(1 - turns - g), 1e-12)).sum()) / len(target)
+    g -= turns
+    dh = np.add.reduceat(un * g[:, None], first, axis=0) * (pre > 0) / np.float32(len(target))
+    dx = (dh @ w1.T).reshape(-1, EMBED)
+    _subtract(u, nodes, hn * (np.float32(rate) * g)[:, None], damped=True)
     w1 -= rate * (x.T @ dh)
     b1 -= rate * dh.sum(0)
-    np.subtract.at(emb, context, np.float32(rate * 8) * dx)
+    _subtract(emb, context.ravel(), np.float32(rate * 8) * dx)
     return loss
 
 
@@ -162,19 +207,21 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
         def steps() -> None:
             nonlocal seen
             context, target = np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending])
-            order = rng.permutation(len(target))
-            for k in range(0, len(order), MINIBATCH):
-                o = order[k : k + MINIBATCH]
-                train_step(w, context[o], target[o], RATE / (1 + seen / 400_000))
-                seen += len(o)
+            # A partition of few positions takes them more than once: fewer than 64 steps would teach nothing.
+            for _ in range(1 if seen else -(-64 * MINIBATCH // len(target))):
+                order = rng.permutation(len(target))
+                for k in range(0, len(order), MINIBATCH):
+                    o = order[k : k + MINIBATCH]
+                    train_step(w, context[o], target[o], RATE / (1 + seen / 400_000), held.value.tree)
+            seen += len(target)
 
         for b in batches:
             for text in batch_bytes(b.column("text")):
                 hashes = words_of(text)
                 if len(hashes):
-                    row, target, _ = held.value.look_up(hashes)
+                    row = held.value.look_up(hashes)
                     at = np.arange(int(hashes[0]) % min(STRIDE, len(hashes)), len(hashes), STRIDE)
-                    pending.append((contexts(row)[at], target[at]))
+                    pending.append((contexts(row)[at], row[at]))
                     size += len(at)
                 if size >= 64 * MINIBATCH:
                     steps()
@@ -196,28 +243,31 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
 
 class Scorer:
     def __init__(self, vocabulary: Vocabulary, weights: list[np.ndarray]):
-        emb, w1, self.b1, self.w2, self.b2 = weights
+        emb, w1, self.b1, self.u = weights
         self.vocabulary = vocabulary
+        self.less = np.log(np.maximum(1, vocabulary.rare_mass))
         # Each side position's share of the hidden layer, for every embedding row.
         self.parts = [emb @ w1[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
 
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Log-probability of every word given both sides, for rare words without the log of their count."""
-        row, target, share = self.vocabulary.look_up(hashes)
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of every word given both sides, for rare words without the log of their count; which words are rare."""
+        row, tree = self.vocabulary.look_up(hashes), self.vocabulary.tree
         out = np.empty(len(hashes))
         context = contexts(row)
-        for low in range(0, len(hashes), 4096):  # bounded memory for long texts
-            c = context[low : low + 4096]
+        for low in range(0, len(hashes), 1024):  # bounded memory for long texts
+            c = context[low : low + 1024]
             h = self.parts[0][c[:, 0]] + self.b1
             for k in range(1, 2 * SIDE):
                 h += self.parts[k][c[:, k]]
             np.maximum(h, 0, out=h)
-            z = h @ self.w2
-            z += self.b2
-            z -= z.max(1, keepdims=True)
-            mine = z[np.arange(len(z)), target[low : low + 4096]]
-            out[low : low + 4096] = mine - np.log(np.exp(z, out=z).sum(1))
-        return out + share
+            nodes, turns, whose, first = tree.paths(row[low : low + 1024])
+            z = np.einsum("ij,ij->i", h[whose], self.u[nodes])
+            z += tree.odds[nodes]
+            z *= 1 - 2 * turns
+            out[low : low + 1024] = -np.add.reduceat(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))), first)
+        rare = row >= VOCABULARY
+        out[rare] -= self.less[row[rare] - VOCABULARY]
+        return out, rare
 
 
 def _with_counts(scored: DataFrame, rare: DataFrame) -> DataFrame:
@@ -243,8 +293,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         for b in batches:
             words = [words_of(t) for t in batch_bytes(b.column("text"))]
             n = np.array([len(h) for h in words], np.int64)
-            total = np.array([scorer.words(h).sum() for h in words], np.float64)
-            others = [h[~scorer.vocabulary.named(h)] for h in words]
+            total, others = np.zeros(len(words)), []
+            for k, h in enumerate(words):
+                each, is_rare = scorer.words(h)
+                total[k] = each.sum()
+                others.append(h[is_rare])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(others, pa.list_(pa.int64()))], ["doc_id", "n_words", "log_prob", "rare"])
 
     out = spread(rows).mapInArrow(scored, "doc_id bigint, n_words bigint, log_prob double, rare array<bigint>")
