@@ -217,3 +217,11 @@ def test_lm_predicts_the_word_itself_from_its_sides():
     assert right > wrong + 1
     sums = [np.exp(scorer.words(words[[a, k, b]])[0][1]) for k in range(4)]
     assert abs(sum(sums) - 1) < 1e-5
+
+
+def test_lm_trains_on_every_position(spark, monkeypatch):
+    staged, stage = {}, masked_lm.stage
+    monkeypatch.setattr(masked_lm, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    docs = frame(spark, ["a b c " * 50, "d", None, "e f"])
+    masked_lm.train(docs, masked_lm.count_words(docs)[0])
+    assert staged["weights"].agg({"seen": "sum"}).first()[0] == 153

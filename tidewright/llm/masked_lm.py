@@ -6,7 +6,7 @@ VOCABULARY most frequent words and BUCKETS groups of all others: at each node of
 that the counts give. Counts over the whole corpus give a rare word's share of its group, which doesn't depend on its sides.
 A document's score is the sum over its words.
 
-Counts cover all words of all documents. The network is trained on every STRIDE-th position of every document:
+Counts cover all words of all documents. The network is trained on every position of every document (in small partitions more than once):
 each partition starts from the same weights, takes its steps, and the resulting weights are averaged by
 positions seen, in a tree of partitions. All sizes that machines hold are parameters; the counts of rare words stay
 in a staged table that is joined to the tokens.
@@ -26,7 +26,7 @@ from .common import batch_bytes, check_hash_seed, spread, stage, table
 
 VOCABULARY, BUCKETS = 32_768, 1_024
 SIDE, EMBED, HIDDEN = 2, 12, 24
-STRIDE, MINIBATCH, RATE = 16, 256, 0.1
+MINIBATCH, RATE = 256, 0.1
 #: Weights of so many partitions are averaged by one task, and come to the driver at the end.
 FAN_IN = 8
 _TABLE = VOCABULARY + BUCKETS + 1  # the last row is the edge of a text
@@ -220,9 +220,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> list[np.ndarray]:
                 hashes = words_of(text)
                 if len(hashes):
                     row = held.value.look_up(hashes)
-                    at = np.arange(int(hashes[0]) % min(STRIDE, len(hashes)), len(hashes), STRIDE)
-                    pending.append((contexts(row)[at], row[at]))
-                    size += len(at)
+                    pending.append((contexts(row), row))
+                    size += len(row)
                 if size >= 64 * MINIBATCH:
                     steps()
                     pending, size = [], 0
