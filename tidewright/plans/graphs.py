@@ -23,27 +23,56 @@ def _edges(spark, d) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _parts(spark, d):
+    return table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
+
+
 def _seeds(spark, d):
+    """The few parts that the recursive SQL can follow; the queries named _all take all parts."""
     return table(spark, d, "part").where("p_partkey < 4").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
 
 
-def reach_depth(spark, d):
-    return graph.least_costs(_edges(spark, d), _seeds(spark, d), 5).select("seed", "node", F.col("cost").alias("depth"))
+def _depths(spark, d, seeds):
+    return graph.least_costs(_edges(spark, d), seeds, 5).select("seed", "node", F.col("cost").alias("depth"))
 
 
-def reach_cost(spark, d):
+def _costs(spark, d, seeds):
     e = _edges(spark, d).withColumn("step", graph.edge_cost(F.col("confidence")))
-    return graph.least_costs(e, _seeds(spark, d), 5, "step")
+    return graph.least_costs(e, seeds, 5, "step")
 
 
-def reach_paths(spark, d):
+def _paths(spark, d, seeds):
     e = _edges(spark, d).select("caller", "callee").distinct()
-    p = graph.paths(e, _seeds(spark, d), 3)
+    p = graph.paths(e, seeds, 3)
     return p.select("seed", F.array_join("path", " <- ").alias("path"), (F.size("path") - 1).cast("bigint").alias("depth"))
 
 
+def reach_depth(spark, d):
+    return _depths(spark, d, _seeds(spark, d))
+
+
+def reach_cost(spark, d):
+    return _costs(spark, d, _seeds(spark, d))
+
+
+def reach_paths(spark, d):
+    return _paths(spark, d, _seeds(spark, d))
+
+
+def reach_depth_all(spark, d):
+    return _depths(spark, d, _parts(spark, d))
+
+
+def reach_cost_all(spark, d):
+    return _costs(spark, d, _parts(spark, d))
+
+
+def reach_paths_all(spark, d):
+    return _paths(spark, d, _parts(spark, d))
+
+
 def business_reaches(spark, d):
-    parts = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
+    parts = _parts(spark, d)
     hit = graph.least_costs(_edges(spark, d).where("confidence = 'high'"), parts, 2).where("node LIKE 'C%'").select("seed").distinct().withColumn("r", F.lit(True))
     return parts.join(hit, "seed", "left").select("seed", F.coalesce("r", F.lit(False)).alias("reached"))
 
@@ -67,7 +96,7 @@ def pareto_frontier(spark, d):
     return graph.pareto(s, ["s_nationkey"], "cost", "gain", "s_suppkey")
 
 
-QUERIES = {f.__name__: f for f in (reach_depth, reach_cost, reach_paths, business_reaches, type_closure, interface_impls, pareto_frontier)}
+QUERIES = {f.__name__: f for f in (reach_depth, reach_cost, reach_paths, reach_depth_all, reach_cost_all, reach_paths_all, business_reaches, type_closure, interface_impls, pareto_frontier)}
 
 _E = """e AS (SELECT 'O' || l_orderkey AS caller, 'P' || l_partkey AS callee, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 5 END AS step FROM lineitem
     UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 1 FROM orders UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 1 FROM customer UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, 1 FROM nation)"""
