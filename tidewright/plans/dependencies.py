@@ -60,8 +60,8 @@ def contract_validate(spark, d):
     return table(spark, d, "orders").select("o_orderkey", core.violations(checks).alias("errors")).where("errors != ''")
 
 
-def ref_join_exact_candidate(spark, d):
-    parts = table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+def _exact_candidate(spark, d, parts):
+    parts = parts.select(F.col("p_partkey").alias("l_partkey"))
     s = table(spark, d, "supplier")
     n = s.agg(F.count("*").alias("n"))
     targets = parts.crossJoin(F.broadcast(n)).select("l_partkey", (F.col("l_partkey") % F.col("n")).alias("l_suppkey"))  # n is a single row
@@ -70,6 +70,14 @@ def ref_join_exact_candidate(spark, d):
     return hit.groupBy("part").agg(F.sum(F.when(F.col("quality") == "exact", 1).otherwise(0)).alias("exact"), F.sum(F.when(F.col("quality") == "candidate", 1).otherwise(0)).alias("candidate"))
 
 
+def ref_join_exact_candidate(spark, d):
+    return _exact_candidate(spark, d, table(spark, d, "part").where("p_size < 10"))
+
+
+def ref_join_exact_candidate_all(spark, d):
+    return _exact_candidate(spark, d, table(spark, d, "part"))
+
+
 def dep_rollup(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     g = o.groupBy("c_nationkey").agg(F.count("*").alias("n_orders"), F.sum(F.when(F.col("o_totalprice") > 300000, 1).otherwise(0)).alias("n_high"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ", ").alias("priorities"))
@@ -116,23 +124,46 @@ def cross_identity(spark, d):
     return j.select("doc_id", F.when(F.col("quality").isNull(), "unlabelled").when(F.col("expected").isNull(), "orphan").when(F.col("quality") == F.col("expected"), "same").otherwise("different").alias("state"))
 
 
-def diag_scope_join(spark, d):
+def _scopes(spark, d, users):
     e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id")
-    users = table(spark, d, "events").select("user_id").distinct().where("user_id % 3 = 0")
     general = e.where("event_id % 100 = 0").select("event_id")
     # Diagnostics of global scope meet every user; they are few and counted before they are broadcast.
     hit = users.crossJoin(F.broadcast(general) if general.count() <= 10_000 else general).select("user_id", "event_id", F.lit("global").alias("scope"))
     return hit.unionByName(e.where("event_id % 100 != 0").join(users, "user_id").select("user_id", "event_id", F.lit("exact").alias("scope")))
 
 
+def _users(spark, d):
+    return table(spark, d, "events").select("user_id").distinct()
+
+
+def diag_scope_join(spark, d):
+    return _scopes(spark, d, _users(spark, d).where("user_id % 3 = 0"))
+
+
+def diag_scope_join_all(spark, d):
+    return _scopes(spark, d, _users(spark, d).where("user_id IS NOT NULL"))
+
+
+def _balances(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") * 100).cast("bigint").alias("bal"))
+
+
 def pair_ranking(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") * 100).cast("bigint").alias("bal"))
+    s = _balances(spark, d)
     a, b = s.select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("bal").alias("bal_a")), s.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("bal").alias("bal_b"))
     # Candidates meet within their nation and on the same parity, never all with all.
     met = a.withColumn("p", F.col("a") % 2).join(b.withColumn("p", F.col("b") % 2), ["s_nationkey", "p"]).where("a < b").withColumn("score", -F.abs(F.col("bal_a") - F.col("bal_b")))
     return core.top_k(met, ["s_nationkey"], [F.desc("score"), "a", "b"], 1).select(F.col("s_nationkey").cast("bigint").alias("s_nationkey"), "a", "b", "score")
 
 
+def pair_ranking_all(spark, d):
+    """The nearest pair of each nation, whatever its keys: the nearest balances are neighbours in their order, and equal ones are in the order of their keys."""
+    before = Window.partitionBy("s_nationkey").orderBy("bal", "s_suppkey")
+    s = _balances(spark, d).where("s_nationkey IS NOT NULL AND bal IS NOT NULL").withColumn("other", F.lag("s_suppkey").over(before)).withColumn("score", F.lag("bal").over(before) - F.col("bal"))
+    met = s.where("other IS NOT NULL").select("s_nationkey", F.least("s_suppkey", "other").alias("a"), F.greatest("s_suppkey", "other").alias("b"), "score")
+    return core.top_k(met, ["s_nationkey"], [F.desc("score"), "a", "b"], 1).select(F.col("s_nationkey").cast("bigint").alias("s_nationkey"), "a", "b", "score")
+
+
 def asof_version(spark, d):
     e = table(spark, d, "events").select(F.col("event_id"), F.col("user_id").alias("k"), (F.col("ts") - F.expr("INTERVAL 4 YEARS")).alias("at"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("since"), F.col("o_orderkey").alias("v"))
@@ -164,7 +195,7 @@ def key_set_diff(spark, d):
     return j.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (dep_diff, dep_diff_zip, snapshot_pairing, replacement_overlap, same_key_conflict, best_row_merge, contract_validate, ref_join_exact_candidate, dep_rollup, impact_rank, semi_truth, anti_truth, edge_reconcile, api_audit, cross_identity, diag_scope_join, pair_ranking, asof_version, classpath_shadow, dup_detect, set_ops, key_set_diff)}
+QUERIES = {f.__name__: f for f in (dep_diff, dep_diff_zip, snapshot_pairing, replacement_overlap, same_key_conflict, best_row_merge, contract_validate, ref_join_exact_candidate, ref_join_exact_candidate_all, dep_rollup, impact_rank, semi_truth, anti_truth, edge_reconcile, api_audit, cross_identity, diag_scope_join, diag_scope_join_all, pair_ranking, pair_ranking_all, asof_version, classpath_shadow, dup_detect, set_ops, key_set_diff)}
 
 _TRUTH = "(SELECT l_partkey FROM lineitem WHERE year(l_shipdate) IN (1999, 2000) GROUP BY 1 HAVING count(DISTINCT year(l_shipdate)) = 2)"
 SQL = {
