@@ -225,3 +225,23 @@ def test_lm_trains_on_every_position(spark, monkeypatch):
     docs = frame(spark, ["a b c " * 50, "d", None, "e f"])
     masked_lm.train(docs, masked_lm.count_words(docs)[0])
     assert staged["weights"].agg({"seen": "sum"}).first()[0] == 153
+
+
+def test_decontamination_finds_items_with_repeated_shingles():
+    rng = random.Random(9)
+    for _ in range(5):
+        item = [f"i{k}" for k in range(188)] + ["again"] * 12
+        rng.shuffle(item)
+        changed = {k for k, w in enumerate(item) if w == "again"} | set(rng.sample([k for k, w in enumerate(item) if w != "again"], 8))
+        window = [f"o{k}" if k in changed else w for k, w in enumerate(item)]
+        words = ["before"] * 30 + window + ["after"] * 30
+        got = decontaminate.Benchmark([(1, " ".join(item))], 1, 0.8).match(" ".join(words))
+        assert [(g[0], round(g[4], 6)) for g in got] == [(1, round(180 / 220, 6))]
+    for _ in range(100):
+        words = decontaminate.word_hashes(" ".join(rng.choice("abcdef") for _ in range(rng.randint(5, 40))))
+        item = decontaminate.Counter(decontaminate.word_hashes(" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 12)))).tolist())
+        width = min(sum(item.values()), len(words))
+        want = min((-decontaminate.weighted_similarity(words[s : s + width], item), s) for s in range(len(words) - width + 1))
+        at = [p for p, g in enumerate(words.tolist()) if g in item]
+        got = decontaminate.best_window(at, words, item, width, len(words) - width)
+        assert got == (want if want[0] else (0.0, 0))

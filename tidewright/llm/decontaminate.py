@@ -6,6 +6,9 @@ fingerprints, by blocks of bits with a bounded number of flips looked up in each
 within the radius (if at most R of 128 bits differ, then one of B blocks differs in at most R // B).
 Candidates are verified by the weighted Jaccard similarity of window and item: shingles weigh as often as they occur.
 
+Repeated shingles weigh on all bits, so a similar window can lie beyond the radius. Items of which a document holds
+enough shingles to reach the threshold are therefore also counted through the document, window by window.
+
 A window without a single shingle of the item has similarity zero, so only windows that hold one are
 fingerprinted. That loses no result.
 """
@@ -65,6 +68,27 @@ def weighted_similarity(a: np.ndarray, b: Counter) -> float:
     return both / (sum(c.values()) + sum(b.values()) - both)
 
 
+def best_window(at: list[int], grams: np.ndarray, item: Counter, width: int, last: int) -> tuple[float, int]:
+    """(-similarity, start) of the first best window of ``width`` shingles, by sliding over the places of the item's shingles."""
+    size, held, both = sum(item.values()), Counter(), 0
+    best, enter, leave = (0.0, 0), 0, 0
+    found = [int(grams[p]) for p in at]
+    # The shared count only changes where a shingle enters or leaves; starts past either end are moved to it.
+    for start in sorted({min(max(0, s), last) for p in at for s in (p - width + 1, p + 1)}):
+        while enter < len(at) and at[enter] < start + width:
+            g = found[enter]
+            held[g] += 1
+            both += held[g] <= item[g]
+            enter += 1
+        while leave < enter and at[leave] < start:
+            g = found[leave]
+            both -= held[g] <= item[g]
+            held[g] -= 1
+            leave += 1
+        best = min(best, (-both / (size + width - both), start))
+    return best
+
+
 class HammingIndex:
     """All fingerprints within RADIUS of a query, by blocks in which at most RADIUS // BLOCKS bits differ."""
 
@@ -128,7 +152,10 @@ class Benchmark:
             hits = np.flatnonzero(near[(grams >> shift).astype(np.int64)])
             hits = hits[keys[np.minimum(np.searchsorted(keys, grams[hits]), len(keys) - 1)] == grams[hits]]
             starts: dict[int, set] = defaultdict(set)
+            places: dict[int, list] = defaultdict(list)
             for p in hits.tolist():
+                for k in self.by_gram[n][int(grams[p])]:
+                    places[k].append(p)
                 for size in {sum(self.items[k][2].values()) for k in self.by_gram[n][int(grams[p])]}:
                     starts[size].add(p)
             for size, at in starts.items():
@@ -142,6 +169,14 @@ class Benchmark:
                         similarity = weighted_similarity(grams[start : start + width], self.items[k][2])
                         if similarity >= self.threshold and (k not in best or (-similarity, start) < best[k][:2]):
                             best[k] = (-similarity, start, width + n - 1, distance)
+            for k, at in places.items():
+                item = self.items[k][2]
+                width = min(sum(item.values()), len(grams))
+                if len(at) * (1 + self.threshold) >= self.threshold * (sum(item.values()) + width) - 1e-6:
+                    found = best_window(at, grams, item, width, len(grams) - width)
+                    if -found[0] >= self.threshold and (k not in best or found < best[k][:2]):
+                        window = fingerprints(grams[found[1] : found[1] + width], width)
+                        best[k] = (*found, width + n - 1, int((window != self.items[k][3]).sum()))
         return [(self.items[k][0], start, size, distance, -s) for k, (s, start, size, distance) in sorted(best.items())]
 
 
