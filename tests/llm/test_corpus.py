@@ -245,3 +245,11 @@ def test_decontamination_finds_items_with_repeated_shingles():
         at = [p for p, g in enumerate(words.tolist()) if g in item]
         got = decontaminate.best_window(at, words, item, width, len(words) - width)
         assert got == (want if want[0] else (0.0, 0))
+
+
+def test_language_learning_reads_any_part_and_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: (texts, labels))
+    rows = [(k, "a" * 4096 + "b" * 40_000, f"l{k % 205}") for k in range(410)]
+    texts, labels = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rows_each=10)
+    assert len(texts) == 410 and len(set(labels)) == 205 and {len(x) for x in texts} == {4096}
+    assert sum(x.endswith(b"b") for x in texts) > 350

@@ -23,7 +23,7 @@ from .common import batch_bytes, crc32_of, spread, table
 WINDOW, HIDDEN, BATCH = 128, 8, 1024
 #: Training rows for each language (those with the smallest hashes of their ids), bytes of each, and steps.
 ROWS_EACH, ROW_BYTES, STEPS = 600, 4096, 260
-#: Languages learned at most, the most frequent ones.
+#: Beyond so many languages each has fewer training rows, so that all of them still fit the driver.
 LANGUAGES = 200
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -190,14 +190,20 @@ def label_positions(model: ByteGRU, text: str) -> list[str]:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = ROWS_EACH) -> ByteGRU:
-    """A network for the languages in ``lang_col``, learned from about ``rows_each`` rows of each (twice that on average at the very most) with non-null text and language."""
+    """A network for the languages in ``lang_col``, learned from about ``rows_each`` rows of each (twice that on average at the very most) with non-null text and language.
+
+    Every language that has rows is learned; beyond LANGUAGES of them each has a smaller share of the same number of rows (about one at least).
+    A span of at most ROW_BYTES bytes, anywhere in the text by a hash, is read of each row, and ``fit`` takes STEPS steps.
+    """
     rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text IS NOT NULL AND lang IS NOT NULL")
-    wanted = F.lit(False)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    for lang, n in sizes:  # a threshold on the hash for each language keeps about rows_each of its rows
-        share = rows_each / n
-        wanted |= (F.col("lang") == lang) & (F.col("h") <= (2**63 - 1 if share >= 1 else int(-(2**63) + share * 2**64)))
-    chosen = rows.where(wanted).select("lang", F.substring(F.col("text").cast("binary"), 1, ROW_BYTES).alias("text"), "h")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    rows_each = max(1, min(rows_each, rows_each * LANGUAGES // max(1, len(sizes))))
+    # A threshold on the hash for each language keeps about rows_each of its rows, for a rare one all.
+    below = [(lang, 2**63 - 1 if n <= rows_each else int(-(2**63) + rows_each / n * 2**64)) for lang, n in sizes]
+    limits = docs.sparkSession.createDataFrame(below, "lang string, below bigint")
+    size = F.octet_length("text")
+    at = (1 + F.pmod(F.xxhash64("h", F.lit("span")), F.greatest(size - ROW_BYTES, F.lit(0)) + 1)).cast("int")
+    chosen = rows.join(F.broadcast(limits), "lang").where("h <= below").select("lang", F.substring(F.col("text").cast("binary"), at, F.lit(ROW_BYTES)).alias("text"), "h")
     got = chosen.orderBy("h", "text").limit(2 * rows_each * max(1, len(sizes))).collect()
     return fit([bytes(r["text"]) for r in got], [r["lang"] for r in got])
 
