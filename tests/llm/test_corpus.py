@@ -253,3 +253,13 @@ def test_language_learning_reads_any_part_and_every_language(spark, monkeypatch)
     texts, labels = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rows_each=10)
     assert len(texts) == 410 and len(set(labels)) == 205 and {len(x) for x in texts} == {4096}
     assert sum(x.endswith(b"b") for x in texts) > 350
+
+
+def test_toxicity_learns_exception_phrases(spark):
+    rng = random.Random(7)
+    texts = [f"{text(rng, 9)} moron {text(rng, 9)}" for _ in range(200)] + [f"{text(rng, 9)} moron proof {text(rng, 9)}" for _ in range(4)] + [text(rng, 20) for _ in range(196)]
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(400)], "doc_id bigint, toxic int")
+    lex = toxicity.learn(frame(spark, texts), labels)
+    a = lex.automaton()
+    assert "moron proof" in lex.exceptions
+    assert lex.density("w1 moron proof w2", a) == 0 < lex.density("w1 moron w2", a)

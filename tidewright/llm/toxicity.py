@@ -25,6 +25,8 @@ from .common import crc32_of, spread, stage, staged, sweep, table
 SAMPLE = 20_000
 #: Lengths of learned beginnings of words; entries of the lexicon at most.
 PREFIXES, ENTRIES = range(3, 9), 20_000
+#: Clean labelled rows that a phrase must be in to be an exception; exceptions are bounded by ENTRIES, too.
+PHRASE_ROWS = 3
 #: Words that every text counts as having besides its own, so that one match in a short text isn't everything.
 PSEUDO_WORDS = 20.0
 
@@ -111,12 +113,43 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part, "toxic": [toxic[t] for t in part], "clean": [clean[t] for t in part], "contexts": [list(contexts.get(t, ()))[:64] for t in part]})
 
 
+def _phrases(text: str | None, automaton) -> set[str]:
+    """The words that entries match in a text, each with the word before and with the word after."""
+    folded = fold(text)
+    words, found = folded.split(), set()
+    if not words or not len(automaton):
+        return found
+    at, start = {}, 0  # the blank before each word
+    for k, w in enumerate(words):
+        at[start] = k
+        start += len(w) + 1
+    for end, (size, _) in automaton.iter(folded):
+        k = at[end - size + 1]
+        found |= {" ".join(words[a:b]) for a, b in ((k - 1, k + 1), (k, k + 2)) if a >= 0 and b <= len(words)}
+    return found
+
+
+def _harmless(lexicon: Lexicon, rows: DataFrame) -> list[str]:
+    """Phrases with an entry that PHRASE_ROWS clean labelled rows have and no toxic one."""
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, toxic, clean = lexicon.automaton(), Counter(), Counter()
+        for b in batches:
+            for text, label in zip(b["text"], b["toxic"]):
+                (toxic if label > 0 else clean).update(_phrases(text, a))
+        both = list(toxic.keys() | clean.keys())
+        yield pd.DataFrame({"phrase": pd.Series(both, dtype="object"), "toxic": pd.Series([toxic[p] for p in both], dtype="int64"), "clean": pd.Series([clean[p] for p in both], dtype="int64")})
+
+    found = rows.mapInPandas(counted, "phrase string, toxic bigint, clean bigint").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return [r["phrase"] for r in found.where((F.col("toxic") == 0) & (F.col("clean") >= PHRASE_ROWS)).orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect()]
+
+
 def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from labelled rows: ``labels`` has doc_id and toxic, one row for each labelled document.
 
     At most ``sample`` labelled rows are used, those with the smallest hashes of their identifiers. A term becomes
     an entry if toxic documents have it far more often than others (by more than chance among as many terms), after
-    varying words, so that what copies of one document share isn't taken for a sign. Rows with a null in
+    varying words, so that what copies of one document share isn't taken for a sign. Exception phrases, besides the given
+    ones, are two words with an entry that several clean rows have and no toxic one. Rows with a null in
     doc_id or toxic are passed over. Without toxic rows the lexicon is empty.
     """
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -143,7 +176,9 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
         if not any(term[:k] in weights for k in range(2, len(term))):  # a shorter beginning says it all
             weights[term] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
     top = max(weights.values(), default=1.0)
-    lexicon = _calibrate(Lexicon({k: w / top for k, w in weights.items()}, exceptions or []), rows)
+    lexicon = Lexicon({k: w / top for k, w in weights.items()})
+    lexicon.exceptions = [*(exceptions or []), *_harmless(lexicon, rows)]
+    lexicon = _calibrate(lexicon, rows)
     sweep(docs.sparkSession, mark, [])
     return lexicon
 
