@@ -101,7 +101,44 @@ def test_streaming_search_equals_a_whole_lattice():
         while node:
             ids[:0] = [node[2]] if node[2] >= 0 else [p.byte_id[b] for b in marked[node[1] : end].encode()]
             node, end = node[0], node[1]
-        assert list(p.search(marked)) == ids
+        assert list(p.search(marked.replace(pieces.SPACE, " "))) == ids
+
+
+def test_piece_batches_equal_the_search_for_one_text(monkeypatch):
+    p = pieces.load(pieces.default_model())
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc é漢🙂▁\n\t ") for _ in range(rng.randint(0, 200))) for _ in range(200)] + ["", " ", "  a", "y" * 300, " " * 100, "\ufffe"]
+    raw = [t.encode() for t in texts]
+    ids, begins = p.encode_all(raw)
+    for k, t in enumerate(texts):
+        assert ids[begins[k] : begins[k + 1]].tolist() == (list(p.search(" " + t)) if t else [])
+    assert list(p.decode_all(ids, begins)) == raw
+    monkeypatch.setattr(p, "stretches", False)  # as if pieces crossed white space
+    again, at = p.encode_all(raw)
+    assert (again == ids).all() and (at == begins).all()
+
+
+@pytest.mark.parametrize("pattern", [" ", "ab", "x \n", "漢"])
+def test_piece_search_is_linear_and_exact_on_long_texts(pattern):
+    import time
+
+    p = pieces.load(pieces.default_model())
+    took = []
+    for n in (20_000, 100_000):
+        t = (pattern * n)[:n]
+        begin = time.process_time()
+        ids = p.encode(t)
+        took.append(time.process_time() - begin)
+        assert p.decode(ids) == t
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_portions_keep_every_text():
+    texts = [b"a" * k for k in (0, 5, 100, 3, 0, 50, 50)]
+    got = list(pieces.portions(texts, 60))
+    assert [k for low, high in got for k in range(low, high)] == list(range(7))
+    assert all(high - low == 1 or sum(map(len, texts[low:high])) <= 60 for low, high in got)
+    assert list(pieces.portions([], 60)) == []
 
 
 def test_chat_windows_read_back_exactly(spark):
