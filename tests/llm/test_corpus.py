@@ -184,6 +184,32 @@ def test_shards_equal_the_tokenizer(spark, tmp_path):
         start += len(ids)
 
 
+def test_words_equal_the_library_on_odd_texts_and_a_small_memory(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sstable, "REMEMBERED", 40)
+    words, t = sstable.Words(sstable.default_tokenizer()), Tokenizer.from_file(sstable.default_tokenizer())
+    rng = random.Random(8)
+    odd = ["İ.", "ΣΑΣ,", "e\u0301.", "\u0958.", "\u0958", "don't", "'s", "a'.", "x...", "É!", "3.14", "<|endoftext|>.", "\u0085a", "a\u00a0b", "\u200b.", "ǅ,", "ﬁn;", "\x00", "漢字.", "a\rb"]
+    texts = [rng.choice([" ", "\n", "  ", "\t"]).join(rng.choice([*odd, *WORDS, *(w + "." for w in WORDS)]) for _ in range(rng.randint(0, 60))) for _ in range(150)] + odd
+    got = list(words.encode_all([x.encode() for x in texts], b""))
+    assert [np.frombuffer(g, words.kind).tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_shards_answer_look_ups(spark, tmp_path):
+    ids = [None, -3, 5, 5, 900, *range(1000, 1400, 2)]
+    made = sstable.write_shards(frame(spark, [f"w{k}" for k in range(len(ids))], ids).repartition(4), f"file://{tmp_path}/s", 2)
+    everything = {}
+    for i, e in zip(ids, sstable.Words(sstable.default_tokenizer()).encode_all([f"w{k}".encode() for k in range(len(ids))], b"\2\0")):
+        everything.setdefault(i, []).append(np.frombuffer(e, "<u2").tolist())
+    wanted = spark.createDataFrame([(k,) for k in [None, 5, 5, 1001, 1002, 1398, 7]], "doc_id bigint")
+    got = {}
+    for r in sstable.look_up(made, wanted).collect():
+        got.setdefault(r.doc_id, []).append(r.ids)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(everything[k]) for k in (None, 5, 1002, 1398)}
+    assert sstable.look_up(made, wanted.limit(0)).count() == 0
+
+
 def test_warc_round_trip_with_segments(spark, tmp_path):
     big = "é<p>" * 40_000
     pages = [(1, "http://a", "x"), (2, "http://b", big), (0, None, "x"), (3, "http://c", None), (4, "u", ""), (5, "u", big), (None, "u", "x")]

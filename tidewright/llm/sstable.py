@@ -15,7 +15,10 @@ numbers do; a null identifier is the empty key and comes first. A value is the i
 
 from __future__ import annotations
 
+import json
+import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from bisect import bisect_left
@@ -29,14 +32,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import filesystem, scratch, ship, table
+from .common import batch_bytes, bounded, filesystem, scratch, ship, stage, table
+from .stretches import cut, portions
 
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 * 1024, 10, 7
 MAGIC = b"TWSST\x00\x00\x01"
 _FOOTER = struct.Struct("<QQQQQQB7x8s")
 _INDEX = struct.Struct("<QQIQQH")
-#: Distinct stretches remembered by a Python worker in each of two generations.
-REMEMBERED = 300_000
+#: Distinct words remembered by a Python worker in each of two generations.
+REMEMBERED = 600_000
+#: White space that becomes a blank before texts are cut, and marks that are words of their own after a letter.
+_WHITE = bytes(32 if 9 <= k <= 13 else k for k in range(256))
+MARKS = ".,;:!?"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -182,43 +189,96 @@ class Reader:
 
 
 class Words:
-    """The tokenizers library behind a memory of stretches between blanks, tabs and line feeds.
+    """The tokenizers library behind a memory of the stretches between white space.
 
-    For tokenizers that drop white space before they split words, as the default one does: there no token depends on what lies
-    beyond a blank.
+    Only for tokenizers that drop white space before they split words, as the default one does, may a text be cut there (two probes
+    tell); others get whole texts. Of words that aren't remembered, those of letters alone are handed to the library in one text, whose ids
+    are cut after the tokens that end a word; letters followed by one mark are those letters and the mark.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, text: str | None, end: bytes) -> bytes:
-        parts = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        out = list(map(self.young.get, parts))
-        if None in out:
-            self._learn({p for p, o in zip(parts, out) if o is None})
-            out = [self.young[p] if o is None else o for p, o in zip(parts, out)]
-        out.append(end)
-        return b"".join(out)
-
-    def _learn(self, missing: set[str]) -> None:
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = self.kind.itemsize
+        self.cuttable = self._ids("a. \n\tb 1") == [*self._ids("a."), *self._ids("b"), *self._ids("1")] and not self._ids(" \n\t\r")
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends[k] = token.endswith(suffix)
+        self.mark = {m: self._bytes(m) for m in MARKS}
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.kind).tobytes()
+
+    def encode_all(self, texts: list[bytes], end: bytes) -> Iterator[bytes]:
+        """The ids of every text (UTF-8) with ``end`` after them."""
+        for low, high in portions(texts):
+            if not self.cuttable:
+                for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[low:high]], add_special_tokens=False):
+                    yield np.array(e.ids, self.kind).tobytes() + end
+                continue
+            found = cut(texts[low:high], fold=_WHITE)
+            words = found.texts()
+            values = list(map(self.young.get, words))
+            missing = [w for w, v in zip(words, values) if v is None]
+            if missing:
+                known = self._learn(missing)
+                values = [known[w] if v is None else v for w, v in zip(words, values)]
+            data, begins = found.gather(pa.array(values, pa.large_binary()))
+            bounds = begins.tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                yield bytes(data[a:b]) + end
+
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of all ``missing`` words, which are remembered too."""
         if len(self.young) + len(missing) > REMEMBERED:
-            self.old, self.young = self.young, {"": b""}
-        young, old, kind, new = self.young, self.old, f"<u{self.width}", []
-        for p in missing:
-            if p in old:
-                young[p] = old[p]
+            self.old, self.young = self.young, {b"": b""}
+        young, old = self.young, self.old
+        plain, marked, other = {}, [], []
+        for w in missing:
+            if w in old:
+                young[w] = old[w]
+                continue
+            text = w.decode()
+            # A letter may fall apart into one and a mark when it is composed or lower-cased.
+            seen = text if text.isascii() else unicodedata.normalize("NFC", text).lower()
+            if seen.isalpha():
+                plain[w] = text
+            elif text[-1] in self.mark and seen[:-1].isalpha() and seen[-1] == text[-1]:
+                marked.append(w)
+                if (v := young.get(w[:-1]) or old.get(w[:-1])) is None:
+                    plain[w[:-1]] = text[:-1]
+                else:
+                    young[w[:-1]] = v
             else:
-                new.append(p)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            young[p] = np.array(e.ids, kind).tobytes()
+                other.append(w)
+        names = list(plain)
+        for low in range(0, len(names), 2_000):
+            part = names[low : low + 2_000]
+            ids = np.array(self._ids(" ".join(plain[w] for w in part)), self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # not one word each, for this library
+                other += part
+                continue
+            data, at = ids.tobytes(), 0
+            for w, stop in zip(part, (ends * self.width).tolist()):
+                young[w] = data[at:stop]
+                at = stop
+        for low in range(0, len(other), 2_000):
+            part = other[low : low + 2_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                young[w] = np.array(e.ids, self.kind).tobytes()
+        for w in marked:
+            young[w] = young[w[:-1]] + self.mark[chr(w[-1])]
+        return young
 
 
 @lru_cache(maxsize=2)
@@ -232,8 +292,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A row for each shard; first_id and last_id are the least and largest identifiers in it (null where it holds none).
+MANIFEST = "shard bigint, path string, docs bigint, tokens bigint, has_null boolean, first_id bigint, last_id bigint"
+
+
 def write_shards(docs: DataFrame, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Encode ``docs`` and write shards to ``folder``; the written manifest: ``shard, path, docs, tokens``.
+    """Encode ``docs`` and write shards to ``folder``; the written manifest: ``shard, path, docs, tokens, has_null, first_id, last_id``.
 
     Shards follow each other in ascending order of the identifier (null first; repeated identifiers in order of a
     hash of their texts). Null texts count as empty, and ``end_id`` is appended to every document. An empty table gives no shards.
@@ -244,26 +308,65 @@ def write_shards(docs: DataFrame, folder: str, end_id: int, id_col: str = "doc_i
     ship(spark)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, fs_path, words, writer = TaskContext.get().partitionId(), None, _words(path), None
-        end = np.array([end_id], f"<u{words.width}").tobytes()
+        shard, words, writer, has_null, first, last = TaskContext.get().partitionId(), _words(path), None, False, None, None
+        end = np.array([end_id], words.kind).tobytes()
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.encode_all(batch_bytes(b.column("text")), end)):
                 if writer is None:
                     uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.sst"
                     fs, fs_path = filesystem(uri)
                     fs.create_dir(fs_path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(fs_path)
                     writer = Writer(out, words.width)
-                writer.add(key_of(doc_id), words.encode(text, end))
+                has_null |= doc_id is None
+                first, last = doc_id if first is None else first, doc_id
+                writer.add(key_of(doc_id), ids)
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [uri], "docs": pa.array([writer.docs], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in [(shard, pa.int64()), (uri, pa.string()), (writer.docs, pa.int64()), (writer.tokens, pa.int64()), (has_null, pa.bool_()), (first, pa.int64()), (last, pa.int64())]],
+                ["shard", "path", "docs", "tokens", "has_null", "first_id", "last_id"],
+            )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    ordered.mapInArrow(written, "shard bigint, path string, docs bigint, tokens bigint").write.parquet(f"{folder}/manifest")
-    return spark.read.schema("shard bigint, path string, docs bigint, tokens bigint").parquet(f"{folder}/manifest")
+    ordered.mapInArrow(written, MANIFEST).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, ids`` for every entry of the identifiers in ``wanted`` (repeats count once; null finds null ones); none for those that no shard holds.
+
+    The manifest's key ranges name the shards that can hold an identifier; in each of them its Bloom filter, the
+    binary search over the block index and one block answer. Identifiers of one shard are dealt to several tasks.
+    """
+    spark = manifest.sparkSession
+    ship(spark)
+    ids = wanted.select(F.col(id_col).cast("bigint").alias("doc_id")).distinct()
+    ranges = bounded(stage(manifest.select("path", "has_null", "first_id", "last_id"), "ranges"))
+    asked = ids.join(ranges, F.col("doc_id").between(F.col("first_id"), F.col("last_id")) | (F.col("doc_id").isNull() & F.col("has_null"))).select("path", "doc_id")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = f = None
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            for uri, doc_id in zip(b.column("path").to_pylist(), b.column("doc_id").to_pylist()):
+                if uri != path:
+                    if f is not None:
+                        f.close()
+                    fs, fs_path = filesystem(uri)
+                    path, f = uri, fs.open_input_file(fs_path)
+                    shard = Reader(f)
+                for value in shard.get(doc_id):
+                    out[0].append(doc_id)
+                    out[1].append(value.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        if f is not None:
+            f.close()
+
+    dealt = asked.repartition("path", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("path", "doc_id")
+    return dealt.mapInArrow(found, "doc_id bigint, ids array<int>")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
