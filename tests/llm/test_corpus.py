@@ -260,33 +260,66 @@ def test_lm_tells_rare_words_apart_by_their_counts(spark):
     texts = ["the and of " * 40, *["seen " * 5] * 2, "once"]
     got = {r.doc_id: r for r in masked_lm.score(frame(spark, texts), vocabulary=3).collect()}
     vocabulary, rare = masked_lm.count_words(frame(spark, texts), 3)
-    assert vocabulary.rare_mass.sum() == 11 and sorted(r.n for r in rare.collect()) == [1, 10]
+    assert vocabulary.rare_mass == 11 and sorted(r.n for r in rare.collect()) == [1, 10]
     assert got[3].n_words == 1 and got[1].mean_log_prob > got[3].mean_log_prob + 1
 
 
+def small_lm(mass, top=2):
+    tree = masked_lm.huffman(np.array(mass), top)
+    words = np.arange(len(mass)) * 11
+    return masked_lm.Vocabulary(words, np.arange(len(mass)), 0, tree)
+
+
 def test_lm_predicts_the_word_itself_from_its_sides():
     a, b, x, y = range(4)  # x and y are equally frequent; their sides alone tell them apart
     rng = random.Random(4)
-    tree = masked_lm.huffman(np.array([100, 100, 50, 50]))
-    w = masked_lm.initial()
-    rows = np.array([k for _ in range(2000) for k in rng.choice([(a, x, a), (b, y, b)])])
-    context = masked_lm.contexts(rows)
+    v, w = small_lm([100, 100, 50, 50]), masked_lm.initial()
+    sequence, at = masked_lm.line_up(np.array([k for _ in range(2000) for k in rng.choice([(a, x, a), (b, y, b)])]), np.arange(0, 6001, 3))
+    assert (sequence[at] != masked_lm.EDGE).all() and len(sequence) == 6000 + 2 * 2001
+    squares = masked_lm.no_squares(w)
     for _ in range(20):
-        for k in range(0, len(rows), 256):
-            masked_lm.train_step(w, context[k : k + 256], rows[k : k + 256], 0.1, tree)
-    words = np.sort(np.array([11, 22, 33, 44]))
-    scorer = masked_lm.Scorer(masked_lm.Vocabulary(words, np.arange(4), np.zeros(masked_lm.BUCKETS), tree), w)
-    right, wrong = (scorer.words(words[[a, k, a]])[0][1] for k in (x, y))
-    assert right > wrong + 1
-    sums = [np.exp(scorer.words(words[[a, k, b]])[0][1]) for k in range(4)]
-    assert abs(sum(sums) - 1) < 1e-5
+        for k in range(0, len(sequence) - 4, 256):
+            masked_lm.train_step(w, squares, sequence[k : k + 260], v.tree)
+    score = lambda *rows: masked_lm.log_probabilities(v, w, np.array(rows), np.array([0, len(rows)]))
+    assert score(a, x, a)[1] > score(a, y, a)[1] + 1
+    assert abs(sum(np.exp(score(a, k, b)[1]) for k in range(4)) - 1) < 1e-5
+
+
+def test_lm_gradients_equal_differences():
+    v, w = small_lm([50, 40, 30, 20, 10, 5, 3]), [x.astype(np.float64) for x in masked_lm.initial()]
+    rng = np.random.default_rng(3)
+    w[3][:8] = rng.normal(size=(8, masked_lm.HIDDEN))
+    rows, begins = rng.integers(0, 7, 40), np.array([0, 25, 25, 40])
+    sequence, _ = masked_lm.line_up(rows, begins)
+    loss = lambda: -masked_lm.log_probabilities(v, w, rows, begins).sum()
+    words, (found, de), dw1, db1, top, others = masked_lm.gradients(w, sequence, v.tree)
+    assert words == 40
+    du = {k: g for k, g in enumerate(top)} | {int(n): g for nodes, sums in others for n, g in zip(nodes, sums)}
+    wanted = [(w[0], (int(r), 3), g[3]) for r, g in zip(found[:4], de)] + [(w[1], (k, 5), dw1[k, 5]) for k in (0, 9, 31)] + [(w[2], (k,), db1[k]) for k in (0, 7)] + [(w[3], (n, 4), g[4]) for n, g in du.items()]
+    for table, at, g in wanted:
+        kept, eps = table[at], 1e-5
+        table[at] = kept + eps
+        up = loss()
+        table[at] = kept - eps
+        down = loss()
+        table[at] = kept
+        assert abs((up - down) / (2 * eps) - g) < 1e-3 * max(1, abs(g))
+
+
+def test_lm_words_equal_plain_splitting():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab É\n\t \x0b") for _ in range(rng.randint(0, 60))).encode() for _ in range(80)]
+    hashes, which, begins = masked_lm.hashed_words(texts)
+    for k, t in enumerate(texts):
+        assert hashes[which[begins[k] : begins[k + 1]]].tolist() == [hash(x) for x in t.lower().split()]
 
 
 def test_lm_trains_on_every_position(spark, monkeypatch):
     staged, stage = {}, masked_lm.stage
     monkeypatch.setattr(masked_lm, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
-    docs = frame(spark, ["a b c " * 50, "d", None, "e f"])
-    masked_lm.train(docs, masked_lm.count_words(docs)[0])
+    docs = frame(spark, ["a b c " * 50, "d", None, "e f"]).select("doc_id", "text")
+    vocabulary = masked_lm.count_words(docs)[0]
+    masked_lm.train(masked_lm.named(docs, vocabulary), vocabulary)
     assert staged["weights"].agg({"seen": "sum"}).first()[0] == 153
 
 
