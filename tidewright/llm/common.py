@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines of the cluster see; a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidewright-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         found = "file://" + found
@@ -76,6 +78,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,7 +99,8 @@ def located(docs: DataFrame, file: str, row: str) -> DataFrame:
     time it is read.
     """
     def with_locator(df: DataFrame) -> DataFrame:
-        return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        hidden = df.metadataColumn("_metadata")  # even where a column of the table has this name
+        return df.select("*", hidden["file_path"].alias(file), hidden["row_index"].alias(row))
 
     try:
         return with_locator(docs)
@@ -109,7 +117,7 @@ def release(spark: SparkSession) -> None:
 def as_scan(docs: DataFrame) -> DataFrame:
     """``docs`` if its rows can be located as they are, else staged: to be located more than once."""
     try:
-        docs.select("_metadata.row_index")
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
         return docs
     except AnalysisException:
         return stage(docs, "located")
