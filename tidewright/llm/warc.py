@@ -92,7 +92,7 @@ def records_of_page(page_id: int | None, url: str | None, payload: bytes, rid: s
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to archives in ``folder``; the written manifest has their ``path`` and number of records.
 
-    Payloads are the html in UTF-8, empty for null. Of equal payloads of ``least_bytes`` or more, the page with the smallest
+    Payloads are the html in UTF-8, empty for null. Of equal payloads (by SHA-256 and length; the SHA-1 of the records is broken) of ``least_bytes`` or more, the page with the smallest
     identifier (nulls last; of repeated rows the first by locator) is the response, the others revisit it. Other columns aren't
     read. An empty table gives no archives.
     """
@@ -100,9 +100,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     ship(spark)
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = located(pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload")), "file", "row")
-    light = stage(rows.select("page_id", "file", "row", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("bytes")), "payloads").where(F.col("bytes") >= least_bytes)
-    first = light.groupBy("sha1", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "row")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    again = light.join(first, ["sha1", "bytes"]).where("file != first.file OR row != first.row")
+    light = stage(rows.select("page_id", "file", "row", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").alias("bytes")), "payloads").where(F.col("bytes") >= least_bytes)
+    first = light.groupBy("sha256", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "row")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    again = light.join(first, ["sha256", "bytes"]).where("file != first.file OR row != first.row")
     again = stage(again.select("file", "row", F.col("first.file").alias("to_file"), F.col("first.row").alias("to_row")), "revisits")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each response and revisit record.
 
     The digest is computed from the payload as read and must equal the one stated. A revisit has the
-    payload of the response that it refers to.
+    payload of the response that it refers to; where that is in none of the archives, its length and ``refers_to`` are null
+    and the digest is the one that it states.
     """
     spark = manifest.sparkSession
     files = manifest.select("path")
@@ -219,8 +220,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     same = F.when(F.col("payload_digest") == F.col("stated_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "record_id")).cast("string"))
     responses = responses.withColumn("payload_digest", same)
     of = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("of_digest"))
-    revisits = light.where("type = 'revisit'").select("page_id", "refers_to_id", "stated_digest").join(of, "refers_to_id")
-    same = F.when(F.col("of_digest") == F.col("stated_digest"), F.col("of_digest")).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "refers_to_id")).cast("string"))
+    revisits = light.where("type = 'revisit'").select("page_id", "refers_to_id", "stated_digest").join(of, "refers_to_id", "left")
+    same = F.when(F.col("of_digest").isNull() | (F.col("of_digest") == F.col("stated_digest")), F.col("stated_digest")).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "refers_to_id")).cast("string"))
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to")).unionByName(
         revisits.select("page_id", "payload_bytes", same.alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"))
 
