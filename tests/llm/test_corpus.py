@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as spark_functions
 
 from tidewright.llm import chat, decontaminate, exact_dedup, jaccard_join, langid, masked_lm, pieces, sstable, toxicity, warc
 
@@ -30,6 +31,35 @@ def test_exact_dedup_keeps_the_largest_id_even_if_digests_collide(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 
 
+def test_dedup_state_is_kept_between_arrivals(spark, tmp_path):
+    schema = "digest string, doc_id bigint, file string, row bigint"
+    folder, state = f"file://{tmp_path}/digests", f"file://{tmp_path}/state"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        return sorted((r.digest, r.top.doc_id, r.size) for r in exact_dedup.digest_state(spark, folder, spark.createDataFrame([], schema).schema, state, 1).collect())
+
+    assert arrive(("a", 3, "f", 0), ("b", 4, "f", 1)) == [("a", 3, 1), ("b", 4, 1)]
+    assert arrive(("a", 9, "g", 0), ("c", 1, "g", 1)) == [("a", 9, 2), ("b", 4, 1), ("c", 1, 1)]  # a's hit comes from the first arrival
+    assert arrive(("a", 2, "h", 0)) == [("a", 9, 3), ("b", 4, 1), ("c", 1, 1)]
+
+
+def test_a_column_named_metadata_is_kept(spark, tmp_path):
+    base = "the quick brown fox jumps over the lazy dog and then runs away from it all"
+    df = frame(spark, ["a b", "A b", base, base + " again", None]).withColumn("_metadata", spark_functions.lit("mine"))
+    for docs in (df, spark.read.parquet(stored(df, tmp_path))):
+        left = exact_dedup.deduplicate(docs)
+        assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4]
+        left = jaccard_join.one_of_each(docs, n=3, percent=80)
+        assert left.columns == df.columns and sorted(r.doc_id for r in left.where("_metadata = 'mine'").collect()) == [0, 2, 4]
+
+
+def stored(df, tmp_path):
+    path = f"{tmp_path}/docs.parquet"
+    df.write.parquet(path)
+    return path
+
+
 @pytest.mark.parametrize("chunk", [512, 3])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
@@ -221,6 +251,16 @@ def test_warc_round_trip_with_segments(spark, tmp_path):
         warc.dechunked(b"5\r\nab")
 
 
+def test_warc_revisits_without_their_response_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "same"), (2, "u", "same")], "page_id bigint, url string, html string")
+    made = warc.write_archives(df.repartitionByRange(2, "page_id"), f"file://{tmp_path}/w")
+    got = []
+    for r in made.collect():
+        got += [(x.page_id, x.record_type, x.payload_bytes, x.refers_to, x.payload_digest) for x in warc.read_archives(made.where(spark_functions.col("path") == r.path)).collect()]
+    digest = warc.digest_of(b"same")
+    assert sorted(got) in ([(1, "response", 4, None, digest), (2, "revisit", None, None, digest)], [(1, "response", 4, None, digest), (2, "revisit", 4, 1, digest)])
+
+
 def test_language_network_gradients_and_predictions(spark):
     model = langid.fit([b"aaaa bbbb abab" * 9, b"xyxy yyyy xxyx" * 9], ["p", "q"], steps=60)
     df = frame(spark, ["abab abba bbaa", "xyyx xxyy " * 100, None, "", "12 34"])

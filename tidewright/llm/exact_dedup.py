@@ -2,7 +2,7 @@
 
 Documents arrive as a table of digests, one row each: SHA-256 of the normalised text, identifier and
 content locator (file and row number). A structured-streaming aggregation with RocksDB state, which
-lives on disk and never expires, retains for each digest the identifier and locator of the row that
+lives on disk and never expires, takes them in micro-batches and retains for each digest the identifier and locator of the row that
 stays and the size of the group. A hit (a digest seen before) is never taken on trust: the full
 bytes of every such row are read again by locator and compared with those of the row that stays.
 Digests under which texts differ are grouped again by the texts themselves.
@@ -15,9 +15,11 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import as_scan, bounded, drop_rows, located, release, remove, scratch, stage, staged, sweep, table
+from .common import as_scan, bounded, drop_rows, exists, located, release, remove, scratch, stage, staged, sweep, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Micro-batches in which a table's digests arrive: those of later ones meet the state that earlier ones left.
+BATCHES = 2
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -50,8 +52,8 @@ def _rocksdb(spark: SparkSession):
             spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
-def digest_state(spark: SparkSession, digests: str, schema, state: str) -> DataFrame:
-    """Feed what is new in the folder ``digests`` to the keyed state and return its present contents.
+def digest_state(spark: SparkSession, digests: str, schema, state: str, files: int = 1_000) -> DataFrame:
+    """Feed what is new in the folder ``digests`` to the keyed state, ``files`` files a micro-batch, and return its present contents.
 
     ``state`` holds the stream's checkpoint and its output. Called again after more files arrived in
     ``digests``, it continues from the retained state. Identifier and size only ever grow for a
@@ -60,11 +62,13 @@ def digest_state(spark: SparkSession, digests: str, schema, state: str) -> DataF
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/updates/batch={number}")
 
-    arrivals = spark.readStream.schema(schema).parquet(digests)
+    arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(digests)
     per_digest = arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("top"), F.count("*").alias("size"))
     with _rocksdb(spark):
         query = per_digest.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
+    if query.lastProgress is None and not exists(spark, f"{state}/updates"):  # nothing has ever arrived
+        return spark.createDataFrame([], "digest string, top struct<doc_id: bigint, file: string, row: bigint>, size bigint")
     updates = spark.read.schema("digest string, top struct<doc_id: bigint, file: string, row: bigint>, size bigint, batch int").parquet(f"{state}/updates")
     return updates.groupBy("digest").agg(F.max("top").alias("top"), F.max("size").alias("size"))
 
@@ -86,7 +90,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests.write.parquet(path)
     schema, digests = digests.schema, spark.read.schema(digests.schema).parquet(path)
     state = scratch(spark, "dedup-state")
-    groups = stage(digest_state(spark, path, schema, state), "dedup-groups")
+    files = -(-len(digests.inputFiles()) // BATCHES)
+    groups = stage(digest_state(spark, path, schema, state, max(1, files)), "dedup-groups")
     remove(spark, state)
     release(spark)
     repeated = bounded(stage(groups.where("size > 1"), "dedup-repeated"))
