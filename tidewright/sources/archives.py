@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..workers import ship
+
 ENTRY = "archive string, entry string, depth int, bytes long, sha256 string, content binary, reason string"
 
 
@@ -87,6 +89,8 @@ def entries(files: DataFrame, keep: tuple[str, ...] = (), limits: Limits = Limit
     ``reason`` says what is unsafe about an entry, or about the archive from there on. An archive is opened in one
     task, within ``limits``; a null content is an invalid archive.
     """
+    ship(files.sparkSession)
+
     def run(batches):
         for b in batches:
             for archive, content in zip(b["archive"], b["content"]):

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..workers import ship
+
 CALLS = "archive string, class string, method string, descriptor string, kind string, owner string, member string, target_descriptor string, problem string"
 FIELDS = "archive string, class string, field string, type string, flags int, constant string, problem string"
 #: Bytes of a constant of each tag after the tag itself; strings (1) have a length of their own.
@@ -183,6 +185,8 @@ _BROKEN = (ValueError, struct.error, KeyError, IndexError, TypeError)
 def _rows(classes: DataFrame, schema: str, rows_of) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
+    ship(classes.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = []

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-TOKEN = r"^[A-Za-z0-9_.+\-]+$"
+from ..workers import ship
+
+#: A line of a dependency list: three to five fields and a scope, joined by colons; then perhaps a file and remarks. Lazy, so that
+#: a drive letter goes to the file.
+_FIELD = r"[^\s:()\[\]]"
+_COORDINATE = rf"^\s*(?:\[[^\]]*\]\s*)?({_FIELD}+(?::{_FIELD}*){{2,4}}?:{_FIELD}+)(?::((?:[A-Za-z]:)?[\\/].*?))?(?:\s+(?:--\s|\().*)?\s*$"
 
 
 def maven_dependencies(lines: DataFrame, column: str = "line") -> DataFrame:
     """``group_id, artifact_id, type, classifier, version, scope, path, key`` of the lines of a dependency list.
 
-    Log prefixes, module notes, (optional) and the path of the file at the end are told apart; scopes may be any word.
-    Lines of another form, and those of type pom, give no row.
+    A field is any run without blanks, colons and brackets, and scopes may be any word. From the ends inwards a coordinate has
+    group and artifact, version and scope; what is left between is the type (jar if blank) and the classifier. Lines of another
+    form, null ones and those of type pom give no row.
     """
-    text = F.trim(F.regexp_replace(F.trim(column), r"^\[[A-Z]+\]\s*", ""))
-    text = F.regexp_replace(F.regexp_replace(text, r"\s+--\s+.+$", ""), r"(?i)\s+\((optional|omitted[^)]*)\)", "")
-    path = F.regexp_extract(text, r":((?:[A-Za-z]:[\\/]|/).*)$", 1)
-    parts = F.transform(F.split(F.regexp_replace(text, r":(?:[A-Za-z]:[\\/]|/).*$", ""), ":"), F.trim)
-    n = F.size("parts")
-    split = lines.select(path.alias("path"), parts.alias("parts")).where(n >= 4)
-    middle = F.slice("parts", 3, F.greatest(n - 4, F.lit(0)))  # the filter may run after this
-    at = lambda k: F.element_at("parts", k)
-    kind = F.when(F.size(middle) > 0, F.coalesce(F.nullif(F.get(middle, F.lit(0)), F.lit("")), F.lit("jar"))).otherwise("jar")
-    classifier = F.array_join(F.filter(F.slice(middle, 2, n), lambda x: x != ""), ":")
-    out = split.select(at(1).alias("group_id"), at(2).alias("artifact_id"), kind.alias("type"), classifier.alias("classifier"), at(-2).alias("version"), F.lower(at(-1)).alias("scope"), "path")
-    for c in ("group_id", "artifact_id", "type", "version", "scope"):
-        out = out.where(F.col(c).rlike(TOKEN))
-    key = F.concat_ws(":", "group_id", "artifact_id", F.nullif("classifier", F.lit("")))
-    return out.where(F.lower("type") != "pom").withColumn("key", key)
+    found = lines.select(F.split(F.regexp_extract(column, _COORDINATE, 1), ":").alias("f"), F.regexp_extract(column, _COORDINATE, 2).alias("path")).where(F.size("f") >= 4)
+    between = F.slice("f", F.lit(3), F.size("f") - 4)
+    named = found.select(
+        F.get("f", F.lit(0)).alias("group_id"), F.get("f", F.lit(1)).alias("artifact_id"), F.coalesce(F.nullif(F.get(between, F.lit(0)), F.lit("")), F.lit("jar")).alias("type"),
+        F.array_join(F.filter(F.slice(between, F.lit(2), F.greatest(F.size(between), F.lit(1))), lambda x: x != ""), ":").alias("classifier"),
+        F.get("f", F.size("f") - 2).alias("version"), F.lower(F.get("f", F.size("f") - 1)).alias("scope"), "path",
+    )
+    kept = named.where("artifact_id != '' AND version != '' AND lower(type) != 'pom'")
+    return kept.withColumn("key", F.concat_ws(":", "group_id", "artifact_id", F.nullif("classifier", F.lit(""))))
 
 
 def gradle_dependencies(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -48,78 +50,140 @@ def gradle_dependencies(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 FACTS = "report string, owner string, kind string, name string, parameters string, status string, binary string, source string, old_value string, new_value string, flags array<string>, relation boolean, problem string"
-_KINDS = {"method": "method", "constructor": "constructor", "field": "field"}
-
-
-def _tag(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2].lower().replace("-", "").replace("_", "")
-
-
-def _facts(report: str, text: str) -> Iterator[tuple]:
+_FACT_NAMES = [x.split()[0] for x in FACTS.split(", ")]
+# Element names of a comparison report, and packages of the platform itself.
+_TYPES, _MEMBERS = ("class", "interface", "enum", "annotation", "record"), ("method", "constructor", "field")
+_LISTS, _PARENTS = ("classes", "classlist"), ("interfaces", "superclass", "superclasses", "annotations")
+PLATFORM = ("java.", "jdk.", "sun.", "com.sun.")
+
+
+class _Report:
+    """Collects the facts of one report from parser events; ``open`` holds the elements around the present one, each with its fact if it has one."""
+
+    def __init__(self, report: str):
+        self.report, self.facts, self.open, self.lists = report, [], [], 0
+
+    def start(self, tag: str, attributes: dict) -> None:
+        name = tag.rpartition("}")[2].lower().replace("-", "").replace("_", "")
+        have = {k.rpartition("}")[2].lower().replace("_", ""): v for k, v in attributes.items()}
+        around = self.open[-1][0] if self.open else ""
+        inner = next((f for _, f in reversed(self.open) if f), None)
+        fact = None
+        if name in _LISTS:
+            self.lists += 1
+        elif name in _TYPES and around not in _PARENTS and self.lists:
+            fact = self._fact(have.get("fullyqualifiedname") or have.get("name"), name, have)
+            if not fact["owner"]:
+                raise ValueError("a type without a name")
+        elif name in _MEMBERS and inner:
+            fact = self._fact(inner["owner"], name, have) | {"name": have.get("name", ""), "parameters": "" if name == "field" else None}
+        elif inner is not None:
+            self._detail(inner, name, around, have)
+        self.open.append((name, fact))
+        if fact:
+            self.facts.append(fact)
+
+    def _fact(self, owner: str | None, kind: str, have: dict) -> dict:
+        return dict.fromkeys(_FACT_NAMES) | {
+            "report": self.report, "owner": owner, "kind": kind, "name": "", "parameters": "", "status": have.get("changestatus", "").upper(), "binary": have.get("binarycompatible", "unknown").lower(),
+            "source": have.get("sourcecompatible", "unknown").lower(), "old_value": have.get("oldvalue", ""), "new_value": have.get("newvalue", ""), "flags": [], "relation": False,
+        }
+
+    def _detail(self, fact: dict, name: str, around: str, have: dict) -> None:
+        if name == "parameter" and fact["parameters"] is None:
+            fact["parameters"] = have.get("type", "")
+        elif name == "parameter" and fact["kind"] in ("method", "constructor"):
+            fact["parameters"] += "," + have.get("type", "")
+        elif name == "compatibilitychange" and (flag := have.get("type") or have.get("name")) and flag not in fact["flags"]:
+            fact["flags"].append(flag)
+        elif name in ("oldvalue", "newvalue") and have.get("value"):
+            fact[name[:3] + "_value"] = have["value"]
+        elif (around in ("interfaces", "superclasses") or name == "superclass") and have.get("changestatus", "").upper() not in ("", "NEW", "UNCHANGED"):
+            fact["relation"] = True
+
+    def end(self, text: str) -> None:
+        name, fact = self.open.pop()
+        text = text.strip()
+        inner = next((f for _, f in reversed(self.open) if f), None)
+        if fact and fact["parameters"] is None:
+            fact["parameters"] = ""
+        elif inner is not None and text and name in ("oldvalue", "newvalue"):
+            inner[name[:3] + "_value"] = text
+        elif inner is not None and text and name == "compatibilitychange" and text not in inner["flags"]:
+            inner["flags"].append(text)
+
+
+def _facts(report: str, text: str) -> list[tuple]:
     if re.search(r"<!(DOCTYPE|ENTITY)", text, re.I):
         raise ValueError("a document type isn't allowed")
-
-    def fact(e: ET.Element, owner: str, kind: str) -> tuple:
-        low = {k.rpartition("}")[2].lower().replace("_", ""): v for k, v in e.attrib.items()}
-        value = {_tag(c): (c.text or "").strip() or c.get("value", "") for c in e if _tag(c) in ("oldvalue", "newvalue")}
-        flags = list(dict.fromkeys(f for c in e.iter() if _tag(c) == "compatibilitychange" and (f := c.get("type") or c.get("name") or (c.text or "").strip())))
-        relation = any(_tag(c) in ("interface", "superclass") and c.get("changeStatus", "").upper() not in ("", "NEW", "UNCHANGED") for c in e.iter() if c is not e)
-        parameters = ",".join(c.get("type", "") for c in e.iter() if _tag(c) == "parameter") if kind in ("method", "constructor") else ""
-        return (report, owner, kind, low.get("name", "") if kind != "class" else "", parameters, low.get("changestatus", "").upper(), low.get("binarycompatible", "unknown").lower(), low.get("sourcecompatible", "unknown").lower(),
-                low.get("oldvalue") or value.get("oldvalue", ""), low.get("newvalue") or value.get("newvalue", ""), flags, relation, None)
-
-    def visit(e: ET.Element, owner: str) -> Iterator[tuple]:
-        for c in e:
-            if _tag(c) == "class":
-                name = c.get("fullyQualifiedName") or c.get("name")
-                if not name:
-                    raise ValueError("a class without a name")
-                yield fact(c, name, "class")
-                yield from visit(c, name)
-            elif _tag(c) in _KINDS and owner:
-                yield fact(c, owner, _KINDS[_tag(c)])
-            else:
-                yield from visit(c, owner)
-
-    yield from visit(ET.fromstring(text), "")
+    parser, found = ET.XMLPullParser(["start", "end"]), _Report(report)
+    parser.feed(text)
+    parser.close()
+    for event, e in parser.read_events():
+        if event == "start":
+            found.start(e.tag, e.attrib)
+        else:
+            found.end(e.text or "")
+    if not found.lists:
+        raise ValueError("no list of classes")
+    return [tuple(f[n] for n in _FACT_NAMES) for f in found.facts]
 
 
 def comparison_facts(reports: DataFrame) -> DataFrame:
-    """What a binary comparison's XML says of each class and member (``report, text``); a bad report is one row with ``problem``."""
-    names = [x.split()[0] for x in FACTS.split(", ")]
+    """What a binary comparison's XML says of each type and member (``report, text``).
+
+    Types are classes, interfaces, enums, annotations and records in the report's list; the parents listed inside a type only tell whether
+    its relations changed. A flag belongs to the innermost element around it. Null, malformed and other documents are one row with ``problem``.
+    """
+    ship(reports.sparkSession)
 
     def run(batches):
         for b in batches:
             for report, text in zip(b["report"], b["text"]):
                 try:
-                    rows = list(_facts(report, text or ""))
+                    rows = _facts(report, text or "")
                 except (ET.ParseError, ValueError) as e:
-                    rows = [(report, *[None] * (len(names) - 2), str(e))]
-                yield pd.DataFrame(rows, columns=names).astype({"relation": "boolean"})
+                    rows = [(report, *[None] * (len(_FACT_NAMES) - 2), str(e))]
+                yield pd.DataFrame(rows, columns=_FACT_NAMES).astype({"relation": "boolean"})
 
     return reports.select("report", "text").mapInPandas(run, FACTS)
 
 
-def changed_apis(facts: DataFrame) -> DataFrame:
-    """The changes among the facts, with change type and reason; new, unchanged and compatible ones go.
+def outcomes(spark: SparkSession) -> DataFrame:
+    """The truth table ``value, removed, binary, source, modified -> change_type, reason``; combinations that aren't in it are no change.
 
-    A class is modified in every report that changes a member; it counts only with a change of its own: a flag of the
-    class or a changed parent type.
+    ``value`` says that a field's constant has another value, ``binary`` and ``source`` are true, false or unknown.
     """
-    own = F.exists("flags", lambda f: F.upper(f).rlike("^(CLASS|SUPERCLASS|INTERFACE|GENERIC_TEMPLATE|TYPE|ANNOTATION|ENUM|RECORD)_")) | F.col("relation")
-    f = facts.where("problem IS NULL").where(~F.col("status").isin("NEW", "UNCHANGED")).where((F.col("kind") != "class") | (F.col("status") != "MODIFIED") | own)
-    lost = (F.col("kind") == "field") & (F.col("status") == "REMOVED") & (F.col("old_value") != "")
-    f = f.withColumn("flags", F.when(lost, F.array_distinct(F.concat("flags", F.array(F.lit("CONSTANT_REMOVED"))))).otherwise(F.col("flags")))
-    value = (F.col("kind") == "field") & (F.col("old_value") != "") & (F.col("new_value") != "") & (F.col("old_value") != F.col("new_value"))
-    source_only = (F.col("binary") == "true") & (F.col("source") == "false")
-    broken = (F.col("binary") == "false") | (F.col("source") == "false") | ((F.col("status") == "MODIFIED") & (F.col("binary") == "unknown") & (F.col("source") == "unknown"))
-
-    def case(*names: str) -> Column:
-        return F.when(value, names[0]).when(F.col("status") == "REMOVED", names[1]).when(source_only, names[2]).when(broken, names[3])
-
-    out = f.withColumn("change_type", case("CONSTANT_VALUE_CHANGED", "REMOVED", "SOURCE_INCOMPATIBLE", "SIGNATURE_CHANGED"))
-    out = out.withColumn("reason", case("constant_value_changed", "removed", "binary_compatible_source_incompatible", "binary_or_source_incompatible"))
-    return out.where("change_type IS NOT NULL").drop("problem", "relation")
+    rows = []
+    for value, removed, modified in itertools.product((True, False), repeat=3):
+        for binary, source in itertools.product(("true", "false", "unknown"), repeat=2):
+            if value:
+                rows.append((value, removed, modified, binary, source, "CONSTANT_VALUE_CHANGED", "constant_value_changed"))
+            elif removed:
+                rows.append((value, removed, modified, binary, source, "REMOVED", "removed"))
+            elif (binary, source) == ("true", "false"):
+                rows.append((value, removed, modified, binary, source, "SOURCE_INCOMPATIBLE", "binary_compatible_source_incompatible"))
+            elif "false" in (binary, source) or (modified and (binary, source) == ("unknown", "unknown")):
+                rows.append((value, removed, modified, binary, source, "SIGNATURE_CHANGED", "binary_or_source_incompatible"))
+    return spark.createDataFrame(rows, "value boolean, removed boolean, modified boolean, binary string, source string, change_type string, reason string")
+
+
+def changed_apis(facts: DataFrame, platform: tuple[str, ...] = PLATFORM) -> DataFrame:
+    """The changes among the facts, with change type and reason; new, unchanged and compatible ones go, and so do owners of the platform.
+
+    A type is reported as modified when any of its members is; only a flag or a changed parent of its own makes it a change. A field that is
+    removed with its constant gets the flag CONSTANT_REMOVED.
+    """
+    is_type, constant = F.col("kind").isin(*_TYPES), (F.col("kind") == "field") & (F.col("old_value") != "")
+    own = (F.size("flags") > 0) | F.col("relation")
+    known = lambda c: F.when(F.col(c).isin("true", "false"), F.col(c)).otherwise("unknown")
+    keyed = facts.where("problem IS NULL AND status NOT IN ('NEW', 'UNCHANGED')").where(~is_type | (F.col("status") != "MODIFIED") | own).where(~reduce(lambda a, b: a | b, [F.col("owner").startswith(x) for x in platform]))
+    keyed = keyed.withColumn("value", constant & (F.col("new_value") != "") & (F.col("old_value") != F.col("new_value"))).withColumn("removed", F.col("status") == "REMOVED").withColumn("modified", F.col("status") == "MODIFIED")
+    keyed = keyed.withColumn("flags", F.when(constant & F.col("removed"), F.array_union("flags", F.array(F.lit("CONSTANT_REMOVED")))).otherwise(F.col("flags")))
+    keyed = keyed.withColumn("binary", known("binary")).withColumn("source", known("source"))
+    on = ["value", "removed", "modified", "binary", "source"]
+    # The table has at most 72 rows.
+    return keyed.join(F.broadcast(outcomes(facts.sparkSession)), on).select(*[c for c in facts.columns if c not in ("problem", "relation")], "change_type", "reason")
 
 
 CHANGED = "diff string, path string, sign string, line_no int, line string"
@@ -147,6 +211,8 @@ def _hunks(diff: str, text: str) -> Iterator[tuple]:
 
 def changed_lines(diffs: DataFrame) -> DataFrame:
     """Each added and removed line of unified diffs (``diff, text``) with file and line number; hunk sizes, not prefixes, tell headers from lines."""
+    ship(diffs.sparkSession)
+
     def run(batches):
         for b in batches:
             for diff, text in zip(b["diff"], b["text"]):
