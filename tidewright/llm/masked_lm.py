@@ -31,6 +31,8 @@ SIDE, EMBED, HIDDEN = 2, 8, 16
 MINIBATCH, RATE = 4_096, 0.15
 #: Nodes next to the root, through which most paths go: they are computed for all positions at once.
 TOP = 32
+#: Words scored together.
+CHUNK = 16_384
 #: Weights of so many partitions are averaged by one task, and come to the driver at the end.
 FAN_IN = 8
 #: The leaf of all words beyond the vocabulary, and the embedding row of a text's edge; rows between them are for groups (by hash) of those words.
@@ -367,10 +369,10 @@ def log_probabilities(vocabulary: Vocabulary, w: list[np.ndarray], rows: np.ndar
     """Log-probability of every word of several texts given both sides; for rare words without the log of their count."""
     tree, out = vocabulary.tree, np.empty(len(rows))
     sequence, at = line_up(rows, begins)
-    for low in range(0, len(rows), 2_048):  # bounded memory for long texts
-        here = at[low : low + 2_048]
+    for low in range(0, len(rows), CHUNK):  # bounded memory for long texts
+        here = at[low : low + CHUNK]
         pre = hidden(w, sequence[here[0] - SIDE : here[-1] + SIDE + 1])[1]
-        leaves = np.minimum(rows[low : low + 2_048], OTHERS)
+        leaves = np.minimum(rows[low : low + CHUNK], OTHERS)
         order, levels = tree.levels(leaves)
         h, side = np.maximum(pre[here[order] - here[0]], 0), tree.side[leaves[order]]
         z = h @ w[3][: tree.top].T
@@ -394,13 +396,6 @@ def log_probabilities(vocabulary: Vocabulary, w: list[np.ndarray], rows: np.ndar
     return out
 
 
-def _with_counts(scored: DataFrame, rare: DataFrame) -> DataFrame:
-    """``scored`` (staged: row, log_prob, rare words) with the logs of the rare words' counts added to log_prob."""
-    tokens = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    added = tokens.join(rare, "word").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("added"))
-    return scored.join(added, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """``doc_id, n_words, log_prob, mean_log_prob`` of each row, by a model of the rows' own corpus.
 
@@ -409,18 +404,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     frequent, rare = count_words(texts, vocabulary)
-    rows = stage(named(texts, frequent), "rows")
+    rows = stage(named(texts, frequent).withColumn("row", F.monotonically_increasing_id()), "rows")
     held = docs.sparkSession.sparkContext.broadcast((frequent, train(rows, frequent)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, begins = _rows(b.column("rows"))
             each = np.concatenate([[0.0], np.cumsum(log_probabilities(*held.value, flat, begins))])[begins]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(begins)), pa.array(np.diff(each)), b.column("rare")], ["doc_id", "n_words", "log_prob", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(np.diff(begins)), pa.array(np.diff(each))], ["doc_id", "row", "n_words", "known"])
 
-    out = spread(rows).mapInArrow(scored, "doc_id bigint, n_words bigint, log_prob double, rare array<bigint>")
-    out = _with_counts(stage(out.withColumn("row", F.monotonically_increasing_id()), "scored"), rare)
-    out = out.withColumn("log_prob", F.round("log_prob", 4))
+    out = spread(rows.select("doc_id", "row", "rows")).mapInArrow(scored, "doc_id bigint, row bigint, n_words bigint, known double")
+    # The logs of the rare words' counts: one row for each token is shuffled, by word.
+    counts = rare.select("word", F.log("n").alias("log_n"))
+    added = rows.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum("log_n").alias("added"))
+    out = stage(out, "scored").join(added, "row", "left").withColumn("log_prob", F.round(F.col("known") + F.coalesce("added", F.lit(0.0)), 4))
     return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
