@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import lookup_signature, version_change
+from tidewright.functions import text
 from tidewright.operators import core, graph
 
 
@@ -17,15 +17,24 @@ def test_snapshot_diff_pairs_exactly_then_by_artifact(spark):
 
 
 def test_best_row_merge_fills_blanks_from_later_rows(spark):
-    df = spark.createDataFrame([(1, 1, 1, "a", "x"), (1, 2, 0, "", "y"), (1, 3, 1, "c", ""), (2, 1, 0, None, "z")], "k int, seq int, rank int, p string, q string")
-    assert rows(core.best_row_merge(df, ["k"], ["rank"], "seq", ["p", "q"])) == [(1, 2, "c", "y"), (2, 1, None, "z")]
+    df = spark.createDataFrame([(1, 1, 1, "a", "x"), (1, 2, 0, "", "y"), (1, 3, 1, "c", ""), (2, 1, 0, None, "z"), (3, 1, 1, "early", "e"), (3, 2, 0, None, ""), (3, 3, 1, "late", None)], "k int, seq int, rank int, p string, q string")
+    assert rows(core.best_row_merge(df, ["k"], ["rank"], "seq", ["p", "q"])) == [(1, 2, "c", "y"), (2, 1, None, "z"), (3, 2, "early", "")]
 
 
 def test_reconcile_counts_repeats_once_each(spark):
-    a = spark.createDataFrame([("m", "n", "x")] * 2 + [("o", "p", "x")], "a string, b string, kind string")
-    o = spark.createDataFrame([("m", "n", "x"), ("o", "p", "y"), ("q", "r", "x")], "a string, b string, kind string")
-    got = core.reconcile(a, o, ["a", "b", "kind"], ["a", "b"]).groupBy("verdict").count()
-    assert rows(got) == [("analyzer_only", 1), ("matched", 1), ("oracle_only", 1), ("variant", 1)]
+    cols = "a string, b string, kind string, sound boolean, here boolean"
+    a = spark.createDataFrame([("m", "n", "x", True, True)] * 2 + [("o", "p", "x", True, True), ("s", "t", "x", True, True), ("u", "v", "x", False, True), ("w", "w", "x", True, False)], cols)
+    o = spark.createDataFrame([("m", "n", "x", True, True), ("o", "p", "y", True, True), ("q", "r", "x", True, True), ("s", "t", "x", True, False), ("u", "v", "x", None, True)], cols)
+    got = core.reconcile(a, o, ["a", "b", "kind"], ["a", "b"], F.col("sound"), F.col("here"))
+    assert rows(got.select("a", "verdict", "n")) == [("m", "analyzer_only", 1), ("m", "matched", 1), ("o", "variant", 1), ("q", "oracle_only", 1), ("s", "oracle_conflict", 2), ("u", "provenance_invalid", 2), ("w", "analyzer_only", 1)]
+
+
+def test_global_rank_equals_a_sort(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 101).alias("x"), "id").repartition(5)
+    got = core.global_rank(df, [F.desc("x"), "id"])
+    want = sorted(((k * 7919 % 101, k) for k in range(1000)), key=lambda r: (-r[0], r[1]))
+    assert [(r.x, r.id) for r in got.orderBy("rank").collect()] == want and got.agg(F.max("rank")).first()[0] == 1000
+    assert core.global_rank(df.limit(0), ["id"]).count() == 0
 
 
 def test_costs_decay_and_limits(spark):
@@ -41,15 +50,59 @@ def test_reachability_survives_cycles(spark):
     assert sorted("".join(r.path) for r in graph.paths(e, s, 10).collect()) == ["ab", "abc", "abcd"]
 
 
+def test_tracing_stops_for_the_first_reason(spark):
+    cols = "callee string, caller string, confidence string, system boolean, boundary boolean, test boolean, entry boolean"
+    edge = lambda a, b, c="high", system=False, boundary=False, test=False, entry=False: (a, b, c, system, boundary, test, entry)
+    e = spark.createDataFrame([
+        edge("t", "a"), edge("a", "main", entry=True), edge("a", "junit", test=True), edge("t", "jdk", system=True), edge("t", "spring", boundary=True), edge("t", "weak", "low"),
+        edge("t", "f1", "medium"), edge("f1", "f2", "low"), edge("f2", "f3", "high"), edge("t", "c"), edge("c", "t"), edge("c", "d"), edge("d", "c"), edge("u", "w1", "low"), edge("w1", "w2", "low"),
+    ], cols)
+    got = {(r.seed, ">".join(r.path)): (r.stop, r.cost) for r in graph.traced(e, spark.createDataFrame([("t",), ("u",), ("lone",)], "seed string"), 10).collect()}
+    assert got == {
+        ("t", "t>a>main"): ("BUSINESS_ENTRY", 2), ("t", "t>jdk"): ("SYSTEM_CODE_REACHED", 1), ("t", "t>spring"): ("FRAMEWORK_BOUNDARY", 1), ("t", "t>weak"): ("NO_CALLER", 5), ("t", "t>f1>f2>f3"): ("NO_CALLER", 8),
+        ("t", "t>c>d"): ("NO_CALLER", 2), ("u", "u>w1>w2"): ("LOW_CONFIDENCE_EDGE", 10), ("lone", "lone"): ("NO_CALLER", 0),
+    }
+    short = {">".join(r.path): r.stop for r in graph.traced(e, spark.createDataFrame([("t",)], "seed string"), 5).collect()}
+    assert short["t>weak"] == "LOW_CONFIDENCE_EDGE" and short["t>f1>f2"] == "LOW_CONFIDENCE_EDGE" and short["t>a>main"] == "BUSINESS_ENTRY"
+
+
+def test_topological_levels_and_cycles(spark):
+    n = spark.createDataFrame([(x,) for x in "abcdef"], "node string")
+    e = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("d", "e"), ("e", "d"), ("e", "f"), ("x", "a")], "before string, after string")
+    assert rows(graph.topological(n, e)) == [("a", 0), ("b", 1), ("c", 2), ("d", None), ("e", None), ("f", None)]
+
+
 def test_frontier_and_suffixes(spark):
     p = spark.createDataFrame([("s", 1, 5, 1), ("s", 2, 7, 2), ("s", 2, 6, 3), ("s", 3, 7, 4)], "k string, cost int, gain int, seq int")
     assert [r.seq for r in graph.pareto(p, ["k"], "cost", "gain", "seq").orderBy("seq").collect()] == [1, 2]
     c = spark.createDataFrame([("k", ["a", "b", "c"]), ("k", ["b", "c"]), ("k", ["c", "b"]), ("l", ["c"])], "k string, path array<string>")
     assert sorted("".join(r.path) for r in graph.longest_only(c, "k", "path").collect()) == ["abc", "c", "cb"]
+    r = spark.createDataFrame([("k", list("abc"), 1), ("k", list("bc"), 0), ("k", list("xyz"), 0), ("k", list("yz"), 1), ("k", ["z"], 1)], "k string, path array<string>, rank int")
+    assert sorted("".join(x.path) for x in graph.longest_only(r, "k", "path", "rank").collect()) == ["abc", "bc", "xyz", "z"]
 
 
 def test_versions_and_signatures(spark):
-    v = spark.createDataFrame([("1.2", "1.2.1"), ("1.0-RC1", "1.0"), ("2.0", "1.9"), ("-", "1"), ("1.9.9", "2.0"), ("1.2", "1.10")], "a string, b string")
-    assert [r[0] for r in v.select(version_change(F.col("a"), F.col("b"))).collect()] == ["patch", "qualifier", "downgrade", "added", "major", "minor"]
-    s = spark.createDataFrame([("java.util.Map<java.lang.String, java.util.List<a.B>>, int...",)], "s string")
-    assert s.select(lookup_signature(F.col("s"))).first()[0] == "Map,int[]"
+    want = {
+        ("1.2", "1.2.1"): ("patch", "low"), ("1.0-RC1", "1.0"): ("qualifier", "low"), ("2.0", "1.9"): ("downgrade", "high"), ("-", "1"): ("added", "pending"), ("1", "-"): ("removed", "pending"), ("1.9.9", "2.0"): ("major", "high"), ("1.2", "1.10"): ("minor", "medium"),
+        ("1.0.0.0.2", "1.0.0.0.1"): ("downgrade", "medium"), ("v1.2", "1.2"): ("changed", "confirm"), ("abc", "1.0"): ("irregular", "confirm"), ("1.0.0.RELEASE", "1.0.0"): ("changed", "confirm"), ("1.0", "1.0"): ("unchanged", "verify"), ("1.0-jre", "1.0.1-android"): ("patch", "low"),
+        ("2.0-beta-2", "2.0-beta-10"): ("qualifier", "low"), ("1.0+a", "1.0+b"): ("changed", "confirm"), ("", "1"): ("irregular", "confirm"),
+    }
+    v = spark.createDataFrame(list(want), "a string, b string")
+    assert {(r[0], r[1]): (r[2], r[3]) for r in v.select("a", "b", text.version_change(F.col("a"), F.col("b")), text.version_risk(F.col("a"), F.col("b"))).collect()} == want
+    s = spark.createDataFrame([("java.util.Map<java.lang.String, java.util.List<a.B>>, int...",), ("A<B<C<D<E<F>>>>>[], x.Y",)], "s string")
+    assert [r[0] for r in s.select(text.lookup_signature(F.col("s"))).collect()] == ["Map,int[]", "A[],Y"]
+    pairs = spark.createDataFrame([("(java.lang.String,int)", "(String, int)", True), ("(a.S)", "(b.S)", False), ("()", "", True), ("(int)", "(int,int)", False), ("(List<String>)", "(List<Integer>)", True)], "a string, b string, w boolean")
+    assert all(r.w == r.g for r in pairs.withColumn("g", text.signatures_agree(F.col("a"), F.col("b"))).collect())
+
+
+def test_names_reasons_and_chains(spark):
+    d = spark.createDataFrame([("jdkInternalAPIUsed", "a.B.m(int) → c.D -> e.F.g()", "  x y/z:1  "), (None, "", None), ("unresolved_dependency_coordinates_after_enrichment", "one", "..")], "r string, c string, n string")
+    got = [tuple(r) for r in d.select(text.canonical_reason(F.col("r")), text.chain_precision(F.col("c")), text.chain_skeleton(F.col("c")), text.safe_name(F.col("n"))).collect()]
+    assert got == [("JDK_INTERNAL_API_USED", 2, "a.B.m → c.D → e.F.g", "x_y_z_1"), ("UNKNOWN", 0, "", "unnamed"), ("DEPENDENCY_COORDINATES_UNRESOLVED", 0, "one", "unnamed")]
+    assert d.select(text.humanise(F.col("r"))).first()[0] == "Jdkinternalapiused"
+    import hashlib
+    import json
+
+    nodes = ["a.B", 'c"\\d']
+    one = spark.createDataFrame([tuple(nodes)], "a string, b string").select(text.path_id(F.col("a"), F.col("b"))).first()[0]
+    assert one == "PATH-" + hashlib.sha1(json.dumps(nodes).encode()).hexdigest()[:12]

@@ -6,37 +6,69 @@ from pyspark.sql import Column, functions as F
 
 # Order of version qualifiers; no qualifier is 0, an unknown one -6.
 QUALIFIERS = {"snapshot": -5, "alpha": -4, "a": -4, "beta": -3, "b": -3, "milestone": -2, "m": -2, "rc": -1, "cr": -1, "sp": 1, "sr": 1}
+# Endings that say nothing about the order of versions.
+PLAIN_ENDINGS = ("release", "final", "ga", "jre", "android")
+# Published names of reasons that had another name before.
+REASON_ALIASES = {"UNRESOLVED_DEPENDENCY_COORDINATES_AFTER_ENRICHMENT": "DEPENDENCY_COORDINATES_UNRESOLVED", "SPRING_PACKAGED_CLASS_AMBIGUOUS": "SPRING_RUNTIME_CLASS_AMBIGUOUS"}
 
 
-def version_key(version: Column, width: int = 4) -> Column:
-    """A struct that sorts as versions do: numbers padded with zeros, qualifier rank, qualifier number."""
-    base = F.regexp_extract(version, r"^(\d+(?:\.\d+)*)", 1)
-    numbers = F.transform(F.split(base, r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
-    padded = F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), width)), 1, width)
-    word = F.lower(F.regexp_extract(version, r"^\d+(?:\.\d+)*[.\-]?([A-Za-z]*)", 1))
+def normal_version(version: Column) -> Column:
+    """A version without leading v, build metadata after '+', plain endings and loose separators; null as ''."""
+    core = F.regexp_replace(F.trim(F.coalesce(version, F.lit(""))), r"^[vV]+|\+.*$", "")
+    return F.regexp_replace(F.regexp_replace(core, rf"(?i)[.\-_]?({'|'.join(PLAIN_ENDINGS)})$", ""), r"^[._\-]+|[._\-]+$", "")
+
+
+def version_key(version: Column) -> Column:
+    """A struct that sorts as versions do: all numbers (without zeros at the end), qualifier rank, qualifier number; null if irregular.
+
+    A version is irregular if nothing but letters comes first, or nothing at all.
+    """
+    text = normal_version(version)
+    numbers = F.transform(F.regexp_extract_all(F.regexp_extract(text, r"^((?:[^A-Za-z0-9]*[0-9]+)*)", 1), F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.try_cast("bigint"))
+    last = F.aggregate(F.transform(numbers, lambda x, k: F.when(x != 0, k + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    word = F.lower(F.regexp_extract(text, r"^(?:[^A-Za-z0-9]*[0-9]+)+[^A-Za-z0-9]*([A-Za-z]+)", 1))
     rank = F.when(word == "", 0)
     for q, r in QUALIFIERS.items():
         rank = rank.when(word == q, r)
-    number = F.regexp_extract(version, r"^\d+(?:\.\d+)*[.\-]?[A-Za-z]+[.\-]?(\d+)", 1)
-    return F.struct(padded.alias("numbers"), rank.otherwise(-6).cast("bigint").alias("qualifier"), F.coalesce(number.try_cast("bigint"), F.lit(0)).alias("number"))
+    number = F.regexp_extract(text, r"^(?:[^A-Za-z0-9]*[0-9]+)+[^A-Za-z0-9]*[A-Za-z]+[^A-Za-z0-9]*([0-9]+)", 1)
+    key = F.struct(F.slice(numbers, F.lit(1), last).alias("numbers"), rank.otherwise(-6).cast("bigint").alias("qualifier"), F.coalesce(number.try_cast("bigint"), F.lit(0)).alias("number"))
+    return F.when(F.size(numbers) > 0, key)
 
 
 def version_change(old: Column, new: Column) -> Column:
-    """added, removed, unchanged, major, minor, patch, qualifier (or downgrade) for two version strings; '-' means absent."""
+    """added, removed, unchanged, irregular, major, minor, patch, qualifier, downgrade or changed for two version strings; '-' means absent.
+
+    qualifier is a rise within equal numbers, changed two texts that stand for one version.
+    """
     a, b = version_key(old), version_key(new)
-    at = lambda k, n: k["numbers"][n]
+    at = lambda k, n: F.coalesce(F.get(k["numbers"], F.lit(n)), F.lit(0))
+    return (
+        F.when(old == "-", "added").when(new == "-", "removed").when(old == new, "unchanged").when(a.isNull() | b.isNull(), "irregular").when(b < a, "downgrade")
+        .when(at(a, 0) != at(b, 0), "major").when(at(a, 1) != at(b, 1), "minor").when(a["numbers"] != b["numbers"], "patch").when(a < b, "qualifier").otherwise("changed")
+    )
+
+
+def version_risk(old: Column, new: Column) -> Column:
+    """How risky a change of version is: pending, verify, confirm, high, medium or low."""
+    a, b, change = version_key(old), version_key(new), version_change(old, new)
+    at = lambda k, n: F.coalesce(F.get(k["numbers"], F.lit(n)), F.lit(0))
+    far = (at(a, 0) != at(b, 0)) | (at(a, 1) != at(b, 1))
     return (
-        F.when(old == "-", "added").when(new == "-", "removed").when(old == new, "unchanged").when(b < a, "downgrade")
-        .when(at(a, 0) != at(b, 0), "major").when(at(a, 1) != at(b, 1), "minor").when(a["numbers"] != b["numbers"], "patch").otherwise("qualifier")
-    )
+        F.when(change.isin("added", "removed"), "pending").when(change == "unchanged", "verify").when(change.isin("irregular", "changed"), "confirm")
+        .when((change == "major") | ((change == "downgrade") & far), "high").when(change.isin("minor", "downgrade"), "medium").otherwise("low")
+    )
 
 
-def erase_generics(signature: Column, depth: int = 4) -> Column:
-    """A signature without type arguments, innermost first; varargs become arrays, blanks go."""
-    out = F.regexp_replace(signature, r"\s+", "")
-    for _ in range(depth):
-        out = F.regexp_replace(out, "<[^<>]*>", "")
-    return F.replace(out, F.lit("..."), F.lit("[]"))
+def erase_generics(signature: Column) -> Column:
+    """A signature without type arguments, however deep, in one pass over its characters; varargs become arrays, blanks go."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = F.when(c == "<", s["depth"] + 1).when((c == ">") & (s["depth"] > 0), s["depth"] - 1).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.when((s["depth"] == 0) & (c != "<"), F.concat(s["kept"], c)).otherwise(s["kept"]).alias("kept"))
+
+    kept = F.aggregate(F.split(F.regexp_replace(signature, r"\s+", ""), ""), state, step)["kept"]
+    return F.replace(kept, F.lit("..."), F.lit("[]"))
 
 
 def lookup_signature(signature: Column) -> Column:
@@ -44,6 +76,62 @@ def lookup_signature(signature: Column) -> Column:
     return F.regexp_replace(erase_generics(signature), r"(?:[A-Za-z_$][\w$]*\.)+", "")
 
 
+def signature_types(signature: Column) -> Column:
+    """The erased types of a parameter list, with or without brackets, in order; an empty list for no parameters."""
+    inner = F.regexp_replace(erase_generics(signature), r"^\(|\)$", "")
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, ","))
+
+
+def signatures_agree(left: Column, right: Column) -> Column:
+    """Whether two parameter lists may be of one method: as many types, and each pair equal, or equal by simple name where one has no package."""
+    a, b = signature_types(left), signature_types(right)
+    simple = lambda x: F.element_at(F.split(x, r"\."), -1)
+    pair = lambda p: (p["a"] == p["b"]) | ((simple(p["a"]) == simple(p["b"])) & (~p["a"].contains(".") | ~p["b"].contains(".")))
+    return (F.size(a) == F.size(b)) & F.forall(F.arrays_zip(a.alias("a"), b.alias("b")), pair)
+
+
 def short_id(prefix: str, *parts: Column) -> Column:
     """``prefix`` and the first 12 hex digits of the SHA-1 of the parts joined by '|'."""
     return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 12))
+
+
+def path_id(*nodes: Column) -> Column:
+    """PATH- and the first 12 hex digits of the SHA-1 of the nodes as a JSON list with a blank after each comma."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.replace(n, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for n in nodes]
+    return F.concat(F.lit("PATH-"), F.substring(F.sha1(F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]")).cast("binary")), 1, 12))
+
+
+def canonical_reason(value: Column, default: str = "UNKNOWN") -> Column:
+    """A reason in capitals with underscores between its words, camel case split; blank ones are ``default``, old names the present ones."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
+    words = F.upper(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
+    known = F.create_map(*[F.lit(x) for pair in REASON_ALIASES.items() for x in pair])
+    name = F.when(words == "", default).otherwise(words)
+    return F.coalesce(F.try_element_at(known, name), name)
+
+
+def safe_name(text: Column, longest: int = 120) -> Column:
+    """A file name: other characters than letters, digits, dot, minus become one underscore each run; never blank."""
+    cleaned = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9.\-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.when(cleaned == "", "unnamed").otherwise(F.substring(cleaned, 1, longest))
+
+
+def chain_nodes(chain: Column) -> Column:
+    """The trimmed nodes of a chain written with arrows (→ or ->), blanks left out."""
+    return F.filter(F.transform(F.split(chain, r"\s*(?:→|->)\s*"), F.trim), lambda x: x != "")
+
+
+def chain_precision(chain: Column) -> Column:
+    """How many nodes of a chain carry a signature."""
+    return F.size(F.filter(chain_nodes(chain), lambda x: x.contains("(")))
+
+
+def chain_skeleton(chain: Column) -> Column:
+    """The chain's nodes without signatures, joined by arrows."""
+    return F.array_join(F.transform(chain_nodes(chain), lambda x: F.regexp_replace(x, r"\(.*$", "")), " → ")
+
+
+def humanise(text: Column) -> Column:
+    """Words of a code name for a reader: underscores and dashes become blanks, small letters, the first one a capital."""
+    words = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[_\-\s]+", " ")))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))

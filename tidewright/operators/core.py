@@ -6,6 +6,9 @@ total order given by the caller, so results don't depend on how rows are dealt t
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,8 +32,10 @@ def snapshot_diff(base: DataFrame, current: DataFrame, full_key: str, artifact_k
     names = base.columns
 
     def numbered(df: DataFrame) -> DataFrame:
+        keyed = F.coalesce(F.col(full_key), F.lit("")) != ""
         k = F.row_number().over(Window.partitionBy(full_key).orderBy(*order))
-        return df.withColumn("k", F.when(F.coalesce(F.col(full_key), F.lit("")) != "", k))
+        # Rows without a key aren't numbered, so that they don't meet in one partition.
+        return df.where(keyed).withColumn("k", k).unionByName(df.where(~keyed).withColumn("k", F.lit(None).cast("int")))
 
     b, c = numbered(base), numbered(current)
     left = b.select(full_key, "k", F.struct(*names).alias("base"))
@@ -70,15 +75,22 @@ def set_replacements(old: DataFrame, new: DataFrame, group: str, owner: str, mem
 
 
 def best_row_merge(rows: DataFrame, keys: list[str], rank: list, seq: str, values: list[str]) -> DataFrame:
-    """Merge the rows of a key: the best by ``rank`` (ties: least ``seq``) wins; its blank values are filled by the first later row that has one.
+    """Merge the rows of a key: the best by ``rank`` (ties: least ``seq``) wins; later rows only fill its blanks.
 
-    Null and '' are both blank here; what rows before the best one say is not used.
+    A value that the best row lacks (null) is that of the last row before it that has one, and else, like a blank one (''), that of the
+    first later row whose value is neither. A blank of the best row hides what came before it. What nothing fills stays as it is.
     """
     best = F.first(seq).over(Window.partitionBy(*keys).orderBy(*rank, seq).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     marked = rows.withColumn("best_seq", best)
+
     def value(v: str) -> Column:
-        filled = F.coalesce(F.col(v), F.lit("")) != ""
-        return F.min_by(F.when(filled, F.col(v)), F.when(filled & (F.col(seq) >= F.col("best_seq")), F.col(seq))).alias(v)
+        at, filled = F.col(seq), F.coalesce(F.col(v), F.lit("")) != ""
+        own = F.max(F.when(at == F.col("best_seq"), F.col(v)))
+        before = F.max_by(F.when((at < F.col("best_seq")) & F.col(v).isNotNull(), F.col(v)), F.when((at < F.col("best_seq")) & F.col(v).isNotNull(), at))
+        later = F.min_by(F.when(filled & (at > F.col("best_seq")), F.col(v)), F.when(filled & (at > F.col("best_seq")), at))
+        start = F.coalesce(own, before)
+        return F.when(F.coalesce(start, F.lit("")) == "", F.coalesce(later, start)).otherwise(start).alias(v)
+
     return marked.groupBy(*keys).agg(F.first("best_seq").alias("best_seq"), *[value(v) for v in values])
 
 
@@ -98,23 +110,40 @@ def reference_join(targets: DataFrame, references: DataFrame, exact: list[str],
     return hit.unionByName(weak.withColumn("quality", F.lit("candidate")))
 
 
-def reconcile(analyzer: DataFrame, oracle: DataFrame, identity: list[str], relation: list[str]) -> DataFrame:
-    """Verdicts for two multisets of edges: matched one by one on the whole identity, then on the relation alone, then left over.
+def reconcile(analyzer: DataFrame, oracle: DataFrame, identity: list[str], relation: list[str], valid: Column | None = None, present: Column | None = None) -> DataFrame:
+    """``relation, verdict, n`` for two multisets of edges, of which as many as possible are matched one by one.
 
-    ``analyzer`` and ``oracle`` have the identity columns, which contain the relation's, and each may repeat rows.
+    Verdicts, the first that holds: provenance_invalid (a row that isn't ``valid``), oracle_conflict (rows of an identity that say ``present`` and
+    others that say it is absent), matched (equal identity on both sides; counts pairs), variant (equal relation only; counts pairs),
+    analyzer_only, oracle_only. Both tables have the identity columns, which contain the relation's. Only counts are shuffled: a hot
+    identity is one row for each partition. An identity that is absent on all its rows is not matched but left over.
     """
-    def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*identity)))
-
-    a, o = numbered(analyzer.select(*identity), identity), numbered(oracle.select(*identity), identity)
-    on = [*identity, "k"]
-    exact = a.join(o, on, "left_semi").select(*relation, F.lit("matched").alias("verdict"))
-    a, o = numbered(a.join(o, on, "left_anti").drop("k"), relation), numbered(o.join(a, on, "left_anti").drop("k"), relation)
-    on = [*relation, "k"]
-    loose = a.join(o, on, "left_semi").select(*relation, F.lit("variant").alias("verdict"))
-    extra = a.join(o, on, "left_anti").select(*relation, F.lit("analyzer_only").alias("verdict"))
-    missing = o.join(a, on, "left_anti").select(*relation, F.lit("oracle_only").alias("verdict"))
-    return reduce(DataFrame.unionByName, [exact, loose, extra, missing])
+    valid, present = valid if valid is not None else F.lit(True), present if present is not None else F.lit(True)
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return df.select(*identity, F.coalesce(valid, F.lit(False)).alias("_valid"), F.coalesce(present, F.lit(False)).alias("_present"), F.lit(1 - n).cast("bigint").alias("_a"), F.lit(n).cast("bigint").alias("_o"))
+
+    def total(mask: Column, name: str) -> list[Column]:
+        return [F.sum(F.when(mask, F.col(c)).otherwise(0)).alias(f"{name}{c}") for c in ("_a", "_o")]
+
+    here, gone = F.col("_valid") & F.col("_present"), F.col("_valid") & ~F.col("_present")
+    counts = side(analyzer, 0).unionByName(side(oracle, 1)).groupBy(*identity).agg(*total(here, "_here"), *total(gone, "_gone"), F.count_if(~F.col("_valid")).alias("_invalid"))
+    present_n, gone_n = F.col("_here_a") + F.col("_here_o"), F.col("_gone_a") + F.col("_gone_o")
+    clash = (present_n > 0) & (gone_n > 0)
+    calm = lambda c: F.when(clash, 0).otherwise(c)
+    exact = calm(F.least("_here_a", "_here_o"))
+    parts = {
+        "_invalid": F.col("_invalid"), "_conflict": F.when(clash, present_n + gone_n).otherwise(0), "_exact": exact, "_left_a": calm(F.col("_here_a")) - exact, "_left_o": calm(F.col("_here_o")) - exact,
+        "_absent_a": calm(F.col("_gone_a")), "_absent_o": calm(F.col("_gone_o")),
+    }
+    found = counts.select(*relation, *[c.alias(n) for n, c in parts.items()]).groupBy(*relation).agg(*[F.sum(n).alias(n) for n in parts])
+    pairs = F.least("_left_a", "_left_o")
+    verdicts = {
+        "provenance_invalid": F.col("_invalid"), "oracle_conflict": F.col("_conflict"), "matched": F.col("_exact"), "variant": pairs,
+        "analyzer_only": F.col("_left_a") - pairs + F.col("_absent_a"), "oracle_only": F.col("_left_o") - pairs + F.col("_absent_o"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), n.cast("bigint").alias("n")) for v, n in verdicts.items()])).alias("_v")
+    return found.select(*relation, each).select(*relation, "_v.verdict", "_v.n").where("n > 0")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, value: str) -> DataFrame:
@@ -137,3 +166,35 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
 def first_rule(rows: DataFrame, rules: list[tuple[str, Column]], otherwise: str = "none") -> Column:
     """The name of the first rule that holds."""
     return reduce(lambda c, r: c.when(r[1], r[0]), rules[1:], F.when(rules[0][1], rules[0][0])).otherwise(otherwise)
+
+
+def global_rank(df: DataFrame, order: list, rank: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in a total ``order``, from 1, without one task that sees all rows.
+
+    Rows are dealt to ranges of the order, numbered there, and moved up by the sizes of the ranges before; a range's size is all that comes to the driver.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = cut(dealt)  # ranges are drawn from a sample, so they must be fixed before they are read twice
+    sizes = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for k, n in sizes:
+        starts.append((k, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _before bigint")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    # One row for each partition.
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(rank, place.cast("bigint")).drop("_range", "_before")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder, so that lost executors and long lineages do no harm."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="tidewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -1,32 +1,18 @@
 """Reverse reachability over call graphs: bounded loops of equi-joins with pruning before every level.
 
 A level's frontier is reduced before it is joined again, so paths are never enumerated where distances or
-frontiers are asked for. Levels are cut from the lineage with reliable checkpoints every few rounds.
+frontiers are asked for. Every level is cut from the lineage with a reliable checkpoint, so that none is computed twice.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rounds between checkpoints.
-EVERY = 4
-
+from .core import cut
 
-def _cut(df: DataFrame, level: int) -> DataFrame:
-    if level % EVERY:
-        return df
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="tidewright-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+#: A path's confidence below which it isn't followed, and the stop reasons.
+FADED = 0.3
+STOPS = ("LOW_CONFIDENCE_EDGE", "DEPTH_LIMIT_REACHED", "CONFIDENCE_DECAYED", "SYSTEM_CODE_REACHED", "FRAMEWORK_BOUNDARY")
 
 
 def edge_cost(confidence: Column) -> Column:
@@ -42,7 +28,7 @@ def decay(confidence: Column) -> Column:
 def stop_reason(cost: Column, max_cost: int, score: Column, system_code: Column, boundary: Column, last: Column) -> Column:
     """Why a path isn't followed further: budget, faded confidence, system code or framework boundary, in this order; null to go on."""
     spent = F.when(last == "low", "LOW_CONFIDENCE_EDGE").otherwise("DEPTH_LIMIT_REACHED")
-    return F.when(cost >= max_cost, spent).when(score < 0.3, "CONFIDENCE_DECAYED").when(system_code, "SYSTEM_CODE_REACHED").when(boundary, "FRAMEWORK_BOUNDARY")
+    return F.when(cost >= max_cost, spent).when(score < FADED, "CONFIDENCE_DECAYED").when(system_code, "SYSTEM_CODE_REACHED").when(boundary, "FRAMEWORK_BOUNDARY")
 
 
 def adaptive_limit(base: int, edges: int, exact: bool, all_high: bool) -> int:
@@ -53,20 +39,22 @@ def adaptive_limit(base: int, edges: int, exact: bool, all_high: bool) -> int:
 def least_costs(edges: DataFrame, seeds: DataFrame, limit: int, cost: str | None = None) -> DataFrame:
     """``seed, node, cost``: the least cost at which each seed is reached from each node, up to ``limit``.
 
-    ``edges`` has caller and callee, and a positive integer ``cost`` column or else each edge costs 1. ``seeds`` has seed.
+    ``edges`` has caller and callee, and a positive integer ``cost`` column or else each edge costs 1; repeated edges count by the cheapest,
+    null ends lead nowhere. ``seeds`` has seed; repeated ones count once. Without seeds the result is empty.
     """
-    steps = edges.groupBy("caller", "callee").agg((F.min(cost) if cost else F.lit(1)).cast("bigint").alias("step"))
-    best = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("cost")).distinct()
-    frontier = best
-    for level in range(1, limit + 1):
-        met = frontier.join(steps, frontier["node"] == steps["callee"]).select("seed", F.col("caller").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= limit)
-        met = met.groupBy("seed", "node").agg(F.min("cost").alias("cost"))
-        known = best.select("seed", "node", F.col("cost").alias("known"))
-        frontier = _cut(met.join(known, ["seed", "node"], "left").where("known IS NULL OR cost < known").drop("known"), level)
-        best = _cut(best.unionByName(frontier).groupBy("seed", "node").agg(F.min("cost").alias("cost")), level)
-        if frontier.isEmpty():
+    steps = edges.where("caller IS NOT NULL AND callee IS NOT NULL").groupBy("callee", "caller").agg((F.min(cost) if cost else F.lit(1)).cast("bigint").alias("step"))
+    steps = cut(steps.where(F.col("step") <= limit).repartition("callee"))
+    best = seeds.where("seed IS NOT NULL").select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("cost")).distinct()
+    best = cut(best.withColumn("known", F.lit(None).cast("bigint")))
+    for _ in range(limit):
+        frontier = best.where("known IS NULL OR cost < known").select("seed", F.col("node").alias("callee"), "cost")
+        met = frontier.join(steps, "callee").select("seed", F.col("caller").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= limit)
+        # One aggregation finds the new least costs and, by what was known, the next frontier.
+        both = best.select("seed", "node", "cost", F.col("cost").alias("known")).unionByName(met.withColumn("known", F.lit(None).cast("bigint")))
+        best = cut(both.groupBy("seed", "node").agg(F.min("cost").alias("cost"), F.min("known").alias("known")))
+        if best.where("known IS NULL OR cost < known").isEmpty():
             break
-    return best
+    return best.select("seed", "node", "cost")
 
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -75,7 +63,7 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     out = None
     for level in range(1, depth + 1):
         now = now.join(edges, F.element_at("path", -1) == edges["callee"]).where(~F.array_contains("path", F.col("caller"))).select("seed", F.concat("path", F.array("caller")).alias("path"))
-        now = _cut(now, level)
+        now = cut(now)
         out = now if out is None else out.unionByName(now)
     return out
 
@@ -87,7 +75,7 @@ def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
     while level < limit:
         level += 1
         further = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child")).select(F.col("a.child"), F.col("b.ancestor"))
-        now = _cut(now.unionByName(further).distinct(), level)
+        now = cut(now.unionByName(further).distinct())
         if (n := now.count()) == size:
             break
         size = n
@@ -100,8 +88,64 @@ def pareto(rows: DataFrame, keys: list[str], cost: str, gain: str, seq: str) ->
     return rows.withColumn("_best", F.max(gain).over(before)).where(F.col("_best").isNull() | (F.col("_best") < F.col(gain))).drop("_best")
 
 
-def longest_only(chains: DataFrame, key: str, path: str) -> DataFrame:
-    """Chains (arrays) that aren't a proper suffix of another chain of the key: suffixes are exploded and joined on equality."""
-    suffix = F.explode(F.transform(F.sequence(F.lit(2), F.size(path)), lambda k: F.slice(path, k, F.size(path)))).alias("_suffix")
-    covered = chains.where(F.size(path) > 1).select(F.col(key), suffix).distinct().withColumnRenamed("_suffix", path)
-    return chains.join(covered, [key, path], "left_anti")
+def longest_only(chains: DataFrame, key: str, path: str, rank: str | None = None) -> DataFrame:
+    """Chains (arrays) that no longer chain of the key ends with; with ``rank``, only one of a rank that is not above its own covers a chain.
+
+    A chain of one node is never covered. The ends of longer chains are joined on equality; no pair of chains is formed that shares none.
+    """
+    where = F.col(rank) if rank else F.lit(0)
+    longer = chains.where(F.size(path) > 2).select(F.col(key).alias("_key"), F.col(path).alias("_long"), where.alias("_rank")).distinct()
+    ends = longer.select("_key", "_long", "_rank", F.explode(F.sequence(F.lit(2), F.size("_long") - 1)).alias("_n"))
+    ends = ends.select("_key", "_rank", F.slice("_long", -F.col("_n"), F.col("_n")).alias("_end")).groupBy("_key", F.xxhash64("_end").alias("_hash"), "_end").agg(F.min("_rank").alias("_rank"))
+    on = (F.col(key) == F.col("_key")) & (F.xxhash64(path) == F.col("_hash")) & (F.col(path) == F.col("_end")) & (F.col("_rank") <= where)
+    return chains.join(ends, on, "left_anti")
+
+
+def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 64) -> DataFrame:
+    """Reverse paths under the stop policy: ``seed, path, cost, confidence, last, stop`` of every path that ends, with why it did.
+
+    ``edges``: caller, callee, confidence (high, medium or other), system (the caller is code of the platform), boundary (of a framework), test, entry (of the
+    business). Paths go from callees to callers without a repeated node; test code is never entered. Of the paths of a seed that reach a
+    node with as much cost and as little confidence as another, one is followed on each level. A path ends where ``stop_reason`` says so
+    (``stop``), at a business entry ('BUSINESS_ENTRY'), or where nothing but its own nodes calls its last one ('NO_CALLER').
+    """
+    e = cut(edges.where("NOT test").select(F.col("callee").alias("at"), "caller", "confidence", "system", "boundary", "entry").distinct().repartition("at"))
+    now = seeds.select("seed", F.array("seed").alias("path"), F.col("seed").alias("at"), F.lit(0).cast("bigint").alias("cost"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("stop")).distinct()
+    done = None
+    for _ in range(max_edges):
+        grown = cut(now.join(e, "at").where("NOT array_contains(path, caller)").select(
+            "seed", F.concat("path", F.array("caller")).alias("path"), F.col("caller").alias("at"), (F.col("cost") + edge_cost(F.col("confidence"))).alias("cost"), (F.col("score") * decay(F.col("confidence"))).alias("score"),
+            F.col("confidence").alias("last"), "system", "boundary", "entry",
+        ))
+        further = grown.select("seed", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
+        ends = now.join(further, ["seed", "path"], "left_anti").select("seed", "path", "cost", "score", "last", F.lit("NO_CALLER").alias("stop"))
+        stop = F.when(F.col("entry"), "BUSINESS_ENTRY").otherwise(stop_reason(F.col("cost"), max_cost, F.col("score"), F.col("system"), F.col("boundary"), F.col("last")))
+        grown = pareto(grown.withColumn("stop", stop).drop("system", "boundary", "entry"), ["seed", "at"], "cost", "score", "path")
+        level = cut(grown)
+        ends = ends.unionByName(level.where("stop IS NOT NULL").drop("at"))
+        done = cut(ends if done is None else done.unionByName(ends))
+        now = level.where("stop IS NULL")
+        if now.isEmpty():
+            break
+    out = done.unionByName(now.drop("at").withColumn("stop", F.lit("DEPTH_LIMIT_REACHED")))
+    return out.select("seed", "path", "cost", F.round("score", 6).alias("confidence"), "last", "stop")
+
+
+def topological(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """``node, level`` by rounds: nodes that nothing before them holds back, then those that only they held back; null level on and behind a cycle.
+
+    ``nodes`` has node, ``edges`` has before and after; edges to other nodes and repeated ones don't matter.
+    """
+    rest = cut(nodes.select("node").distinct())
+    e = edges.select("before", "after").distinct()
+    e = cut(e.join(rest, F.col("before") == F.col("node"), "left_semi").join(rest, F.col("after") == F.col("node"), "left_semi"))
+    out = None
+    for level in range(rounds):
+        free = cut(rest.join(e, F.col("node") == F.col("after"), "left_anti").withColumn("level", F.lit(level)))
+        if free.isEmpty():
+            break
+        out = free if out is None else out.unionByName(free)
+        rest = cut(rest.join(free, "node", "left_anti"))
+        e = cut(e.join(free, F.col("before") == F.col("node"), "left_anti"))
+    cyclic = rest.withColumn("level", F.lit(None).cast("int"))
+    return cyclic if out is None else out.unionByName(cyclic)

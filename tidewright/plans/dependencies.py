@@ -11,7 +11,9 @@ LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l
 
 
 def _orders(spark, d, year):
-    return table(spark, d, "orders").where(F.year("o_orderdate") == year)
+    # A range of dates, unlike the year of one, is pushed down to the scan.
+    since, until = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+    return table(spark, d, "orders").where((F.col("o_orderdate") >= since) & (F.col("o_orderdate") < until))
 
 
 def dep_diff(spark, d):
@@ -47,7 +49,7 @@ def same_key_conflict(spark, d):
 
 def best_row_merge(spark, d):
     l = table(spark, d, "lineitem").withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE)).cast("bigint"))
-    l = l.select("l_orderkey", "seq", "l_returnflag", "l_linestatus", F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_partkey").cast("string")).alias("part"), F.when(F.col("l_linestatus") == "O", "").otherwise(F.col("l_suppkey").cast("string")).alias("supplier"))
+    l = l.select("l_orderkey", "seq", "l_returnflag", "l_linestatus", F.when(F.col("l_returnflag") == "N", "").when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey").cast("string")).alias("part"), F.when(F.col("l_linestatus") == "O", "").when(F.col("l_linenumber") % 2 != 0, F.col("l_suppkey").cast("string")).alias("supplier"))
     rank = [F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2), F.when(F.col("l_linestatus") == "F", 0).otherwise(1)]
     return core.best_row_merge(l, ["l_orderkey"], rank, "seq", ["part", "supplier"])
 
@@ -60,8 +62,8 @@ def contract_validate(spark, d):
     return table(spark, d, "orders").select("o_orderkey", core.violations(checks).alias("errors")).where("errors != ''")
 
 
-def _exact_candidate(spark, d, parts):
-    parts = parts.select(F.col("p_partkey").alias("l_partkey"))
+def ref_join_exact_candidate(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"))
     s = table(spark, d, "supplier")
     n = s.agg(F.count("*").alias("n"))
     targets = parts.crossJoin(F.broadcast(n)).select("l_partkey", (F.col("l_partkey") % F.col("n")).alias("l_suppkey"))  # n is a single row
@@ -70,14 +72,6 @@ def _exact_candidate(spark, d, parts):
     return hit.groupBy("part").agg(F.sum(F.when(F.col("quality") == "exact", 1).otherwise(0)).alias("exact"), F.sum(F.when(F.col("quality") == "candidate", 1).otherwise(0)).alias("candidate"))
 
 
-def ref_join_exact_candidate(spark, d):
-    return _exact_candidate(spark, d, table(spark, d, "part").where("p_size < 10"))
-
-
-def ref_join_exact_candidate_all(spark, d):
-    return _exact_candidate(spark, d, table(spark, d, "part"))
-
-
 def dep_rollup(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     g = o.groupBy("c_nationkey").agg(F.count("*").alias("n_orders"), F.sum(F.when(F.col("o_totalprice") > 300000, 1).otherwise(0)).alias("n_high"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ", ").alias("priorities"))
@@ -86,8 +80,7 @@ def dep_rollup(spark, d):
 
 def impact_rank(spark, d):
     g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("n_f"), F.countDistinct("o_orderpriority").alias("n_p"))
-    # A global rank is a report; the rows ranked are one for each customer.
-    ranked = g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_f"), F.desc("n"), F.desc("n_p"), "o_custkey")).cast("bigint"))
+    ranked = core.global_rank(g, [F.desc("n_f"), F.desc("n"), F.desc("n_p"), "o_custkey"])
     return ranked.withColumn("recommended", F.col("rank") <= 10)
 
 
@@ -105,10 +98,10 @@ def anti_truth(spark, d):
 
 
 def edge_reconcile(spark, d):
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    side = lambda k: l.where(F.col("l_linenumber") % 2 == k).select((F.col("l_orderkey") % 50).alias("caller"), (F.col("l_partkey") % 40).alias("callee"), (F.col("l_suppkey") % 3).alias("kind"))
-    r = core.reconcile(side(0), side(1), ["caller", "callee", "kind"], ["caller", "callee"])
-    return r.groupBy("caller", "verdict").agg(F.count("*").alias("n"))
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax")
+    side = lambda k: l.where(F.col("l_linenumber") % 2 == k).select((F.col("l_orderkey") % 500).alias("caller"), (F.col("l_partkey") % 400).alias("callee"), (F.col("l_suppkey") % 3).alias("kind"), (F.col("l_orderkey") % 97 != 0).alias("valid"), (F.col("l_tax") < 0.08).alias("present"))
+    r = core.reconcile(side(0), side(1), ["caller", "callee", "kind"], ["caller", "callee"], F.col("valid"), F.col("present"))
+    return r.groupBy("caller", "verdict").agg(F.sum("n").alias("n"))
 
 
 def api_audit(spark, d):
@@ -124,39 +117,22 @@ def cross_identity(spark, d):
     return j.select("doc_id", F.when(F.col("quality").isNull(), "unlabelled").when(F.col("expected").isNull(), "orphan").when(F.col("quality") == F.col("expected"), "same").otherwise("different").alias("state"))
 
 
-def _scopes(spark, d, users):
+def diag_scope_join(spark, d):
+    users = table(spark, d, "events").where("user_id IS NOT NULL").select("user_id").distinct()
     e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id")
     general = e.where("event_id % 100 = 0").select("event_id")
-    # Diagnostics of global scope meet every user; they are few and counted before they are broadcast.
-    hit = users.crossJoin(F.broadcast(general) if general.count() <= 10_000 else general).select("user_id", "event_id", F.lit("global").alias("scope"))
+    # Diagnostics of global scope meet every user: that product is the result. The smaller side is dealt to tasks as a column of arrays, bounded in size.
+    blocks = general.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("block")).agg(F.collect_list("event_id").alias("ids"))
+    spread = users.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("block", F.col("block").cast("bigint"))
+    hit = spread.join(blocks, "block").select("user_id", F.explode("ids").alias("event_id")).select("user_id", "event_id", F.lit("global").alias("scope"))
     return hit.unionByName(e.where("event_id % 100 != 0").join(users, "user_id").select("user_id", "event_id", F.lit("exact").alias("scope")))
 
 
-def _users(spark, d):
-    return table(spark, d, "events").select("user_id").distinct()
-
-
-def diag_scope_join(spark, d):
-    return _scopes(spark, d, _users(spark, d).where("user_id % 3 = 0"))
-
-
-def diag_scope_join_all(spark, d):
-    return _scopes(spark, d, _users(spark, d).where("user_id IS NOT NULL"))
-
-
 def _balances(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") * 100).cast("bigint").alias("bal"))
 
 
 def pair_ranking(spark, d):
-    s = _balances(spark, d)
-    a, b = s.select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("bal").alias("bal_a")), s.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("bal").alias("bal_b"))
-    # Candidates meet within their nation and on the same parity, never all with all.
-    met = a.withColumn("p", F.col("a") % 2).join(b.withColumn("p", F.col("b") % 2), ["s_nationkey", "p"]).where("a < b").withColumn("score", -F.abs(F.col("bal_a") - F.col("bal_b")))
-    return core.top_k(met, ["s_nationkey"], [F.desc("score"), "a", "b"], 1).select(F.col("s_nationkey").cast("bigint").alias("s_nationkey"), "a", "b", "score")
-
-
-def pair_ranking_all(spark, d):
     """The nearest pair of each nation, whatever its keys: the nearest balances are neighbours in their order, and equal ones are in the order of their keys."""
     before = Window.partitionBy("s_nationkey").orderBy("bal", "s_suppkey")
     s = _balances(spark, d).where("s_nationkey IS NOT NULL AND bal IS NOT NULL").withColumn("other", F.lag("s_suppkey").over(before)).withColumn("score", F.lag("bal").over(before) - F.col("bal"))
@@ -195,7 +171,7 @@ def key_set_diff(spark, d):
     return j.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (dep_diff, dep_diff_zip, snapshot_pairing, replacement_overlap, same_key_conflict, best_row_merge, contract_validate, ref_join_exact_candidate, ref_join_exact_candidate_all, dep_rollup, impact_rank, semi_truth, anti_truth, edge_reconcile, api_audit, cross_identity, diag_scope_join, diag_scope_join_all, pair_ranking, pair_ranking_all, asof_version, classpath_shadow, dup_detect, set_ops, key_set_diff)}
+QUERIES = {f.__name__: f for f in (dep_diff, dep_diff_zip, snapshot_pairing, replacement_overlap, same_key_conflict, best_row_merge, contract_validate, ref_join_exact_candidate, dep_rollup, impact_rank, semi_truth, anti_truth, edge_reconcile, api_audit, cross_identity, diag_scope_join, pair_ranking, asof_version, classpath_shadow, dup_detect, set_ops, key_set_diff)}
 
 _TRUTH = "(SELECT l_partkey FROM lineitem WHERE year(l_shipdate) IN (1999, 2000) GROUP BY 1 HAVING count(DISTINCT year(l_shipdate)) = 2)"
 SQL = {
@@ -224,15 +200,18 @@ SQL = {
         SELECT * FROM k WHERE (SELECT count(*) FROM k a WHERE a.block = k.block AND a.old_user = k.old_user) = 1 AND (SELECT count(*) FROM k a WHERE a.block = k.block AND a.new_user = k.new_user) = 1""",
     "same_key_conflict": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_partkey) > 1",
     "best_row_merge": f"""
-        WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE)}) seq, CASE WHEN l_returnflag = 'N' THEN '' ELSE CAST(l_partkey AS VARCHAR) END part, CASE WHEN l_linestatus = 'O' THEN '' ELSE CAST(l_suppkey AS VARCHAR) END supplier FROM lineitem),
-        b AS (SELECT l_orderkey, seq best_seq FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END, seq) = 1)
-        SELECT l_orderkey, best_seq, min_by(part, seq) FILTER (WHERE part <> '' AND seq >= best_seq) AS part, min_by(supplier, seq) FILTER (WHERE supplier <> '' AND seq >= best_seq) AS supplier FROM l JOIN b USING (l_orderkey) GROUP BY 1, 2""",
+        WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE)}) seq, CASE WHEN l_returnflag = 'N' THEN '' WHEN l_linenumber % 3 <> 0 THEN CAST(l_partkey AS VARCHAR) END part,
+          CASE WHEN l_linestatus = 'O' THEN '' WHEN l_linenumber % 2 <> 0 THEN CAST(l_suppkey AS VARCHAR) END supplier FROM lineitem),
+        b AS (SELECT l_orderkey, seq best_seq, part p, supplier s FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END, seq) = 1),
+        g AS (SELECT l_orderkey, best_seq, coalesce(p, max_by(part, seq) FILTER (WHERE part IS NOT NULL AND seq < best_seq)) AS p, coalesce(s, max_by(supplier, seq) FILTER (WHERE supplier IS NOT NULL AND seq < best_seq)) AS s,
+          min_by(part, seq) FILTER (WHERE part <> '' AND seq > best_seq) AS lp, min_by(supplier, seq) FILTER (WHERE supplier <> '' AND seq > best_seq) AS ls FROM l JOIN b USING (l_orderkey) GROUP BY 1, 2, b.p, b.s)
+        SELECT l_orderkey, best_seq, CASE WHEN coalesce(p, '') = '' THEN coalesce(lp, p) ELSE p END AS part, CASE WHEN coalesce(s, '') = '' THEN coalesce(ls, s) ELSE s END AS supplier FROM g""",
     "contract_validate": """
         WITH c AS (SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderstatus IN ('F', 'P') THEN NULL ELSE 'status' END, CASE WHEN o_totalprice < 400000 THEN NULL ELSE 'price' END,
           CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN NULL ELSE 'priority' END, CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN NULL ELSE 'date' END) AS errors FROM orders)
         SELECT * FROM c WHERE errors <> ''""",
     "ref_join_exact_candidate": """
-        WITH t AS (SELECT p_partkey part, p_partkey % (SELECT count(*) FROM supplier) supp FROM part WHERE p_size < 10), r AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+        WITH t AS (SELECT p_partkey part, p_partkey % (SELECT count(*) FROM supplier) supp FROM part), r AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
         SELECT part, CAST(sum(CASE WHEN l_suppkey = supp THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN l_suppkey = supp THEN 0 ELSE 1 END) AS BIGINT) AS candidate FROM t JOIN r ON part = l_partkey GROUP BY 1""",
     "dep_rollup": """
         SELECT n_name, count(*) AS n_orders, CAST(sum(CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END) AS BIGINT) AS n_high, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ', ') AS priorities
@@ -243,22 +222,25 @@ SQL = {
     "semi_truth": f"SELECT p_partkey, p_brand FROM part WHERE p_partkey IN {_TRUTH}",
     "anti_truth": f"SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN {_TRUTH}",
     "edge_reconcile": """
-        WITH e AS (SELECT l_orderkey % 50 caller, l_partkey % 40 callee, l_suppkey % 3 kind, l_linenumber % 2 side FROM lineitem),
-        n AS (SELECT caller, callee, kind, count(*) FILTER (WHERE side = 0) a, count(*) FILTER (WHERE side = 1) o FROM e GROUP BY ALL),
+        WITH e AS (SELECT l_orderkey % 500 caller, l_partkey % 400 callee, l_suppkey % 3 kind, l_linenumber % 2 side, l_orderkey % 97 <> 0 valid, l_tax < 0.08 present FROM lineitem),
+        c AS (SELECT *, valid AND bool_or(present AND valid) OVER w AND bool_or(NOT present AND valid) OVER w AS clash FROM e WINDOW w AS (PARTITION BY caller, callee, kind)),
+        n AS (SELECT caller, callee, kind, count(*) FILTER (WHERE side = 0 AND present) a, count(*) FILTER (WHERE side = 1 AND present) o FROM c WHERE valid AND NOT clash GROUP BY ALL),
         m AS (SELECT caller, callee, sum(least(a, o)) m, sum(a - least(a, o)) a, sum(o - least(a, o)) o FROM n GROUP BY ALL),
-        v AS (SELECT caller, 'matched' verdict, sum(m) n FROM m GROUP BY 1 UNION ALL SELECT caller, 'variant', sum(least(a, o)) FROM m GROUP BY 1 UNION ALL SELECT caller, 'analyzer_only', sum(a - least(a, o)) FROM m GROUP BY 1 UNION ALL SELECT caller, 'oracle_only', sum(o - least(a, o)) FROM m GROUP BY 1)
-        SELECT caller, verdict, CAST(n AS BIGINT) AS n FROM v WHERE n > 0""",
+        v AS (SELECT caller, 'matched' verdict, sum(m) n FROM m GROUP BY 1 UNION ALL SELECT caller, 'variant', sum(least(a, o)) FROM m GROUP BY 1 UNION ALL SELECT caller, 'analyzer_only', sum(a - least(a, o)) FROM m GROUP BY 1 UNION ALL SELECT caller, 'oracle_only', sum(o - least(a, o)) FROM m GROUP BY 1
+          UNION ALL SELECT caller, 'provenance_invalid', count(*) FROM c WHERE NOT valid GROUP BY 1 UNION ALL SELECT caller, 'oracle_conflict', count(*) FROM c WHERE clash GROUP BY 1
+          UNION ALL SELECT caller, CASE side WHEN 0 THEN 'analyzer_only' ELSE 'oracle_only' END, count(*) FROM c WHERE valid AND NOT present AND NOT clash GROUP BY 1, 2)
+        SELECT caller, verdict, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY 1, 2 HAVING sum(n) > 0""",
     "api_audit": """
         WITH a AS (SELECT doc_id, count(*) n FROM documents GROUP BY 1), b AS (SELECT doc_id, count(*) n FROM labels GROUP BY 1)
         SELECT doc_id, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' WHEN a.n > 1 OR b.n > 1 THEN 'duplicate' ELSE 'matched' END AS verdict FROM a FULL JOIN b USING (doc_id)""",
     "cross_identity": """
         SELECT doc_id, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN n_chars IS NULL THEN 'orphan' WHEN quality = CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END THEN 'same' ELSE 'different' END AS state FROM labels FULL JOIN documents USING (doc_id)""",
     "diag_scope_join": """
-        WITH e AS (SELECT event_id, user_id FROM events WHERE event_type = 'error'), u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0)
+        WITH e AS (SELECT event_id, user_id FROM events WHERE event_type = 'error'), u AS (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)
         SELECT u.user_id, event_id, 'global' AS scope FROM u, e WHERE event_id % 100 = 0 UNION ALL SELECT u.user_id, event_id, 'exact' FROM u JOIN e USING (user_id) WHERE event_id % 100 <> 0""",
     "pair_ranking": """
         WITH s AS (SELECT s_suppkey, s_nationkey, CAST(round(s_acctbal * 100) AS BIGINT) bal FROM supplier)
-        SELECT CAST(x.s_nationkey AS BIGINT) AS s_nationkey, x.s_suppkey AS a, y.s_suppkey AS b, -abs(x.bal - y.bal) AS score FROM s x JOIN s y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey % 2 = y.s_suppkey % 2 AND x.s_suppkey < y.s_suppkey
+        SELECT CAST(x.s_nationkey AS BIGINT) AS s_nationkey, x.s_suppkey AS a, y.s_suppkey AS b, -abs(x.bal - y.bal) AS score FROM s x JOIN s y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey
         QUALIFY row_number() OVER (PARTITION BY x.s_nationkey ORDER BY score DESC, a, b) = 1""",
     "asof_version": """
         SELECT event_id, (SELECT max(struct_pack(d := o_orderdate, k := o_orderkey)).k FROM orders WHERE o_custkey = user_id AND o_orderdate <= ts - INTERVAL 4 YEAR) AS o_orderkey FROM events""",

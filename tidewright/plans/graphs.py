@@ -27,48 +27,18 @@ def _parts(spark, d):
     return table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
 
 
-def _seeds(spark, d):
-    """The few parts that the recursive SQL can follow; the queries named _all take all parts."""
-    return table(spark, d, "part").where("p_partkey < 4").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
-
-
-def _depths(spark, d, seeds):
-    return graph.least_costs(_edges(spark, d), seeds, 5).select("seed", "node", F.col("cost").alias("depth"))
-
-
-def _costs(spark, d, seeds):
-    e = _edges(spark, d).withColumn("step", graph.edge_cost(F.col("confidence")))
-    return graph.least_costs(e, seeds, 5, "step")
-
-
-def _paths(spark, d, seeds):
-    e = _edges(spark, d).select("caller", "callee").distinct()
-    p = graph.paths(e, seeds, 3)
-    return p.select("seed", F.array_join("path", " <- ").alias("path"), (F.size("path") - 1).cast("bigint").alias("depth"))
-
-
 def reach_depth(spark, d):
-    return _depths(spark, d, _seeds(spark, d))
+    return graph.least_costs(_edges(spark, d), _parts(spark, d), 5).select("seed", "node", F.col("cost").alias("depth"))
 
 
 def reach_cost(spark, d):
-    return _costs(spark, d, _seeds(spark, d))
+    e = _edges(spark, d).withColumn("step", graph.edge_cost(F.col("confidence")))
+    return graph.least_costs(e, _parts(spark, d), 5, "step")
 
 
 def reach_paths(spark, d):
-    return _paths(spark, d, _seeds(spark, d))
-
-
-def reach_depth_all(spark, d):
-    return _depths(spark, d, _parts(spark, d))
-
-
-def reach_cost_all(spark, d):
-    return _costs(spark, d, _parts(spark, d))
-
-
-def reach_paths_all(spark, d):
-    return _paths(spark, d, _parts(spark, d))
+    p = graph.paths(_edges(spark, d).select("caller", "callee").distinct(), _parts(spark, d), 5)
+    return p.select("seed", F.array_join("path", " <- ").alias("path"), (F.size("path") - 1).cast("bigint").alias("depth"))
 
 
 def business_reaches(spark, d):
@@ -96,17 +66,17 @@ def pareto_frontier(spark, d):
     return graph.pareto(s, ["s_nationkey"], "cost", "gain", "s_suppkey")
 
 
-QUERIES = {f.__name__: f for f in (reach_depth, reach_cost, reach_paths, reach_depth_all, reach_cost_all, reach_paths_all, business_reaches, type_closure, interface_impls, pareto_frontier)}
+QUERIES = {f.__name__: f for f in (reach_depth, reach_cost, reach_paths, business_reaches, type_closure, interface_impls, pareto_frontier)}
 
 _E = """e AS (SELECT 'O' || l_orderkey AS caller, 'P' || l_partkey AS callee, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 5 END AS step FROM lineitem
     UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 1 FROM orders UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 1 FROM customer UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, 1 FROM nation)"""
 SQL = {
-    "reach_depth": f"""WITH RECURSIVE {_E}, r AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node, CAST(0 AS BIGINT) AS depth FROM part WHERE p_partkey < 4
+    "reach_depth": f"""WITH RECURSIVE {_E}, r AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node, CAST(0 AS BIGINT) AS depth FROM part
         UNION ALL SELECT seed, caller, depth + 1 FROM r JOIN e ON node = callee WHERE depth < 5) SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2""",
-    "reach_cost": f"""WITH RECURSIVE {_E}, r AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node, CAST(0 AS BIGINT) AS cost FROM part WHERE p_partkey < 4
+    "reach_cost": f"""WITH RECURSIVE {_E}, r AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node, CAST(0 AS BIGINT) AS cost FROM part
         UNION ALL SELECT seed, caller, cost + step FROM r JOIN e ON node = callee WHERE cost + step <= 5) SELECT seed, node, min(cost) AS cost FROM r GROUP BY 1, 2""",
-    "reach_paths": f"""WITH RECURSIVE {_E}, u AS (SELECT DISTINCT caller, callee FROM e), r AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node, 'P' || p_partkey AS path, CAST(0 AS BIGINT) AS depth FROM part WHERE p_partkey < 4
-        UNION ALL SELECT seed, caller, path || ' <- ' || caller, depth + 1 FROM r JOIN u ON node = callee WHERE depth < 3) SELECT seed, path, depth FROM r WHERE depth > 0""",
+    "reach_paths": f"""WITH RECURSIVE {_E}, u AS (SELECT DISTINCT caller, callee FROM e), r AS (SELECT 'P' || p_partkey AS seed, 'P' || p_partkey AS node, 'P' || p_partkey AS path, CAST(0 AS BIGINT) AS depth FROM part
+        UNION ALL SELECT seed, caller, path || ' <- ' || caller, depth + 1 FROM r JOIN u ON node = callee WHERE depth < 5) SELECT seed, path, depth FROM r WHERE depth > 0""",
     "business_reaches": "SELECT 'P' || p_partkey AS seed, EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = p_partkey AND l_returnflag = 'N') AS reached FROM part",
     "type_closure": """SELECT 'C' || c_custkey AS child, 'N' || c_nationkey AS ancestor FROM customer UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation
         UNION ALL SELECT 'C' || c_custkey, 'R' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey""",

@@ -78,7 +78,9 @@ def module_rollup(spark, d):
 def scale_ratio(spark, d):
     m = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
     w = Window.orderBy("month")
-    return m.withColumn("previous", F.lag("n").over(w)).withColumn("steep", F.col("n") * 2 > F.col("previous") * 5)
+    # One row for each month: the window's one task sees a few hundred rows at most.
+    median = m.agg(F.median("n").alias("median"))
+    return m.withColumn("previous", F.lag("n").over(w)).withColumn("steep", F.col("n") * 2 > F.col("previous") * 5).crossJoin(F.broadcast(median))
 
 
 def topology_flags(spark, d):
@@ -104,7 +106,7 @@ QUERIES = {f.__name__: f for f in (suffix_suppress, path_dedup, ledger_ids, five
 
 _DAYS = "p AS (SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS path FROM events GROUP BY user_id, CAST(ts AS DATE))"
 SQL = {
-    "suffix_suppress": f"WITH {_DAYS}, u AS (SELECT DISTINCT * FROM p) SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.user_id = u.user_id AND suffix(o.path, '>' || u.path))",
+    "suffix_suppress": f"WITH {_DAYS}, u AS (SELECT DISTINCT * FROM p) SELECT * FROM u WHERE NOT contains(path, '>') OR NOT EXISTS (SELECT 1 FROM u o WHERE o.user_id = u.user_id AND suffix(o.path, '>' || u.path))",
     "path_dedup": f"WITH {_DAYS} SELECT user_id, path, count(*) AS occurrences FROM p GROUP BY 1, 2",
     "ledger_ids": "SELECT p_partkey, 'API-' || left(sha1(concat_ws('|', p_name, p_brand, p_type, CAST(p_size AS VARCHAR))), 12) AS api_id FROM part",
     "five_state": """
@@ -125,7 +127,7 @@ SQL = {
     "reason_histogram": "WITH g AS (SELECT event_type, count(*) n FROM events GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n DESC, event_type) AS rank FROM g",
     "sample_topk": "WITH o AS (SELECT o_orderpriority, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY cents DESC, o_orderkey) AS rank FROM o QUALIFY rank <= 20",
     "module_rollup": "SELECT source, lang, count(DISTINCT text) AS n_apis FROM documents GROUP BY 1, 2",
-    "scale_ratio": "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) n FROM orders GROUP BY 1), p AS (SELECT *, lag(n) OVER (ORDER BY month) AS previous FROM m) SELECT *, n * 2 > previous * 5 AS steep FROM p",
+    "scale_ratio": "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) n FROM orders GROUP BY 1), p AS (SELECT *, lag(n) OVER (ORDER BY month) AS previous FROM m) SELECT *, n * 2 > previous * 5 AS steep, (SELECT CAST(median(n) AS DOUBLE) FROM m) AS median FROM p",
     "topology_flags": "SELECT l_suppkey, bool_or(l_returnflag = 'R') AS returned, bool_or(l_linestatus = 'O' AND l_quantity >= 50) AS large_open, bool_and(l_discount < 0.1) AS all_below, count(DISTINCT l_returnflag) AS kinds FROM lineitem GROUP BY 1",
     "status_pivot": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
     "fail_closed": """

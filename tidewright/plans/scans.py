@@ -53,7 +53,7 @@ def _versions(spark, d):
 
 def version_compare(spark, d):
     v = _versions(spark, d).withColumn("key", version_key(F.col("version")))
-    return v.select("p_partkey", "version", *[F.col("key.numbers")[i].alias(n) for i, n in enumerate(("major", "minor", "patch"))], F.col("key.qualifier").alias("qualifier"), F.col("key.number").alias("number"))
+    return v.select("p_partkey", "version", *[F.coalesce(F.get("key.numbers", F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(("major", "minor", "patch"))], F.col("key.qualifier").alias("qualifier"), F.col("key.number").alias("number"))
 
 
 def version_classify(spark, d):
