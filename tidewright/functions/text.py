@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Order of version qualifiers; no qualifier is 0, an unknown one -6.
@@ -18,45 +20,64 @@ def normal_version(version: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(core, rf"(?i)[.\-_]?({'|'.join(PLAIN_ENDINGS)})$", ""), r"^[._\-]+|[._\-]+$", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def version_key(version: Column) -> Column:
     """A struct that sorts as versions do: all numbers (without zeros at the end), qualifier rank, qualifier number; null if irregular.
 
     A version is irregular if nothing but letters comes first, or nothing at all.
     """
-    text = normal_version(version)
-    numbers = F.transform(F.regexp_extract_all(F.regexp_extract(text, r"^((?:[^A-Za-z0-9]*[0-9]+)*)", 1), F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.try_cast("bigint"))
-    last = F.aggregate(F.transform(numbers, lambda x, k: F.when(x != 0, k + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-    word = F.lower(F.regexp_extract(text, r"^(?:[^A-Za-z0-9]*[0-9]+)+[^A-Za-z0-9]*([A-Za-z]+)", 1))
-    rank = F.when(word == "", 0)
-    for q, r in QUALIFIERS.items():
-        rank = rank.when(word == q, r)
-    number = F.regexp_extract(text, r"^(?:[^A-Za-z0-9]*[0-9]+)+[^A-Za-z0-9]*[A-Za-z]+[^A-Za-z0-9]*([0-9]+)", 1)
-    key = F.struct(F.slice(numbers, F.lit(1), last).alias("numbers"), rank.otherwise(-6).cast("bigint").alias("qualifier"), F.coalesce(number.try_cast("bigint"), F.lit(0)).alias("number"))
-    return F.when(F.size(numbers) > 0, key)
+    ranks = F.create_map(*[F.lit(x) for pair in QUALIFIERS.items() for x in pair])
 
+    def key(t: Column) -> Column:
+        last = F.aggregate(F.transform(t["numbers"], lambda x, k: F.when(x != 0, k + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        rank = F.when(t["word"] == "", 0).otherwise(F.coalesce(F.try_element_at(ranks, t["word"]), F.lit(-6))).cast("bigint")
+        found = F.struct(F.slice(t["numbers"], F.lit(1), last).alias("numbers"), rank.alias("qualifier"), F.coalesce(t["number"].try_cast("bigint"), F.lit(0)).alias("number"))
+        return F.when(F.size(t["numbers"]) > 0, found)
 
-def version_change(old: Column, new: Column) -> Column:
-    """added, removed, unchanged, irregular, major, minor, patch, qualifier, downgrade or changed for two version strings; '-' means absent.
+    def parts(text: Column) -> Column:
+        front = r"^(?:[^A-Za-z0-9]*[0-9]+)+[^A-Za-z0-9]*"
+        numbers = F.transform(F.regexp_extract_all(F.regexp_extract(text, r"^((?:[^A-Za-z0-9]*[0-9]+)*)", 1), F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.try_cast("bigint"))
+        return F.struct(numbers.alias("numbers"), F.lower(F.regexp_extract(text, front + "([A-Za-z]+)", 1)).alias("word"), F.regexp_extract(text, front + "[A-Za-z]+[^A-Za-z0-9]*([0-9]+)", 1).alias("number"))
+
+    return let(let(normal_version(version), parts), key)
+
+
+def version_verdict(old: Column, new: Column) -> Column:
+    """``change`` and ``risk`` of two version strings, as a struct; '-' means absent.
 
-    qualifier is a rise within equal numbers, changed two texts that stand for one version.
+    Changes: added, removed, unchanged, irregular, major, minor, patch, qualifier (a rise within equal numbers), downgrade, changed (two texts that
+    stand for one version). Risks: pending, verify, confirm, high, medium, low; a downgrade is high if it crosses a major or minor version.
     """
-    a, b = version_key(old), version_key(new)
     at = lambda k, n: F.coalesce(F.get(k["numbers"], F.lit(n)), F.lit(0))
-    return (
-        F.when(old == "-", "added").when(new == "-", "removed").when(old == new, "unchanged").when(a.isNull() | b.isNull(), "irregular").when(b < a, "downgrade")
-        .when(at(a, 0) != at(b, 0), "major").when(at(a, 1) != at(b, 1), "minor").when(a["numbers"] != b["numbers"], "patch").when(a < b, "qualifier").otherwise("changed")
-    )
+
+    def change(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        kind = (
+            F.when(v["old"] == "-", "added").when(v["new"] == "-", "removed").when(v["old"] == v["new"], "unchanged").when(a.isNull() | b.isNull(), "irregular").when(b < a, "downgrade")
+            .when(at(a, 0) != at(b, 0), "major").when(at(a, 1) != at(b, 1), "minor").when(a["numbers"] != b["numbers"], "patch").when(a < b, "qualifier").otherwise("changed")
+        )
+        return F.struct(kind.alias("change"), ((at(a, 0) != at(b, 0)) | (at(a, 1) != at(b, 1))).alias("far"))
+
+    def risk(v: Column) -> Column:
+        c = v["change"]
+        r = F.when(c.isin("added", "removed"), "pending").when(c == "unchanged", "verify").when(c.isin("irregular", "changed"), "confirm").when((c == "major") | ((c == "downgrade") & v["far"]), "high").when(c.isin("minor", "downgrade"), "medium").otherwise("low")
+        return F.struct(c.alias("change"), r.alias("risk"))
+
+    return let(let(F.struct(old.alias("old"), new.alias("new"), version_key(old).alias("a"), version_key(new).alias("b")), change), risk)
+
+
+def version_change(old: Column, new: Column) -> Column:
+    """The change alone (see version_verdict)."""
+    return version_verdict(old, new)["change"]
 
 
 def version_risk(old: Column, new: Column) -> Column:
-    """How risky a change of version is: pending, verify, confirm, high, medium or low."""
-    a, b, change = version_key(old), version_key(new), version_change(old, new)
-    at = lambda k, n: F.coalesce(F.get(k["numbers"], F.lit(n)), F.lit(0))
-    far = (at(a, 0) != at(b, 0)) | (at(a, 1) != at(b, 1))
-    return (
-        F.when(change.isin("added", "removed"), "pending").when(change == "unchanged", "verify").when(change.isin("irregular", "changed"), "confirm")
-        .when((change == "major") | ((change == "downgrade") & far), "high").when(change.isin("minor", "downgrade"), "medium").otherwise("low")
-    )
+    """The risk alone (see version_verdict)."""
+    return version_verdict(old, new)["risk"]
 
 
 def erase_generics(signature: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dependencies, graphs, ledger, scans
+from . import dependencies, graphs, ledger, predicates, scans
 
-_MODULES = (dependencies, graphs, ledger, scans)
+_MODULES = (dependencies, graphs, ledger, predicates, scans)
 
 
 def queries() -> dict:
