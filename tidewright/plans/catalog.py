@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dependencies, graphs, ledger, predicates, scans
+from . import dependencies, graphs, ledger, predicates, resolution, scans
 
-_MODULES = (dependencies, graphs, ledger, predicates, scans)
+_MODULES = (dependencies, graphs, ledger, predicates, resolution, scans)
 
 
 def queries() -> dict:

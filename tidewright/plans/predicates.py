@@ -9,7 +9,7 @@ from ..operators import rules
 from ..sources.tables import table
 
 _STATES = ["reachable", "uncertain", "not_analyzed", "not_found_in_static_analysis", "not_impacted"]
-_TECH = {"anodized": ("ECONOMY ANODIZED", "STANDARD ANODIZED"), "promo": ("PROMO",), "large": ("LARGE", "MEDIUM PLATED")}
+_TECH = {"plain": ("ECONOMY", "STANDARD"), "promo": ("PROMO",), "none": ("XL", "LARGER")}
 _RULES = [("internal", "warn", r"\bthe\s+of\b"), ("reflect", "info", r"@[a-z0-9]+\."), ("flags", "warn", r"[0-9]{5}"), ("serial", "info", r"licen[cs]e")]
 
 
@@ -44,7 +44,7 @@ def scope_filter(spark, d):
 
 
 def scope_selection(spark, d):
-    chosen, missed = rules.select_scope(table(spark, d, "part"), "p_brand", "p_type", ["brand#11", "Brand#99"], ["promo plated tin", "nothing"])
+    chosen, missed = rules.select_scope(table(spark, d, "part"), "p_brand", "p_type", ["brand#11", "Brand#99"], ["promo ", "nothing"])
     chosen = chosen.select(F.col("p_partkey").cast("string").alias("found"), F.lit("selected").alias("kind"))
     return chosen.unionByName(missed.select(F.col("selector").alias("found"), F.lit("unmatched").alias("kind")))
 
@@ -71,8 +71,8 @@ def precise_keys(spark, d):
 
 
 def package_members(spark, d):
-    name = F.concat(F.translate(F.col("p_type"), " ", "."), F.lit("$m(int)"))
-    return table(spark, d, "part").select("p_partkey", rules.in_package(name, F.lit("PROMO.PLATED.*")).alias("plated"), rules.in_package(name, F.lit("PRO")).alias("half"), rules.in_package(name, F.col("p_type")).alias("own"))
+    name = F.concat("p_type", F.lit("."), F.translate("p_brand", "#", "."), F.lit("$m(int)"))
+    return table(spark, d, "part").select("p_partkey", rules.in_package(name, F.lit("PROMO.Brand.*")).alias("promo"), rules.in_package(name, F.lit("PROMO.Brand.1")).alias("first"), rules.in_package(name, F.col("p_type")).alias("own"), rules.in_package(name, F.lit(" ")).alias("blank"))
 
 
 def module_scopes(spark, d):
@@ -158,12 +158,12 @@ SQL = {
         SELECT doc_id AS path, count(*) AS calls, count(*) FILTER (WHERE receiver = 'ed') AS always, count(DISTINCT receiver) AS receivers FROM c WHERE receiver = 'ed' OR list_contains(names, receiver) GROUP BY 1""",
     "scope_filter": "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1",
     "scope_selection": """
-        SELECT CAST(p_partkey AS VARCHAR) AS found, 'selected' AS kind FROM part WHERE lower(p_brand) IN ('brand#11', 'brand#99') OR lower(p_type) IN ('promo plated tin', 'nothing')
-        UNION ALL SELECT s, 'unmatched' FROM (VALUES ('brand#11', 1), ('brand#99', 1), ('promo plated tin', 2), ('nothing', 2)) v(s, k) WHERE NOT EXISTS (SELECT 1 FROM part WHERE (k = 1 AND lower(p_brand) = s) OR (k = 2 AND lower(p_type) = s))""",
+        SELECT CAST(p_partkey AS VARCHAR) AS found, 'selected' AS kind FROM part WHERE lower(p_brand) IN ('brand#11', 'brand#99') OR lower(p_type) IN ('promo', 'nothing')
+        UNION ALL SELECT s, 'unmatched' FROM (VALUES ('brand#11', 1), ('brand#99', 1), ('promo', 2), ('nothing', 2)) v(s, k) WHERE NOT EXISTS (SELECT 1 FROM part WHERE (k = 1 AND lower(p_brand) = s) OR (k = 2 AND lower(p_type) = s))""",
     "high_risk_rows": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 < 2 ELSE o_orderstatus = 'F' END AS high_risk FROM orders",
     "edge_admission": "SELECT CASE WHEN l_linestatus <> 'F' THEN 'ADMITTED' WHEN l_linenumber % 3 = 0 THEN 'OWNER_UNQUALIFIED' WHEN l_returnflag = 'N' THEN 'SIGNATURE_MISSING' ELSE 'ADMITTED' END AS verdict, count(*) AS n FROM lineitem GROUP BY 1",
     "precise_keys": "SELECT p_partkey, p_partkey % 4 >= 2 AS precise FROM part",
-    "package_members": "SELECT p_partkey, starts_with(p_type, 'PROMO PLATED ') AS plated, false AS half, replace(p_type, ' ', '.') = p_type AS own FROM part",
+    "package_members": "SELECT p_partkey, p_type = 'PROMO' AS promo, p_type = 'PROMO' AND p_brand = 'Brand#1' AS first, true AS own, false AS blank FROM part",
     "module_scopes": """
         SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'business_classes' WHEN p_partkey % 4 = 1 THEN CASE WHEN p_partkey % 8 = 1 AND p_partkey % 6 < 4 THEN 'internal_module' ELSE 'unknown' END WHEN p_partkey % 6 < 4 THEN 'external_dependency' ELSE 'unknown' END AS scope FROM part""",
     "user_outcome": f"""
@@ -175,7 +175,7 @@ SQL = {
         WITH l AS (SELECT l_returnflag f, l_linenumber % 2 = 0 had, l_linestatus = 'F' ref, l_quantity > 40 link, l_discount < 0.08 ok FROM lineitem)
         SELECT CASE WHEN NOT ok THEN 'unverified' WHEN NOT ref THEN 'source_reference_absent' WHEN f = 'N' THEN 'recompile_value_change' WHEN f = 'A' THEN 'recompile_break' ELSE 'recompile_review_required' END AS compile,
           CASE WHEN link THEN 'runtime_link_present' WHEN NOT ok THEN 'unverified' WHEN had AND ref THEN CASE WHEN f = 'N' THEN 'inlined_old_value' ELSE 'inlined_no_link' END ELSE 'runtime_link_absent' END AS runtime, count(*) AS n FROM l GROUP BY 1, 2""",
-    "tech_detect": "SELECT p_brand, bool_or(starts_with(p_type, 'ECONOMY ANODIZED') OR starts_with(p_type, 'STANDARD ANODIZED')) AS anodized, bool_or(starts_with(p_type, 'PROMO')) AS promo, bool_or(starts_with(p_type, 'LARGE') OR starts_with(p_type, 'MEDIUM PLATED')) AS large FROM part GROUP BY 1",
+    "tech_detect": "SELECT p_brand, bool_or(starts_with(p_type, 'ECONOMY') OR starts_with(p_type, 'STANDARD')) AS plain, bool_or(starts_with(p_type, 'PROMO')) AS promo, false AS "none" FROM part GROUP BY 1",
     "jdk_precedence": """
         WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '21' END c, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 + 8 AS VARCHAR) END a, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 3 + 8 AS VARCHAR) END b FROM orders)
         SELECT o_orderkey, coalesce(c, a, b) AS version, CASE WHEN c IS NOT NULL THEN 'user_confirmed' WHEN a IS NOT NULL THEN 'final_artifact_bytecode' WHEN b IS NOT NULL THEN 'build_model' ELSE 'not_found' END AS source,
