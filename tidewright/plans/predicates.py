@@ -9,7 +9,7 @@ from ..operators import rules
 from ..sources.tables import table
 
 _STATES = ["reachable", "uncertain", "not_analyzed", "not_found_in_static_analysis", "not_impacted"]
-_TECH = {"plain": ("ECONOMY", "STANDARD"), "promo": ("PROMO",), "none": ("XL", "LARGER")}
+_TECH = {"plain": ("ECONOMY", "STANDARD"), "promo": ("PROMO",), "xl": ("XL", "LARGER")}
 _RULES = [("internal", "warn", r"\bthe\s+of\b"), ("reflect", "info", r"@[a-z0-9]+\."), ("flags", "warn", r"[0-9]{5}"), ("serial", "info", r"licen[cs]e")]
 
 
@@ -175,7 +175,7 @@ SQL = {
         WITH l AS (SELECT l_returnflag f, l_linenumber % 2 = 0 had, l_linestatus = 'F' ref, l_quantity > 40 link, l_discount < 0.08 ok FROM lineitem)
         SELECT CASE WHEN NOT ok THEN 'unverified' WHEN NOT ref THEN 'source_reference_absent' WHEN f = 'N' THEN 'recompile_value_change' WHEN f = 'A' THEN 'recompile_break' ELSE 'recompile_review_required' END AS compile,
           CASE WHEN link THEN 'runtime_link_present' WHEN NOT ok THEN 'unverified' WHEN had AND ref THEN CASE WHEN f = 'N' THEN 'inlined_old_value' ELSE 'inlined_no_link' END ELSE 'runtime_link_absent' END AS runtime, count(*) AS n FROM l GROUP BY 1, 2""",
-    "tech_detect": "SELECT p_brand, bool_or(starts_with(p_type, 'ECONOMY') OR starts_with(p_type, 'STANDARD')) AS plain, bool_or(starts_with(p_type, 'PROMO')) AS promo, false AS "none" FROM part GROUP BY 1",
+    "tech_detect": "SELECT p_brand, bool_or(starts_with(p_type, 'ECONOMY') OR starts_with(p_type, 'STANDARD')) AS plain, bool_or(starts_with(p_type, 'PROMO')) AS promo, false AS xl FROM part GROUP BY 1",
     "jdk_precedence": """
         WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '21' END c, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 + 8 AS VARCHAR) END a, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 3 + 8 AS VARCHAR) END b FROM orders)
         SELECT o_orderkey, coalesce(c, a, b) AS version, CASE WHEN c IS NOT NULL THEN 'user_confirmed' WHEN a IS NOT NULL THEN 'final_artifact_bytecode' WHEN b IS NOT NULL THEN 'build_model' ELSE 'not_found' END AS source,
