@@ -163,6 +163,18 @@ def test_piece_search_is_linear_and_exact_on_long_texts(pattern):
     assert took[1] < 12 * took[0] + 1
 
 
+def test_slices_keep_every_row():
+    import pyarrow as pa
+
+    from tidewright.llm.common import slices
+
+    texts = ["a" * k for k in (0, 70, 5, 100, 3)] + [None, "b" * 20, "b" * 20, "b" * 20, "b" * 20]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "id": list(range(10))})
+    got = list(slices([batch, batch.slice(0, 0)], size=60))
+    assert [x for b in got for x in b.column("text").to_pylist()] == texts and [x for b in got for x in b.column("id").to_pylist()] == list(range(10))
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column("text").to_pylist()) <= 60 for b in got)
+
+
 def test_portions_keep_every_text():
     texts = [b"a" * k for k in (0, 5, 100, 3, 0, 50, 50)]
     got = list(pieces.portions(texts, 60))

@@ -8,6 +8,7 @@ as in tests.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -15,9 +16,12 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -144,6 +148,33 @@ def batch_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bytes of text that a Python worker handles at a time.
+PORTION = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of ``size`` bytes of text each, or of one longer text; what a worker holds for a batch doesn't outlive it."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        low = 0
+        while low < b.num_rows:
+            start = ends[low] - lengths[low]
+            high = max(low + 1, int(np.searchsorted(ends, start + size, side="right")))
+            yield b.slice(low, high - low)
+            low = high
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this Python worker no longer uses: it stays alive for later tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc32_of(column: str):
     """Unsigned crc32 of a column's text form."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import check_hash_seed, spread, table
+from .common import check_hash_seed, slices, spread, table
 from .jaccard_join import _A, _B, _mix
 
 BITS, RADIUS, BLOCKS = 128, 30, 10
@@ -203,7 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def found(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             check_hash_seed()
             prepared = Benchmark(held.value, size, threshold)
-            for b in batches:
+            for b in slices(batches):
                 rows = [(d, *m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for m in prepared.match(t)]
                 cols = list(zip(*rows)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
@@ -222,7 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             check_hash_seed()
             prepared = Benchmark(held.value, size, threshold)
-            for b in batches:
+            for b in slices(batches, at):
                 yield b.filter(pa.array([not prepared.match(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = spread(docs).mapInArrow(clean, schema)

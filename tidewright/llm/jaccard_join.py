@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import as_scan, batch_bytes, bounded, check_hash_seed, drop_rows, located, release, spread, stage, staged, sweep, table
+from .common import as_scan, batch_bytes, bounded, check_hash_seed, drop_rows, give_back, located, release, slices, spread, stage, staged, sweep, table
 from .components import components
 
 #: The part of the hash space whose n-grams come first, and have their document frequencies counted, is so many
@@ -75,7 +75,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
     import xxhash
 
     theta = np.uint64(first_part(percent))
-    for b in batches:
+    for b in slices(batches):
         sizes, digests, firsts = [], [], []
         for text in batch_bytes(b.column("text")):
             s = shingles(text, n)
@@ -91,7 +91,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
 
 def _whole(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     check_hash_seed()
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([shingles(t, n).tobytes() for t in batch_bytes(b.column("text"))], pa.binary())], ["class", "grams"])
 
 
@@ -141,6 +141,7 @@ def _verify(key: tuple, pdf, percent: int):
     ids = pdf["class"].tolist()
     labels = pd.factorize(pdf["label"])[0].tolist()
     found = links_between(sets, percent, labels) if len(set(labels)) > 1 else []
+    give_back()
     return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
 
 

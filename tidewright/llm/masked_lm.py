@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_bytes, check_hash_seed, spread, stage, table
-from .stretches import binary, cut, portions
+from .common import batch_bytes, check_hash_seed, slices, spread, stage, table
+from .stretches import binary, cut
 
 VOCABULARY, BUCKETS = 32_768, 1_024
 #: Words on either side, and the network's sizes: a row of a node's weights fills one cache line.
@@ -63,12 +63,10 @@ def words_of(text: bytes) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     check_hash_seed()
-    for b in batches:
-        texts = batch_bytes(b.column("text"))
-        for low, high in portions(texts):
-            hashes, which, _ = hashed_words(texts[low:high])
-            many = np.bincount(which, minlength=len(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[many > 0]), pa.array(many[many > 0].astype(np.int64))], ["word", "n"])
+    for b in slices(batches):
+        hashes, which, _ = hashed_words(batch_bytes(b.column("text")))
+        many = np.bincount(which, minlength=len(hashes))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[many > 0]), pa.array(many[many > 0].astype(np.int64))], ["word", "n"])
 
 
 @dataclass
@@ -300,14 +298,12 @@ def named(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check_hash_seed()
-        for b in batches:
-            texts = batch_bytes(b.column("text"))
-            for low, high in portions(texts):
-                hashes, which, begins = hashed_words(texts[low:high])
-                rows = held.value.look_up(hashes)[which].astype("<i4")
-                rare = rows >= VOCABULARY
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare)])[begins].astype(np.int32), hashes[which[rare]])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[low:high], binary(rows, np.diff(begins)).cast(pa.binary()), lists], ["doc_id", "rows", "rare"])
+        for b in slices(batches):
+            hashes, which, begins = hashed_words(batch_bytes(b.column("text")))
+            rows = held.value.look_up(hashes)[which].astype("<i4")
+            rare = rows >= VOCABULARY
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare)])[begins].astype(np.int32), hashes[which[rare]])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), binary(rows, np.diff(begins)).cast(pa.binary()), lists], ["doc_id", "rows", "rare"])
 
     return spread(docs).mapInArrow(found, "doc_id bigint, rows binary, rare array<bigint>")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_bytes, spread, table
+from .common import batch_bytes, slices, spread, table
 from .stretches import Stretches, binary, cut, portions
 
 SPACE = "▁"
@@ -317,7 +317,7 @@ class Pieces:
 
     def decode_all(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[bytes]:
         """The UTF-8 of each of several texts from their ids one after another."""
-        taken = self.table.take(pa.array(ids.astype(np.int32)))
+        taken = self.table.take(pa.array(ids.view(np.int32)))
         data, offsets = memoryview(taken.buffers()[2] or b""), np.frombuffer(taken.buffers()[1], np.int64)
         bounds = offsets[begins].tolist()
         for low, high in zip(bounds, bounds[1:]):
@@ -349,15 +349,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
-        for b in batches:
+        for b in slices(batches):
             texts = batch_bytes(b.column("text"))
-            for low, high in portions(texts):
-                ids, begins = pieces.encode_all(texts[low:high])
-                restored = [t == back for t, back in zip(texts[low:high], pieces.decode_all(ids, begins))]
-                bounds, raw = begins.tolist(), memoryview(ids.astype("<u4").tobytes())
-                sums = pa.array([zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(bounds, bounds[1:])], pa.int64())
-                lists = pa.ListArray.from_arrays(begins.astype(np.int32), ids.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[low:high], lists, pa.array(np.diff(begins)), sums, pa.array(restored, pa.bool_())], ["doc_id", "ids", "n_tokens", "ids_crc32", "restored"])
+            ids, begins = pieces.encode_all(texts)
+            restored = [t == back for t, back in zip(texts, pieces.decode_all(ids, begins))]
+            bounds, raw = begins.tolist(), memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+            sums = pa.array([zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(bounds, bounds[1:])], pa.int64())
+            lists = pa.ListArray.from_arrays(begins.astype(np.int32), ids.view(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(np.diff(begins)), sums, pa.array(restored, pa.bool_())], ["doc_id", "ids", "n_tokens", "ids_crc32", "restored"])
 
     source = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     return source.mapInArrow(encoded, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, restored boolean")

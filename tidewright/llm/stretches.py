@@ -12,8 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are cut at a time; a longer text makes a portion of its own.
-PORTION = 24 << 20
+from .common import PORTION
 
 
 def portions(texts: list[bytes], size: int = PORTION) -> Iterator[tuple[int, int]]:

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc32_of, spread, stage, staged, sweep, table
+from .common import crc32_of, give_back, spread, stage, staged, sweep, table
 
 #: Labelled rows that the lexicon is learned from, at most (those with the smallest hashes of their ids).
 SAMPLE = 20_000
@@ -209,6 +209,7 @@ def scores(lexicon: Lexicon):
         a = lexicon.automaton()
         for texts in batches:
             yield pd.Series([round(lexicon.score(lexicon.density(t, a)), 6) for t in texts], dtype="float64")
+        give_back()
 
     return score
 
