@@ -67,7 +67,7 @@ def decide(paths: DataFrame, failures: DataFrame, concerns: DataFrame, coverage:
 def worst_coverage(status: Column) -> Column:
     """An aggregate: the worst coverage of a group; not_applicable if nothing in it applies. Unknown words are passed over."""
     order = F.array(*map(F.lit, COVERAGE))
-    return F.coalesce(F.element_at(order, F.nullif(F.max(F.array_position(order, status)), F.lit(0)).cast("int")), F.lit(NOT_APPLICABLE))
+    return F.coalesce(F.get(order, (F.max(F.array_position(order, status)) - 1).cast("int")), F.lit(NOT_APPLICABLE))
 
 
 def analysis_status(dependencies: DataFrame, binary: DataFrame, diff: DataFrame) -> DataFrame:
