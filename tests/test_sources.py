@@ -69,6 +69,22 @@ def test_archives_are_opened_within_limits(spark):
     assert "ARCHIVE_ENTRY_COUNT_EXCEEDED" in {r.reason for r in archives.entries(df, (), archives.Limits(entries=2)).collect()}
 
 
+def test_packaged_archives_say_what_they_are(spark):
+    pom = lambda g, a, v: f"#x\ngroupId={g}\nartifactId={a}\nversion = {v}\n".encode()
+    one = zipped([("META-INF/maven/g/gull/pom.properties", pom("g", "gull", "1.0"))])
+    two = zipped([("META-INF/maven/g/tern/pom.properties", pom("g", "tern", "2")), ("META-INF/maven/h/shaded/pom.properties", pom("h", "shaded", "3"))])
+    outer = zipped([("lib/gull-1.0.jar", one), ("lib/tern-2.jar", two), ("lib/other.jar", two), ("lib/bare.jar", zipped([("A.class", b"1")]))])
+    found = archives.entries(spark.createDataFrame([("w", bytearray(outer))], "archive string, content binary"), ("pom.properties",))
+    got = rows(archives.packaged(found).select("entry", "coord", "version", "status"))
+    assert got == [("lib/bare.jar", None, None, "unresolved"), ("lib/gull-1.0.jar", "g:gull", "1.0", "resolved"), ("lib/other.jar", None, None, "ambiguous"), ("lib/tern-2.jar", "g:tern", "2", "resolved")] or [tuple(x or None for x in g) for g in got] == [("lib/bare.jar", None, None, "unresolved"), ("lib/gull-1.0.jar", "g:gull", "1.0", "resolved"), ("lib/other.jar", None, None, "ambiguous"), ("lib/tern-2.jar", "g:tern", "2", "resolved")]
+
+
+def test_consumer_links(spark):
+    refs = spark.createDataFrame([("j", "A", "m", "()V", "field_access", "p.C", "X", "I", None), ("j", "A", "m", "()V", "field_access", "p.C", "X", "I", None), ("j", "B", "n", "()V", "method_invocation", "p.C", "X", "()V", None), ("j", "B", None, None, None, None, None, None, "bad")], classfile.CALLS)
+    fields = spark.createDataFrame([("p.C", "X"), ("p.C", "Y")], "owner string, field string")
+    assert rows(classfile.consumer_links(refs, fields)) == [("p.C", "X", 1, 2)]
+
+
 def test_class_changes(spark):
     o = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "class string, sha256 string")
     n = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "class string, sha256 string")

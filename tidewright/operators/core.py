@@ -146,16 +146,24 @@ def reconcile(analyzer: DataFrame, oracle: DataFrame, identity: list[str], relat
     return found.select(*relation, each).select(*relation, "_v.verdict", "_v.n").where("n > 0")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, value: str) -> DataFrame:
-    """``left`` with the ``value`` of the latest row of ``right`` not after ``at``: one sort of the union, no range join.
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, value: str, span: str = "month") -> DataFrame:
+    """``left`` with the ``value`` of the latest row of ``right`` not after ``at``, without a range join.
 
-    Of rows of equal time the largest value counts; a row of ``left`` sees rows of its own time.
+    Of rows of equal time the largest value counts; a row of ``left`` sees rows of its own time; null keys meet null keys. Rows are sorted within a key
+    and a ``span`` of time, so that a hot key is many sorts; the last value of each span is carried over to the next ones, a row for each key and span.
     """
     l = left.select(*left.columns, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     fill = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in keys]
     r = right.select(*keys, *fill, F.col(since).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r).withColumn("as_of", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, "as_of")
+    both = l.unionByName(r).withColumn("_span", F.date_trunc(span, F.col("_t").cast("timestamp")))
+    inside = Window.partitionBy(*keys, "_span").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col("_v").isNotNull()
+    ends = both.groupBy(*keys, "_span").agg(F.max(F.when(known, F.struct("_t", "_v"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"), F.last("_end", ignorenulls=True).over(before)["_v"].alias("_carried"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_span").eqNullSafe(F.col("_s"))]
+    seen = both.withColumn("_last", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
+    return seen.join(carried, reduce(lambda a, b: a & b, on), "left").select(*left.columns, F.coalesce("_last", "_carried").alias("as_of"))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

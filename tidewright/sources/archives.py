@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.resolve import ranked_match
 from ..workers import ship
 
 ENTRY = "archive string, entry string, depth int, bytes long, sha256 string, content binary, reason string"
@@ -133,3 +134,21 @@ def class_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     o, n = old.groupBy("class").agg(F.min("sha256").alias("o")), new.groupBy("class").agg(F.min("sha256").alias("n"))
     both = o.join(n, "class", "full").where(~F.col("o").eqNullSafe(F.col("n")))
     return both.select("class", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("modified").alias("change"))
+
+
+def packaged(found: DataFrame) -> DataFrame:
+    """``archive, entry, sha256, coord, version, status`` of nested archives, with the coordinates that their build metadata states.
+
+    ``found`` as of entries, with the contents of pom.properties kept. Of several coordinates in one archive the one that its file is named after
+    counts; where that doesn't settle it the status is ambiguous, without any metadata unresolved.
+    """
+    nested = found.where(F.lower("entry").rlike(r"\.(jar|war|zip)$")).select("archive", "entry", "sha256")
+    text = F.col("content").cast("string")
+    get = lambda k: F.regexp_extract(text, rf"(?m)^\s*{k}\s*=\s*(\S+)", 1)
+    stated = found.where(F.col("entry").rlike(r"!/META-INF/maven/[^!]*pom\.properties$") & F.col("content").isNotNull())
+    stated = stated.select("archive", F.regexp_replace("entry", r"!/META-INF/maven/[^!]*$", "").alias("entry"), F.concat_ws(":", get("groupId"), get("artifactId"), get("version")).alias("gav"), F.concat(get("artifactId"), F.lit("-"), get("version")).alias("named"))
+    file = F.regexp_replace(F.element_at(F.split("entry", "/"), -1), r"\.\w+$", "")
+    claims = stated.where("gav NOT LIKE '%::%' AND gav NOT LIKE ':%' AND gav NOT LIKE '%:'").select("archive", "entry", "gav", F.when(file == F.col("named"), 0).otherwise(1).alias("match_rank"))
+    met = ranked_match(nested, ["archive", "entry"], claims, "gav")
+    part = F.split("gav", ":")
+    return nested.join(met, ["archive", "entry"]).select("archive", "entry", "sha256", F.concat_ws(":", part[0], part[1]).alias("coord"), part[2].alias("version"), "status")

@@ -9,7 +9,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..workers import ship
 
@@ -220,3 +220,13 @@ def field_shapes(classes: DataFrame) -> DataFrame:
             yield c.name, name, source_types(descriptor)[0], flags, c.constant(attributes)
 
     return _rows(classes, FIELDS, rows_of)
+
+
+def consumer_links(references: DataFrame, fields: DataFrame) -> DataFrame:
+    """``owner, field, consumers, links``: how many methods of how many references (see calls) link to each field (owner, field) at run time.
+
+    A constant that the compiler copied leaves no such link, so a field without a row is not thereby unused.
+    """
+    used = references.where("problem IS NULL AND kind LIKE '%field%'").select("owner", F.col("member").alias("field"), "archive", "class", "method", "descriptor")
+    met = used.join(fields.select("owner", "field").distinct(), ["owner", "field"])
+    return met.groupBy("owner", "field").agg(F.countDistinct("archive", "class", "method", "descriptor").alias("consumers"), F.count("*").alias("links"))

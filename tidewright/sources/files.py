@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 # Folders of a source tree that hold built or foreign files.
-BUILD_FOLDERS = ("target", "build", "out", "dist", "bin", ".git", ".idea", ".gradle", "node_modules")
+BUILD_FOLDERS = (".git", "target", "build", ".gradle", "out", "bin", "__pycache__", "node_modules", ".upgrade-report", ".trae")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], required: list[str] | None = None) -> DataFrame:
