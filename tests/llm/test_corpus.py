@@ -163,6 +163,16 @@ def test_piece_search_is_linear_and_exact_on_long_texts(pattern):
     assert took[1] < 12 * took[0] + 1
 
 
+def test_only_small_tables_are_broadcast(spark):
+    from tidewright.llm import common
+
+    df = common.stage(spark.range(1000), "t")
+    hint = lambda x: "hint" in x._jdf.queryExecution().logical().toString().lower()
+    assert hint(common.bounded(df)) and not hint(common.bounded(df, rows=999)) and not hint(common.bounded(df, size=100))
+    left = common.drop_rows(spark.range(1200), df, ["id"])
+    assert sorted(r.id for r in left.collect()) == list(range(1000, 1200))
+
+
 def test_slices_keep_every_row():
     import pyarrow as pa
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows (of a few short columns each) up to which a table counted beforehand is broadcast.
 BROADCAST_ROWS = 400_000
+#: Bytes of files up to which a staged table is.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -127,11 +129,20 @@ def as_scan(docs: DataFrame) -> DataFrame:
         return stage(docs, "located")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged table of short rows, marked for broadcast if it was counted to have at most ``rows``."""
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged table, marked for broadcast if it was counted to have at most ``rows`` rows, and its files to have at most ``size`` bytes."""
+    path = getattr(df, "staged_at", None)
+    if path is not None and bytes_of(df.sparkSession, path) > size:
+        return df
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` without the rows that ``dropped`` (staged) names by ``keys``."""
     return docs.join(bounded(dropped), keys, "left_anti")
@@ -180,9 +191,16 @@ def crc32_of(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+#: Arrow batches between the JVM and Python workers, both of which hold whole ones: what Spark has by default, and what is set here in its place.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (("64MB", "67108864b", "67108864"), "8MB")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, once."""
+    """Send this package to the Python workers of the session, once, and make Arrow batches small unless the session says otherwise."""
     global _shipped
+    for key, (default, small) in _BATCHES.items():
+        if spark.conf.get(key, "") in default:
+            spark.conf.set(key, small)
     if _shipped == spark.sparkContext.applicationId:
         return
     top = Path(__file__).resolve().parents[1]
