@@ -199,7 +199,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once, and make Arrow batches small unless the session says otherwise."""
     global _shipped
     for key, (default, small) in _BATCHES.items():
-        if spark.conf.get(key, "") in default:
+        if spark.conf.get(key) in default:
             spark.conf.set(key, small)
     if _shipped == spark.sparkContext.applicationId:
         return
