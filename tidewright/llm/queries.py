@@ -19,6 +19,7 @@ _QUERIES = {
     "op8_toxicity": ("toxicity", None),
     "op9_warc": ("warc", None),
     "op10_jaccard_join": ("jaccard_join", None),
+    "op13_periodic_runs": ("runs", None),
 }
 
 
