@@ -19,6 +19,7 @@ _QUERIES = {
     "op8_toxicity": ("toxicity", None),
     "op9_warc": ("warc", None),
     "op10_jaccard_join": ("jaccard_join", None),
+    "op11_lexical_search": ("wavelet", "OP11_SQL"),
     "op12_fingerprints": ("fingerprints", None),
     "op13_periodic_runs": ("runs", None),
 }
