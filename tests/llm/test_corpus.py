@@ -108,8 +108,10 @@ def test_hamming_index_finds_all_within_the_radius():
     queries = prints.copy()
     for k, q in enumerate(queries):
         q[rng.choice(decontaminate.BITS, k, replace=False)] ^= 1
-    want = {(i, j) for i, q in enumerate(queries) for j, p in enumerate(prints) if (p != q).sum() <= decontaminate.RADIUS}
-    assert {(q, i) for q, i, _ in decontaminate.HammingIndex(prints).search(queries)} == want
+    for radius in (0, 1, 17, 30, 48, 77, 128):
+        want = {(i, j, int((p != q).sum())) for i, q in enumerate(queries) for j, p in enumerate(prints) if (p != q).sum() <= radius}
+        found = [t for part in decontaminate.HammingIndex(prints, radius).search(queries) for t in zip(*(x.tolist() for x in part))]
+        assert set(found) == want and len(found) == len(want)
 
 
 def test_streaming_search_equals_a_whole_lattice():
@@ -401,7 +403,7 @@ def test_decontamination_finds_items_with_repeated_shingles():
         width = min(sum(item.values()), len(words))
         want = min((-decontaminate.weighted_similarity(words[s : s + width], item), s) for s in range(len(words) - width + 1))
         at = [p for p, g in enumerate(words.tolist()) if g in item]
-        got = decontaminate.best_window(at, words, item, width, len(words) - width)
+        got = decontaminate.best_of(np.arange(len(words) - width + 1), at, words, item, width)
         assert got == (want if want[0] else (0.0, 0))
 
 
@@ -421,3 +423,52 @@ def test_toxicity_learns_exception_phrases(spark):
     a = lex.automaton()
     assert "moron proof" in lex.exceptions
     assert lex.density("w1 moron proof w2", a) == 0 < lex.density("w1 moron w2", a)
+
+
+def similar_window(rng, item, threshold=0.8):
+    """The item with as many shingles of size 1 replaced as the threshold lets, the heaviest first or at random, by one other or several."""
+    n = len(item)
+    lost = int(n * (1 - threshold) / (1 + threshold) + 1e-9)
+    counts = decontaminate.Counter(item)
+    order = sorted(range(n), key=lambda k: (-counts[item[k]], item[k]) if rng.random() < 0.5 else (0, rng.random()))[:lost]
+    new = ["new"] if rng.random() < 0.5 else [f"n{k}" for k in range(n)]
+    return [rng.choice(new) if k in order else w for k, w in enumerate(item)]
+
+
+def test_radius_covers_windows_at_the_threshold():
+    rng, missed = random.Random(11), 0
+    for k in range(1500):
+        n = rng.choice((1, 4, 9, 10, 27, 40, 90, 200))
+        item = [f"i{j}" if rng.random() < 0.8 else f"i{rng.randrange(3)}" for j in range(n)]
+        prints = [decontaminate.fingerprints(decontaminate.gram_hashes(decontaminate.word_hashes(f"{' '.join(x)}"), 1), n) for x in (item, similar_window(rng, item))]
+        missed += int((prints[0] != prints[1]).sum()) > decontaminate.radius(list(decontaminate.Counter(item).values()), 0.8)
+    assert missed == 0
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [" ".join(rng.choice(WORDS[:60] if k % 3 else WORDS[:4]) for _ in range(rng.choice((2, 7, 30, 60)))) for k in range(24)] + [None, ""]
+    docs = [None, ""]
+    for k in range(60):
+        words = items[k % 24].split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        docs.append(" ".join([*text(rng, rng.randrange(50)).split(), *words, *text(rng, rng.randrange(50)).split()]))
+    want = set()
+    for d, t in enumerate(docs):
+        for i, item in enumerate(items):
+            words = decontaminate.word_hashes(item)
+            if len(words):
+                n = min(5, len(words))
+                own, grams = decontaminate.gram_hashes(words, n), decontaminate.gram_hashes(decontaminate.word_hashes(t), n)
+                width = min(len(own), len(grams))
+                found = min(((-decontaminate.weighted_similarity(grams[s : s + width], decontaminate.Counter(own.tolist())), s) for s in range(len(grams) - width + 1)), default=(0, 0))
+                if -found[0] >= 0.8:
+                    want.add((d, i, found[1], round(-found[0], 6)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for size in (4_000_000, 700):  # one block, several
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = {(r.doc_id, r.item_id, r.start_word, round(r.similarity, 6)) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+        assert got == want and len(want) > 30
+        left = decontaminate.decontaminate(frame(spark, docs), bench)
+        assert left.columns == frame(spark, docs).columns and sorted(r.doc_id for r in left.collect()) == sorted(set(range(len(docs))) - {d for d, *_ in want})

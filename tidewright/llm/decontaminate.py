@@ -6,8 +6,9 @@ fingerprints, by blocks of bits with a bounded number of flips looked up in each
 within the radius (if at most R of 128 bits differ, then one of B blocks differs in at most R // B).
 Candidates are verified by the weighted Jaccard similarity of window and item: shingles weigh as often as they occur.
 
-Repeated shingles weigh on all bits, so a similar window can lie beyond the radius. Items of which a document holds
-enough shingles to reach the threshold are therefore also counted through the document, window by window.
+Each item has a radius of its own, from its counts: the widest angle at which a window can still be similar enough, given where the item's
+weight lies, tells how many bits such a window is expected to differ in, and MARGIN standard deviations come on top. An item
+with a shingle that is repeated many times has a wide radius, up to all bits.
 
 A window without a single shingle of the item has similarity zero, so only windows that hold one are
 fingerprinted. That loses no result.
@@ -24,14 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import check_hash_seed, slices, spread, table
+from .common import as_scan, check_hash_seed, drop_rows, located, slices, spread, stage, table
 from .jaccard_join import _A, _B, _mix
 
-BITS, RADIUS, BLOCKS = 128, 30, 10
+#: Bits of a fingerprint, standard deviations of the radius, bits that may differ in a block, candidate pairs looked at together.
+BITS, MARGIN, FLIPS, PAIRS = 128, 4.5, 2, 2_000_000
 #: Text of benchmark items that is broadcast at once; a larger benchmark is matched block by block.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 _WORD = re.compile(r"\w+")
-_EDGES = np.linspace(0, BITS, BLOCKS + 1).astype(int)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -68,13 +69,33 @@ def weighted_similarity(a: np.ndarray, b: Counter) -> float:
     return both / (sum(c.values()) + sum(b.values()) - both)
 
 
-def best_window(at: list[int], grams: np.ndarray, item: Counter, width: int, last: int) -> tuple[float, int]:
-    """(-similarity, start) of the first best window of ``width`` shingles, by sliding over the places of the item's shingles."""
+def radius(counts: list[int], threshold: float) -> int:
+    """Bits in which the fingerprint of a window as similar as ``threshold`` may differ from that of an item with shingles of these counts.
+
+    The window lacks what makes the angle widest, the heaviest shingles, and has one other shingle as often as it can.
+    """
+    heavy = np.sort(np.array(counts, np.float64))[::-1]
+    n, length = heavy.sum(), (heavy**2).sum()
+    ends, squares = np.append(0, np.cumsum(heavy)), np.append(0, np.cumsum(heavy**2))
+    most = 0.0
+    for lost in range(int(n * (1 - threshold) + 1e-9) + 1):
+        whole = int(np.searchsorted(ends, lost, side="right")) - 1
+        part = lost - ends[whole]
+        over = heavy[whole] if whole < len(heavy) else 0
+        inner, square = squares[whole] + part * over, squares[whole] + part * part
+        new = max(0, min(lost, int((n - lost) / threshold - n + 1e-9)))
+        rest = length - 2 * inner + square + new * new
+        most = max(most, np.arccos(np.clip((length - inner) / np.sqrt(length * rest), -1, 1)) if rest > 0 else np.pi)
+    p = most / np.pi
+    return min(BITS, int(np.ceil(BITS * p + MARGIN * np.sqrt(BITS * p * (1 - p)))))
+
+
+def best_of(starts: np.ndarray, at: list[int], grams: np.ndarray, item: Counter, width: int) -> tuple[float, int]:
+    """(-similarity, start) of the first best of the windows of ``width`` shingles at ``starts`` (ascending), by sliding over the places ``at`` of the item's shingles."""
     size, held, both = sum(item.values()), Counter(), 0
     best, enter, leave = (0.0, 0), 0, 0
     found = [int(grams[p]) for p in at]
-    # The shared count only changes where a shingle enters or leaves; starts past either end are moved to it.
-    for start in sorted({min(max(0, s), last) for p in at for s in (p - width + 1, p + 1)}):
+    for start in starts.tolist():
         while enter < len(at) and at[enter] < start + width:
             g = found[enter]
             held[g] += 1
@@ -90,102 +111,124 @@ def best_window(at: list[int], grams: np.ndarray, item: Counter, width: int, las
 
 
 class HammingIndex:
-    """All fingerprints within RADIUS of a query, by blocks in which at most RADIUS // BLOCKS bits differ."""
-
-    def __init__(self, prints: np.ndarray):
-        self.prints, self.tables = prints, []
-        for values, width in zip(self.blocks(prints).T, np.diff(_EDGES)):
-            flips = [sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), k)]
-            found = defaultdict(list)
-            for i, v in enumerate(values.tolist()):
-                for f in flips:
-                    found[v ^ f].append(i)
-            self.tables.append(found)
+    """All fingerprints within ``radius`` of a query, by blocks of which one differs in at most FLIPS bits. An index holds a number for each fingerprint and block; flips are made in the queries."""
 
-    @staticmethod
-    def blocks(prints: np.ndarray) -> np.ndarray:
-        return np.stack([prints[:, a:b] @ (1 << np.arange(b - a)) for a, b in zip(_EDGES[:-1], _EDGES[1:])], 1)
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.packed, self.radius = self.pack(prints), radius
+        self.edges = np.linspace(0, BITS, min(BITS // 4, max(BITS // 16, radius // (FLIPS + 1) + 1)) + 1).astype(int)
+        self.tables = []
+        for values, width in zip(self.blocks(prints).T, np.diff(self.edges)):
+            order = np.argsort(values, kind="stable").astype(np.int32)
+            flips = [sum(1 << b for b in c) for k in range(min(width, radius // (len(self.edges) - 1)) + 1) for c in combinations(range(width), k)]
+            self.tables.append((order, values[order], np.array(flips, np.int64)))
 
-    def search(self, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(query, fingerprint, distance) of all pairs within the radius."""
-        for q, values in enumerate(self.blocks(prints).tolist()):
-            near = set().union(*(t.get(v, ()) for t, v in zip(self.tables, values)))
-            if near:
-                near = np.fromiter(near, np.int64)
-                distance = (self.prints[near] != prints[q]).sum(1)
-                for i in np.flatnonzero(distance <= RADIUS).tolist():
-                    yield q, int(near[i]), int(distance[i])
+    @staticmethod
+    def pack(prints: np.ndarray) -> np.ndarray:
+        return np.packbits(prints, axis=1).view(np.uint64)
+
+    def blocks(self, prints: np.ndarray) -> np.ndarray:
+        return np.stack([prints[:, a:b].astype(np.int64) @ (1 << np.arange(b - a)) for a, b in zip(self.edges[:-1], self.edges[1:])], 1)
+
+    def search(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Arrays of (query, fingerprint, distance) of all pairs within the radius, some queries at a time."""
+        many = len(self.packed)
+        packed, blocks = self.pack(prints), self.blocks(prints)
+        step = max(1, PAIRS // (many * len(self.tables)))
+        for low in range(0, len(prints), step):
+            met = []
+            for (order, keys, flips), values in zip(self.tables, blocks[low : low + step].T):
+                probes = (values[:, None] ^ flips).ravel()
+                first = np.searchsorted(keys, probes)
+                counts = np.searchsorted(keys, probes, side="right") - first
+                at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                met.append(np.repeat(np.arange(len(probes)) // len(flips), counts) * many + order[at])
+            pairs = np.unique(np.concatenate(met))
+            q, i = pairs // many + low, pairs % many
+            distance = np.bitwise_count(packed[q] ^ self.packed[i]).sum(axis=1)
+            near = distance <= self.radius
+            if near.any():
+                yield q[near], i[near], distance[near]
 
 
 class Benchmark:
-    """Items prepared for matching: their shingles, and a Hamming index for each window size."""
+    """Items prepared for matching: their shingles, and a Hamming index for the items of each window size and radius."""
 
     def __init__(self, items: list[tuple], size: int, threshold: float):
         self.threshold = threshold
-        self.by_gram: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))  # shingle size: shingle: items
         self.items, same = [], defaultdict(list)
+        owners: dict[int, list] = defaultdict(list)  # shingle size: its items' distinct shingles
         for item_id, text in items:
             words = word_hashes(text)
             if len(words):
                 n = min(size, len(words))  # an item of fewer words is one shingle
                 grams = gram_hashes(words, n)
                 k = len(self.items)
-                self.items.append((item_id, n, Counter(grams.tolist()), fingerprints(grams, len(grams))))
-                same[n, len(grams)].append(k)
-                for g in set(grams.tolist()):
-                    self.by_gram[n][g].append(k)
-        self.index = {key: (ks, HammingIndex(np.concatenate([self.items[k][3] for k in ks]))) for key, ks in same.items()}
+                counts = Counter(grams.tolist())
+                self.items.append((item_id, n, counts, fingerprints(grams, len(grams))))
+                same[n, len(grams), radius(list(counts.values()), threshold)].append(k)
+                own = np.unique(grams)
+                owners[n].append((own, np.full(len(own), k, np.int32)))
+        self.index: dict[tuple[int, int], list] = defaultdict(list)
+        for (n, width, reach), ks in same.items():
+            self.index[n, width].append((np.array(ks), HammingIndex(np.concatenate([self.items[k][3] for k in ks]), reach)))
         self.filters = {}
-        for n, grams in self.by_gram.items():
-            keys = np.sort(np.fromiter(grams, np.uint64, len(grams)))
+        for n, parts in owners.items():
+            grams, of = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(grams, kind="stable")
+            keys, first = np.unique(grams[order], return_index=True)
             bits = max(12, int(np.ceil(np.log2(len(keys)))) + 7)
             near = np.zeros(1 << bits, bool)
             near[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.filters[n] = (np.uint64(64 - bits), near, keys)
+            self.filters[n] = (np.uint64(64 - bits), near, keys, np.append(first, len(of)), of[order])
 
     def match(self, text: str | None) -> list[tuple]:
         """(item, start word, words, distance, similarity) of the best window for each item that the text holds."""
         words = word_hashes(text)
         best: dict[int, tuple] = {}
-        for n, (shift, near, keys) in self.filters.items():
+        for n, (shift, near, keys, first, owners) in self.filters.items():
             grams = gram_hashes(words, n)
             hits = np.flatnonzero(near[(grams >> shift).astype(np.int64)])
-            hits = hits[keys[np.minimum(np.searchsorted(keys, grams[hits]), len(keys) - 1)] == grams[hits]]
-            starts: dict[int, set] = defaultdict(set)
-            places: dict[int, list] = defaultdict(list)
-            for p in hits.tolist():
-                for k in self.by_gram[n][int(grams[p])]:
+            which = np.minimum(np.searchsorted(keys, grams[hits]), len(keys) - 1)
+            same = keys[which] == grams[hits]
+            places: dict[int, list] = defaultdict(list)  # of each item's shingles
+            for p, w in zip(hits[same].tolist(), which[same].tolist()):
+                for k in owners[first[w] : first[w + 1]].tolist():
                     places[k].append(p)
-                for size in {sum(self.items[k][2].values()) for k in self.by_gram[n][int(grams[p])]}:
-                    starts[size].add(p)
-            for size, at in starts.items():
-                ks, index = self.index[n, size]
+            by_size: dict[int, list] = defaultdict(list)
+            for k in places:
+                by_size[sum(self.items[k][2].values())].append(k)
+            for size, ks in by_size.items():
                 width = min(size, len(grams))  # a shorter document is one window
+                at = sorted({p for k in ks for p in places[k]})
                 wanted = np.unique(np.clip(np.concatenate([np.arange(p - width + 1, p + 1) for p in at]), 0, len(grams) - width))
+                starts: dict[int, list] = defaultdict(list)
                 for run in np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1):
                     low, high = int(run[0]), int(run[-1])
-                    for q, i, distance in index.search(fingerprints(grams[low : high + width], width)):
-                        k, start = ks[i], low + q
-                        similarity = weighted_similarity(grams[start : start + width], self.items[k][2])
-                        if similarity >= self.threshold and (k not in best or (-similarity, start) < best[k][:2]):
-                            best[k] = (-similarity, start, width + n - 1, distance)
-            for k, at in places.items():
-                item = self.items[k][2]
-                width = min(sum(item.values()), len(grams))
-                if len(at) * (1 + self.threshold) >= self.threshold * (sum(item.values()) + width) - 1e-6:
-                    found = best_window(at, grams, item, width, len(grams) - width)
-                    if -found[0] >= self.threshold and (k not in best or found < best[k][:2]):
-                        window = fingerprints(grams[found[1] : found[1] + width], width)
-                        best[k] = (*found, width + n - 1, int((window != self.items[k][3]).sum()))
+                    prints = fingerprints(grams[low : high + width], width)
+                    for of, index in self.index[n, size]:
+                        for q, i, distance in index.search(prints):
+                            found = of[i]
+                            for k in np.unique(found).tolist():
+                                if k in places:
+                                    starts[k].append((q[found == k] + low, distance[found == k]))
+                for k, parts in starts.items():
+                    windows, distances = (np.concatenate(x) for x in zip(*parts))
+                    score, start = best_of(windows, places[k], grams, self.items[k][2], width)
+                    if -score >= self.threshold:
+                        best[k] = (score, start, width + n - 1, int(distances[np.searchsorted(windows, start)]))
         return [(self.items[k][0], start, size, distance, -s) for k, (s, start, size, distance) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[tuple], bool]]:
+    """Blocks of items, and whether there are several."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
     many = max(1, -(-int(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES))
     for k in range(many):
         block = items if many == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(many)) == k)
-        yield [tuple(r) for r in block.orderBy("i", "t").collect()]
+        yield [tuple(r) for r in block.orderBy("i", "t").collect()], many > 1
+
+
+_LEAKS = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, distance bigint, similarity double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -194,10 +237,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Words are runs of letters, digits and underscores in lower case. Ties go to the first window. Items of fewer words
     than ``size`` count as one shingle; null and empty texts hold nothing and are found nowhere. Repeated
     rows on either side give repeated results; null identifiers are passed on. Clean documents have no row.
+    A benchmark of several blocks is matched one after the other, each into a staged table.
     """
     source = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     out = None
-    for items in _blocks(benchmark, item_col, item_text):
+    for items, more in _blocks(benchmark, item_col, item_text):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def found(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -208,15 +252,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 cols = list(zip(*rows)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
 
-        part = source.mapInArrow(found, "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, distance bigint, similarity double")
+        part = source.mapInArrow(found, _LEAKS)
+        if more:  # let go of the block
+            part = stage(part, "leaks")
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows that hold an item of ``benchmark`` (see leaks); all columns are kept."""
-    at, schema = docs.columns.index(text_col), docs.schema
-    for items in _blocks(benchmark, item_col, item_text):
+    """``docs`` without the rows that hold an item of ``benchmark`` (see leaks); all columns are kept. With a benchmark of several blocks, rows to drop are staged by locator."""
+    at, schema, out = docs.columns.index(text_col), docs.schema, docs
+    for items, more in _blocks(benchmark, item_col, item_text):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -225,8 +272,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for b in slices(batches, at):
                 yield b.filter(pa.array([not prepared.match(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = spread(docs).mapInArrow(clean, schema)
-    return docs
+        def hit(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            check_hash_seed()
+            prepared = Benchmark(held.value, size, threshold)
+            for b in slices(batches):
+                yield b.select([1, 2]).filter(pa.array([bool(prepared.match(t)) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        if not more:
+            return spread(docs).mapInArrow(clean, schema)
+        if out is docs:
+            out = docs = as_scan(docs)
+            names = ["_held_file", "_held_row"]
+            while set(names) & set(docs.columns):
+                names = [n + "_" for n in names]
+        gone = stage(spread(located(docs, *names).select(F.col(text_col).alias("text"), *names)).mapInArrow(hit, f"{names[0]} string, {names[1]} bigint"), "held")
+        held.destroy()
+        out = drop_rows(located(docs, *names) if out is docs else out, gone, names)
+    return out.drop(*names)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
