@@ -206,3 +206,15 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` has written and that nothing reads any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        held = plan.rdd().getCheckpointFile()
+        if held.isDefined():
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(held.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
