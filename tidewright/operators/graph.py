@@ -6,9 +6,11 @@ frontiers are asked for. Every level is cut from the lineage with a reliable che
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .core import cut
+from .core import cut, forget
 
 #: A path's confidence below which it isn't followed, and the stop reasons.
 FADED = 0.3
@@ -32,7 +34,7 @@ def stop_reason(cost: Column, max_cost: int, score: Column, system_code: Column,
 
 
 def adaptive_limit(base: int, edges: int, exact: bool, all_high: bool) -> int:
-    """The cost limit, raised for exact targets on paths of high confidence only."""
+    """The cost limit, raised for exact targets on paths of high confidence only. ``edges``: how many the whole graph has."""
     return max(base, min(20, edges + 1, 3 * base)) if exact and all_high else base
 
 
@@ -105,47 +107,100 @@ def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 6
     """Reverse paths under the stop policy: ``seed, path, cost, confidence, last, stop`` of every path that ends, with why it did.
 
     ``edges``: caller, callee, confidence (high, medium or other), system (the caller is code of the platform), boundary (of a framework), test, entry (of the
-    business). Paths go from callees to callers without a repeated node; test code is never entered. Of the paths of a seed that reach a
-    node with as much cost and as little confidence as another, one is followed on each level. A path ends where ``stop_reason`` says so
-    (``stop``), at a business entry ('BUSINESS_ENTRY'), or where nothing but its own nodes calls its last one ('NO_CALLER').
+    business). ``seeds``: seed and, if wanted, exact: such seeds have a larger budget on paths of high confidence alone. Paths go from callees to callers
+    without a repeated node; test code is never entered. For each seed and node the states (cost, confidence) reached so far are kept across levels: a path that
+    costs no less and is no surer than one that came there before, or on the same level (ties: the smallest path), isn't followed or given. A path ends where
+    ``stop_reason`` says so (``stop``), at a business entry ('BUSINESS_ENTRY'), or where nothing but its own nodes calls its last one ('NO_CALLER').
     """
     e = cut(edges.where("NOT test").select(F.col("callee").alias("at"), "caller", "confidence", "system", "boundary", "entry").distinct().repartition("at"))
-    now = seeds.select("seed", F.array("seed").alias("path"), F.col("seed").alias("at"), F.lit(0).cast("bigint").alias("cost"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("stop")).distinct()
-    done = None
+    exact = F.coalesce(F.col("exact"), F.lit(False)) if "exact" in seeds.columns else F.lit(False)
+    larger = adaptive_limit(max_cost, e.count() if "exact" in seeds.columns else 0, True, True)
+    limit = F.when(F.col("exact") & F.col("all_high"), larger).otherwise(max_cost)
+    now = seeds.groupBy("seed").agg(F.max(exact).alias("exact")).select("seed", "exact", F.array("seed").alias("path"), F.col("seed").alias("at"), F.lit(0).cast("bigint").alias("cost"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("all_high"))
+    now = cut(now)
+    frontier, ended = cut(now.select("seed", "at", "cost", "score")), []
     for _ in range(max_edges):
-        grown = cut(now.join(e, "at").where("NOT array_contains(path, caller)").select(
-            "seed", F.concat("path", F.array("caller")).alias("path"), F.col("caller").alias("at"), (F.col("cost") + edge_cost(F.col("confidence"))).alias("cost"), (F.col("score") * decay(F.col("confidence"))).alias("score"),
-            F.col("confidence").alias("last"), "system", "boundary", "entry",
-        ))
+        grown = now.join(e, "at").where("NOT array_contains(path, caller)").select(
+            "seed", "exact", F.concat("path", F.array("caller")).alias("path"), F.col("caller").alias("at"), (F.col("cost") + edge_cost(F.col("confidence"))).alias("cost"), (F.col("score") * decay(F.col("confidence"))).alias("score"),
+            F.col("confidence").alias("last"), (F.col("all_high") & (F.col("confidence") == "high")).alias("all_high"), "system", "boundary", "entry",
+        )
         further = grown.select("seed", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
-        ends = now.join(further, ["seed", "path"], "left_anti").select("seed", "path", "cost", "score", "last", F.lit("NO_CALLER").alias("stop"))
-        stop = F.when(F.col("entry"), "BUSINESS_ENTRY").otherwise(stop_reason(F.col("cost"), max_cost, F.col("score"), F.col("system"), F.col("boundary"), F.col("last")))
-        grown = pareto(grown.withColumn("stop", stop).drop("system", "boundary", "entry"), ["seed", "at"], "cost", "score", "path")
-        level = cut(grown)
-        ends = ends.unionByName(level.where("stop IS NOT NULL").drop("at"))
-        done = cut(ends if done is None else done.unionByName(ends))
-        now = level.where("stop IS NULL")
+        ends = now.join(further, ["seed", "path"], "left_anti").withColumn("stop", F.lit("NO_CALLER"))
+        f = frontier.select(F.col("seed").alias("_seed"), F.col("at").alias("_at"), F.col("cost").alias("_cost"), F.col("score").alias("_score"))
+        beaten = (F.col("seed") == F.col("_seed")) & (F.col("at") == F.col("_at")) & (F.col("_cost") <= F.col("cost")) & (F.col("_score") >= F.col("score"))
+        new = pareto(grown, ["seed", "at"], "cost", "score", "path").join(f, beaten, "left_anti")
+        stop = F.when(F.col("entry"), "BUSINESS_ENTRY").otherwise(stop_reason(F.col("cost"), limit, F.col("score"), F.col("system"), F.col("boundary"), F.col("last")))
+        level = cut(new.withColumn("stop", stop).drop("system", "boundary", "entry").unionByName(ends))
+        ended.append(level.where("stop IS NOT NULL"))
+        came = level.where("stop IS NULL OR stop != 'NO_CALLER'").select("seed", "at", "cost", "score")
+        wider = cut(frontier.unionByName(came))
+        forget(frontier)
+        frontier, now = wider, level.where("stop IS NULL")
         if now.isEmpty():
             break
-    out = done.unionByName(now.drop("at").withColumn("stop", F.lit("DEPTH_LIMIT_REACHED")))
-    return out.select("seed", "path", "cost", F.round("score", 6).alias("confidence"), "last", "stop")
+    ended.append(now.withColumn("stop", F.lit("DEPTH_LIMIT_REACHED")))
+    forget(frontier, e)
+    return reduce(DataFrame.unionByName, ended).select("seed", "path", "cost", F.round("score", 6).alias("confidence"), "last", "stop")
 
 
-def topological(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """``node, level`` by rounds: nodes that nothing before them holds back, then those that only they held back; null level on and behind a cycle.
+def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, level``: the length of the longest way to each node from those that nothing comes before; null level on and behind a cycle.
 
-    ``nodes`` has node, ``edges`` has before and after; edges to other nodes and repeated ones don't matter.
+    ``nodes`` has node, ``edges`` has before and after; edges to other nodes and repeated ones don't matter. A round takes out the nodes that nothing holds back any more,
+    whose levels become a least level of what follows, and all nodes that only one node holds back: their level is the greater of that least one and
+    the other's level plus a distance, and such rules are put together by doubling, so that a chain of any length takes rounds by its logarithm.
     """
-    rest = cut(nodes.select("node").distinct())
-    e = edges.select("before", "after").distinct()
-    e = cut(e.join(rest, F.col("before") == F.col("node"), "left_semi").join(rest, F.col("after") == F.col("node"), "left_semi"))
-    out = None
-    for level in range(rounds):
-        free = cut(rest.join(e, F.col("node") == F.col("after"), "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
+    size = nodes.schema["node"].dataType.simpleString()
+    left = cut(nodes.select("node").distinct().withColumn("base", F.lit(0).cast("bigint")))
+    e = edges.select("before", "after").distinct().withColumn("step", F.lit(1).cast("bigint"))
+    e = cut(e.join(left.select(F.col("node").alias("before")), "before", "left_semi").join(left.select(F.col("node").alias("after")), "after", "left_semi"))
+    known, folded = [], []
+    while True:
+        free = cut(left.join(e.select(F.col("after").alias("node")).distinct(), "node", "left_anti"))
+        some = not free.isEmpty()
+        if some:
+            known.append(free.select("node", F.col("base").alias("level")))
+            left, e = _without(left, e, free.select("node", F.col("base").alias("least"), F.lit(None).cast("bigint").alias("far"), F.lit(None).cast(size).alias("root")))
+        one = e.groupBy("after").agg(F.count("*").alias("n"), F.first("before").alias("root"), F.first("step").alias("far")).where("n = 1").select(F.col("after").alias("node"), "root", "far").join(left, "node")
+        rules = _composed(one.select("node", "root", F.col("base").alias("least"), "far"))
+        if rules.isEmpty():
+            if not some:
+                break
+            continue
+        folded.append(rules)
+        left, e = _without(left, e, rules)
+    forget(e)
+    out = reduce(DataFrame.unionByName, [*known, left.select("node", F.lit(None).cast("bigint").alias("level"))])
+    for rules in reversed(folded):
+        out = cut(out)
+        out = out.unionByName(rules.join(out.select(F.col("node").alias("root"), "level"), "root").select("node", F.when(F.col("level").isNotNull(), F.greatest("least", F.col("level") + F.col("far"))).alias("level")))
+    return out.select("node", F.col("level").cast("int").alias("level"))
+
+
+def _without(left: DataFrame, e: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left when nodes are taken out whose level is the greater of ``least`` and, where they have a ``root``, its level plus ``far``."""
+    met = e.join(gone.select(F.col("node").alias("before"), "root", "least", "far"), "before", "left").join(gone.select(F.col("node").alias("after")), "after", "left_anti")
+    met = cut(met.withColumn("least", F.col("least") + F.col("step")))
+    base = met.where("least IS NOT NULL").groupBy(F.col("after").alias("node")).agg(F.max("least").alias("least"))
+    nodes = cut(left.join(gone.select("node"), "node", "left_anti").join(base, "node", "left").select("node", F.greatest("base", "least").alias("base")))
+    stay = met.where("least IS NULL OR root IS NOT NULL").select(F.coalesce("root", "before").alias("before"), "after", (F.col("step") + F.coalesce("far", F.lit(0))).alias("step"))
+    new = cut(stay.groupBy("before", "after").agg(F.max("step").alias("step")))
+    forget(met, left, e)
+    return nodes, new
+
+
+def _composed(rules: DataFrame) -> DataFrame:
+    """Rules ``node, root, least, far`` put together until no root has a rule itself; those that go round a cycle are left out."""
+    named = cut(rules)
+    now = cut(named.join(named.select(F.col("node").alias("root"), F.lit(True).alias("open")), "root", "left").select("node", "root", "least", "far", F.coalesce("open", F.lit(False)).alias("open")))
+    forget(named)
+    still = now.where("open").count()
+    while still:
+        further = now.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("least").alias("_least"), F.col("far").alias("_far"), F.col("open").alias("_open"))
+        on = now.where("open").join(further, "root").select("node", F.col("_root").alias("root"), F.greatest(F.col("least"), F.col("_least") + F.col("far")).alias("least"), (F.col("far") + F.col("_far")).alias("far"), F.col("_open").alias("open"))
+        new = cut(now.where("NOT open").unionByName(on))
+        forget(now)
+        now, before, still = new, still, new.where("open").count()
+        if still == before:  # all others would have come closer to their roots
             break
-        out = free if out is None else out.unionByName(free)
-        rest = cut(rest.join(free, "node", "left_anti"))
-        e = cut(e.join(free, F.col("before") == F.col("node"), "left_anti"))
-    cyclic = rest.withColumn("level", F.lit(None).cast("int"))
-    return cyclic if out is None else out.unionByName(cyclic)
+    return now.where("NOT open").drop("open")
