@@ -100,12 +100,13 @@ public class p.A extends p.B {
 """
     got = textual.disassembled_calls(files(spark, a=text, b=""))
     assert rows(got.select("method", "kind", "owner", "member", "descriptor")) == sorted([
-        ("p.A", "method_invocation", "p.B", "<init>", "()V"), ("run", "method_invocation", "java.lang.String", "length", "()I"), ("run", "method_invocation", "p.A", "help", "(I)V"), ("run", "field_access", "p.A", "count", "I"), ("run", "type_reference", "p.C", None, None),
+        ("<init>", "constructor_invocation", "p.B", "<init>", "()V"), ("run", "method_invocation", "java.lang.String", "length", "()I"), ("run", "method_invocation", "p.A", "help", "(I)V"), ("run", "field_access", "p.A", "count", "I"), ("run", "type_reference", "p.C", None, None),
     ], key=repr)
     report = "***! MODIFIED CLASS: PUBLIC p.Duck  (not serializable)\n\t---! REMOVED METHOD: PUBLIC(-) void quack(int)\n\t+++  NEW FIELD: PUBLIC(+) int legs\n---! REMOVED CLASS: PUBLIC p.Owl\nnoise\n"
     got = textual.compared_members(files(spark, r=report))
     assert rows(got.where("kind <> 'class'").select("kind", "status", "incompatible", "declaration")) == [("field", "NEW", False, "PUBLIC(+) int legs"), ("method", "REMOVED", True, "PUBLIC(-) void quack(int)")]
     assert got.where("kind = 'class'").count() == 2
+    assert rows(got.select("owner", "kind")) == [("p.Duck", "class"), ("p.Duck", "field"), ("p.Duck", "method"), ("p.Owl", "class")]
 
 
 def test_stores(spark, tmp_path):
