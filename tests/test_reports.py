@@ -46,7 +46,7 @@ def test_gate_selection_and_rule_packs_fail_loudly(spark):
     with pytest.raises(ValueError, match="g:a"):
         reports.uniqueness_gate(df, ["coord"], "sha")
     assert reports.uniqueness_gate(df.where("sha = 'x'"), ["coord"], "sha").count() == 2
-    chosen, missed = rules.select_scope(df, "coord", "name", [" G:B "], ["none"])
+    chosen, missed = rules.select_scope(df, "coord", "name", [" G:B "], ["none"], strict=False)
     assert rows(chosen.select("coord")) == [("g:b",)] and rows(missed) == [("name", "none")]
     with pytest.raises(ValueError):
         rules.select_scope(df, "coord", "name", ["g:a"], [], full=True)

@@ -15,6 +15,8 @@ STATUS_ORDER = ("reachable", "uncertain", "not_analyzed", "not_impacted", "not_f
 SEVERITIES = ("P0", "P1", "P2", "P3")
 COVERAGE = ("complete", "partial", "failed")
 NOT_APPLICABLE = "not_applicable"
+# Stops at an entry of a framework or dependency, which only a semantic edge makes good.
+ENTRY_CLAIMS = ("RUNTIME_FRAMEWORK_ENTRY_REACHED", "RUNTIME_DEPENDENCY_ENTRY_REACHED")
 
 
 def order_of(value: Column, order: tuple[str, ...]) -> Column:
@@ -26,37 +28,44 @@ def order_of(value: Column, order: tuple[str, ...]) -> Column:
 def decide(paths: DataFrame, failures: DataFrame, concerns: DataFrame, coverage: DataFrame, preserved: DataFrame, targets: DataFrame) -> DataFrame:
     """``target, status, reason, direct_callers, business_reach_depth`` of every target.
 
-    ``paths``: target, path_seq, scope (business, internal, external), depth, complete, ambiguous, truncated, activated (true unless a semantic edge is unproven),
-    semantic, reason (null if none), stop_reason; ``failures``: target, stage, reason, blocking; ``concerns``: target, rank, reason; ``coverage``: target, status;
-    ``preserved``: target. The first that holds decides: invalid input, preservation, a sound business path, a blocking failure without an independent
+    ``paths``: target, path_seq, scope (business, internal, external or another word), depth, complete, ambiguous, truncated, activated (true unless a semantic edge is unproven),
+    semantic (a semantic edge is in it), reason (null if none), stop_reason; ``failures``: target, stage, reason, blocking; ``concerns``: target, rank, reason; ``coverage``: target, status;
+    ``preserved``: target and, if it has one, reason. The first that holds decides: invalid input, preservation, a sound business path, a blocking failure without an independent
     semantic business path, a concern, an unactivated, an ambiguous, a truncated path, a path inside dependencies, a blocking failure, a complete scan.
+    A path that claims to reach a framework's entry without a semantic edge is unactivated too. A path's own reason, of the first that has one, goes before the usual one.
     Coverage that isn't complete on all applicable parts is a blocking failure of its own if nothing else is known of the target.
     """
     first = lambda cond, v: F.min_by(F.when(cond, F.col(v)), F.when(cond, F.col("path_seq")))
+    claim = F.coalesce(F.col("stop_reason").isin(*ENTRY_CLAIMS), F.lit(False))
+    paths = paths.withColumn("activated", F.col("activated") & (F.col("semantic") | ~claim))
     business = (F.col("scope") == "business") & ~F.col("ambiguous") & ~F.col("truncated")
     sound = business & F.col("complete") & F.col("activated")
+    physical = F.col("scope").isin("internal", "external")
     depth = F.greatest("depth", F.lit(1))
+    named = F.coalesce(F.col("reason"), F.lit("")) != ""
     p = paths.groupBy("target").agg(
-        F.count("*").alias("n_paths"), F.count_if(business & (depth == 1)).alias("direct_callers"), F.min(F.when(business, depth)).alias("reach"), F.bool_or(sound).alias("sound"), first(sound & F.col("reason").isNotNull(), "reason").alias("sound_reason"),
-        F.bool_or(business & F.col("complete") & F.col("semantic")).alias("independent"), F.bool_or(~F.col("activated")).alias("unactivated"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("truncated").alias("truncated"),
-        first(F.col("truncated"), "stop_reason").alias("stop_reason"), F.bool_or(F.col("scope") != "business").alias("physical"),
+        F.count("*").alias("n_paths"), F.count_if(business & (depth == 1)).alias("direct_callers"), F.min(F.when(business, depth)).alias("reach"), F.bool_or(sound).alias("sound"), first(sound & named, "reason").alias("sound_reason"),
+        F.bool_or(sound & (F.col("stop_reason") == ENTRY_CLAIMS[0])).alias("entry"), F.bool_or(business & F.col("complete") & F.col("semantic")).alias("independent"), F.bool_or(~F.col("activated")).alias("unactivated"),
+        F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("truncated").alias("truncated"), first(F.col("truncated"), "stop_reason").alias("stop_reason"), F.bool_or(physical).alias("physical"), first(physical & named, "reason").alias("physical_reason"),
     )
     stage = F.when(F.col("stage") == "input-validation", 0).when(F.col("stage") == "coverage", 2).otherwise(1)
     f = failures.where("blocking").groupBy("target").agg(F.min(F.struct(stage.alias("bucket"), "stage", "reason")).alias("failure"))
     c = concerns.groupBy("target").agg(F.min(F.struct("rank", "reason")).alias("concern"))
     applicable = F.col("status") != NOT_APPLICABLE
     v = coverage.groupBy("target").agg(F.count_if(applicable).alias("applicable"), F.count_if(applicable & (F.col("status") != "complete")).alias("open"))
-    all_of = reduce(lambda a, b: a.join(b, "target", "left"), [p, f, c, v, preserved.select("target").distinct().withColumn("kept", F.lit(True))], targets.select("target").distinct())
+    k = preserved.groupBy("target").agg(F.lit(True).alias("kept"), (F.min("reason") if "reason" in preserved.columns else F.lit(None).cast("string")).alias("kept_reason"))
+    all_of = reduce(lambda a, b: a.join(b, "target", "left"), [p, f, c, v, k], targets.select("target").distinct())
     yes = lambda x: F.coalesce(F.col(x), F.lit(False))
     gap = (F.coalesce("open", F.lit(0)) > 0) & F.col("n_paths").isNull() & F.col("concern").isNull() & ~yes("kept")
     # The coverage failure is last among the blocking ones.
     blocked, blocking_reason = F.col("failure").isNotNull() | gap, F.coalesce("failure.reason", F.lit("INCOMPLETE_EVIDENCE_COVERAGE"))
     complete = (F.coalesce("applicable", F.lit(0)) > 0) & (F.col("open") == 0)
+    usual = F.when(yes("entry"), ENTRY_CLAIMS[0]).otherwise("BUSINESS_ARTIFACT_BYTECODE_USAGE")
     rules = [
-        (F.coalesce(F.col("failure.bucket") == 0, F.lit(False)), "not_analyzed", F.col("failure.reason")), (yes("kept"), "not_impacted", F.lit("PRESERVED")),
-        (yes("sound"), "reachable", F.coalesce("sound_reason", F.lit("BUSINESS_PATH"))), (blocked & ~yes("independent"), "not_analyzed", blocking_reason),
+        (F.coalesce(F.col("failure.bucket") == 0, F.lit(False)), "not_analyzed", F.col("failure.reason")), (yes("kept"), "not_impacted", F.coalesce("kept_reason", F.lit("API_PRESERVED"))),
+        (yes("sound"), "reachable", F.coalesce("sound_reason", usual)), (blocked & ~yes("independent"), "not_analyzed", blocking_reason),
         (F.col("concern").isNotNull(), "uncertain", F.col("concern.reason")), (yes("unactivated"), "uncertain", F.lit("FRAMEWORK_ACTIVATION_UNPROVEN")), (yes("ambiguous"), "uncertain", F.lit("UNQUALIFIED_SIGNATURE_TYPE_AMBIGUOUS")),
-        (yes("truncated"), "not_analyzed", F.coalesce("stop_reason", F.lit("TRUNCATED"))), (yes("physical"), "uncertain", F.lit("PACKAGED_DEPENDENCY_BYTECODE_USAGE")), (blocked, "not_analyzed", blocking_reason),
+        (yes("truncated"), "not_analyzed", F.coalesce(F.nullif("stop_reason", F.lit("")), F.lit("EVIDENCE_PATH_TRUNCATED"))), (yes("physical"), "uncertain", F.coalesce("physical_reason", F.lit("PACKAGED_DEPENDENCY_BYTECODE_USAGE"))), (blocked, "not_analyzed", blocking_reason),
         (complete, "not_found_in_static_analysis", F.lit("NO_STATIC_PATH")),
     ]
     status = reduce(lambda a, r: a.when(r[0], r[1]), rules[1:], F.when(rules[0][0], rules[0][1])).otherwise("not_analyzed")

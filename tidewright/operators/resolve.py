@@ -151,9 +151,13 @@ def runtime_catalog(manifest: DataFrame, inventory: DataFrame) -> tuple[DataFram
 
 
 def source_alignment(sources: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``coord, alignment`` of dependency sources: aligned, version_differs, content_differs or not_packaged. ``sources``: coord, version, sha256; ``catalog`` likewise."""
-    c = catalog.select("coord", F.col("version").alias("_v"), F.col("sha256").alias("_s"))
-    state = F.when(F.col("_v").isNull(), "not_packaged").when(F.col("version") != F.col("_v"), "version_differs").when(F.col("sha256").eqNullSafe(F.col("_s")), "aligned").otherwise("content_differs")
+    """``coord, alignment`` of dependency sources: aligned, version_differs, content_differs, not_packaged, or ambiguous where the catalog has a coordinate with several versions or contents.
+
+    ``sources``: coord, version, sha256; ``catalog`` likewise. The catalog is folded first, so each source has one answer; a source that comes twice with different facts has one for each.
+    """
+    one = F.struct(F.col("version"), F.col("sha256"))
+    c = catalog.groupBy("coord").agg(F.min(one).alias("_c"), (F.min(one) != F.max(one)).alias("_many"))
+    state = F.when(F.col("_c").isNull(), "not_packaged").when(F.col("_many"), "ambiguous").when(F.col("version") != F.col("_c.version"), "version_differs").when(F.col("sha256").eqNullSafe(F.col("_c.sha256")), "aligned").otherwise("content_differs")
     return sources.join(c, "coord", "left").select("coord", state.alias("alignment"))
 
 

@@ -89,10 +89,10 @@ def in_scope(scope: Column, tests: bool = False) -> Column:
     return F.lit(True) if tests else F.lower(_text(scope)) != "test"
 
 
-def select_scope(rows: DataFrame, coord: str, name: str, coords: list[str], names: list[str], full: bool = False) -> tuple[DataFrame, DataFrame]:
+def select_scope(rows: DataFrame, coord: str, name: str, coords: list[str], names: list[str], full: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows that selectors choose, by coordinate or name without regard to case, and the selectors that choose none (``kind, selector``).
 
-    ``full`` takes all rows and can't be combined with selectors.
+    ``full`` takes all rows and can't be combined with selectors. A selector that chooses none is an error, unless ``strict`` is off.
     """
     if full == bool(coords or names):
         raise ValueError("either all rows or some selectors must be asked for, not both")
@@ -106,7 +106,10 @@ def select_scope(rows: DataFrame, coord: str, name: str, coords: list[str], name
     met = lambda: (F.col("kind") == "coord") & (F.col("selector") == has[0]) | (F.col("kind") == "name") & (F.col("selector") == has[1])
     keys = rows.select(has[0].alias("c"), has[1].alias("n")).distinct()
     used = F.broadcast(wanted).join(keys, ((F.col("kind") == "coord") & (F.col("selector") == F.col("c"))) | ((F.col("kind") == "name") & (F.col("selector") == F.col("n")))).select("kind", "selector").distinct()
-    return rows.join(hit, met(), "left_semi"), wanted.join(used, ["kind", "selector"], "left_anti")
+    unused = wanted.join(used, ["kind", "selector"], "left_anti")
+    if strict and (none := [f"{r.kind} {r.selector}" for r in unused.orderBy("kind", "selector").collect()]):  # as many as were typed in
+        raise ValueError(f"nothing is selected by: {', '.join(none)}")
+    return rows.join(hit, met(), "left_semi"), unused
 
 
 def high_risk(severity: Column, change: Column) -> Column:

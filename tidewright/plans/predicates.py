@@ -44,7 +44,7 @@ def scope_filter(spark, d):
 
 
 def scope_selection(spark, d):
-    chosen, missed = rules.select_scope(table(spark, d, "part"), "p_brand", "p_type", ["brand#11", "Brand#99"], ["promo ", "nothing"])
+    chosen, missed = rules.select_scope(table(spark, d, "part"), "p_brand", "p_type", ["brand#11", "Brand#99"], ["promo ", "nothing"], strict=False)
     chosen = chosen.select(F.col("p_partkey").cast("string").alias("found"), F.lit("selected").alias("kind"))
     return chosen.unionByName(missed.select(F.col("selector").alias("found"), F.lit("unmatched").alias("kind")))
 

@@ -21,7 +21,8 @@ def five_state_reason(spark, d):
     paths = l.where("l_linenumber <= 3 AND l_quantity > 12").select(
         "target", F.col("seq").alias("path_seq"), F.when(F.col("l_suppkey") % 3 == 0, "business").when(F.col("l_suppkey") % 3 == 1, "internal").otherwise("external").alias("scope"), (F.col("l_partkey") % 3).alias("depth"),
         (F.col("l_tax") > 0.01).alias("complete"), (F.col("l_discount") > 0.07).alias("ambiguous"), (F.col("l_linestatus") == "O").alias("truncated"), (F.col("l_returnflag") != "R").alias("activated"), (F.col("l_partkey") % 2 == 0).alias("semantic"),
-        F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("R"), (F.col("l_partkey") % 4).cast("string"))).alias("reason"), F.concat(F.lit("STOP"), F.col("seq").cast("string")).alias("stop_reason"),
+        F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("R"), (F.col("l_partkey") % 4).cast("string"))).alias("reason"), 
+        F.when(F.col("l_suppkey") % 7 < 2, F.element_at(F.array(*map(F.lit, reports.ENTRY_CLAIMS)), (F.col("l_suppkey") % 7 + 1).cast("int"))).when(F.col("l_suppkey") % 7 < 6, F.concat(F.lit("STOP"), F.col("seq").cast("string"))).alias("stop_reason"),
     )
     failures = l.where("l_linenumber = 4").select("target", F.when(F.col("l_quantity") < 5, "input-validation").when(F.col("l_quantity") < 20, "coverage").otherwise("scan").alias("stage"), F.concat(F.lit("F"), (F.col("l_suppkey") % 5).cast("string")).alias("reason"), (F.col("l_quantity") < 30).alias("blocking"))
     concerns = l.where("l_linenumber = 5 AND l_quantity > 25").select("target", (F.col("l_partkey") % 7).alias("rank"), F.concat(F.lit("C"), (F.col("l_suppkey") % 3).cast("string")).alias("reason"))
@@ -162,18 +163,18 @@ QUERIES = {f.__name__: f for f in (five_state_reason, trace_policy, scope_chains
 _STATE = "CASE l_partkey % 5 WHEN 0 THEN 'reachable' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'not_analyzed' WHEN 3 THEN 'not_impacted' ELSE 'not_found_in_static_analysis' END"
 SQL = {
     "five_state_reason": f"""
-        WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE)}) seq FROM lineitem), p AS (SELECT l_orderkey t, seq, l_suppkey % 3 = 0 biz, greatest(l_partkey % 3, 1) depth, l_tax > 0.01 complete, l_discount > 0.07 amb, l_linestatus = 'O' trunc, l_returnflag <> 'R' act, l_partkey % 2 = 0 sem,
+        WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE)}) seq FROM lineitem), p AS (SELECT l_orderkey t, seq, l_suppkey % 3 = 0 biz, greatest(l_partkey % 3, 1) depth, l_tax > 0.01 complete, l_discount > 0.07 amb, l_linestatus = 'O' trunc, l_returnflag <> 'R' AND (l_partkey % 2 = 0 OR l_suppkey % 7 > 1) act, l_partkey % 2 = 0 sem, CASE l_suppkey % 7 WHEN 0 THEN 'RUNTIME_FRAMEWORK_ENTRY_REACHED' WHEN 1 THEN 'RUNTIME_DEPENDENCY_ENTRY_REACHED' WHEN 6 THEN 'EVIDENCE_PATH_TRUNCATED' ELSE 'STOP' || seq END st,
           CASE WHEN l_partkey % 4 <> 0 THEN 'R' || (l_partkey % 4) END reason FROM n WHERE l_linenumber <= 3 AND l_quantity > 12),
         q AS (SELECT t, count(*) FILTER (WHERE biz AND NOT amb AND NOT trunc AND depth = 1) dc, min(depth) FILTER (WHERE biz AND NOT amb AND NOT trunc) reach, bool_or(biz AND NOT amb AND NOT trunc AND complete AND act) sound,
-          min_by(reason, seq) FILTER (WHERE biz AND NOT amb AND NOT trunc AND complete AND act AND reason IS NOT NULL) sr, bool_or(biz AND NOT amb AND NOT trunc AND complete AND sem) indep, bool_or(NOT act) unact, bool_or(amb) amb, bool_or(trunc) trunc, min(seq) FILTER (WHERE trunc) stop, bool_or(NOT biz) phys FROM p GROUP BY 1),
+          min_by(reason, seq) FILTER (WHERE biz AND NOT amb AND NOT trunc AND complete AND act AND reason IS NOT NULL) sr, bool_or(biz AND NOT amb AND NOT trunc AND complete AND sem) indep, bool_or(NOT act) unact, bool_or(amb) amb, bool_or(trunc) trunc, min_by(st, seq) FILTER (WHERE trunc) stop, bool_or(NOT biz) phys, min_by(reason, seq) FILTER (WHERE NOT biz AND reason IS NOT NULL) pr, bool_or(biz AND NOT amb AND NOT trunc AND complete AND act AND st = 'RUNTIME_FRAMEWORK_ENTRY_REACHED') fw FROM p GROUP BY 1),
         f AS (SELECT l_orderkey t, min(struct_pack(b := CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity < 20 THEN 2 ELSE 1 END, s := CASE WHEN l_quantity < 5 THEN 'input-validation' WHEN l_quantity < 20 THEN 'coverage' ELSE 'scan' END, r := 'F' || (l_suppkey % 5))) f FROM lineitem WHERE l_linenumber = 4 AND l_quantity < 30 GROUP BY 1),
         c AS (SELECT l_orderkey t, min(struct_pack(k := l_partkey % 7, r := 'C' || (l_suppkey % 3))) c FROM lineitem WHERE l_linenumber = 5 AND l_quantity > 25 GROUP BY 1),
         v AS (SELECT l_orderkey t, count(*) FILTER (WHERE NOT (l_discount >= 0.02 AND l_discount < 0.04)) app, count(*) FILTER (WHERE l_discount < 0.02) op FROM lineitem WHERE l_linenumber <> 6 GROUP BY 1),
         k AS (SELECT DISTINCT l_orderkey t FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 30),
         a AS (SELECT u.t, q.* EXCLUDE (t), f.f, c.c, coalesce(app, 0) app, coalesce(op, 0) op, k.t IS NOT NULL kept FROM (SELECT DISTINCT l_orderkey t FROM lineitem) u LEFT JOIN q ON q.t = u.t LEFT JOIN f ON f.t = u.t LEFT JOIN c ON c.t = u.t LEFT JOIN v ON v.t = u.t LEFT JOIN k ON k.t = u.t),
         b AS (SELECT *, f IS NOT NULL OR (op > 0 AND dc IS NULL AND c IS NULL AND NOT kept) blocked, coalesce(f.r, 'INCOMPLETE_EVIDENCE_COVERAGE') br FROM a),
-        r AS (SELECT t, dc, reach, CASE WHEN f.b = 0 THEN 'not_analyzed|' || f.r WHEN kept THEN 'not_impacted|PRESERVED' WHEN sound THEN 'reachable|' || coalesce(sr, 'BUSINESS_PATH') WHEN blocked AND NOT coalesce(indep, false) THEN 'not_analyzed|' || br WHEN c IS NOT NULL THEN 'uncertain|' || c.r
-          WHEN unact THEN 'uncertain|FRAMEWORK_ACTIVATION_UNPROVEN' WHEN amb THEN 'uncertain|UNQUALIFIED_SIGNATURE_TYPE_AMBIGUOUS' WHEN trunc THEN 'not_analyzed|STOP' || stop WHEN phys THEN 'uncertain|PACKAGED_DEPENDENCY_BYTECODE_USAGE' WHEN blocked THEN 'not_analyzed|' || br
+        r AS (SELECT t, dc, reach, CASE WHEN f.b = 0 THEN 'not_analyzed|' || f.r WHEN kept THEN 'not_impacted|API_PRESERVED' WHEN sound THEN 'reachable|' || coalesce(sr, CASE WHEN fw THEN 'RUNTIME_FRAMEWORK_ENTRY_REACHED' ELSE 'BUSINESS_ARTIFACT_BYTECODE_USAGE' END) WHEN blocked AND NOT coalesce(indep, false) THEN 'not_analyzed|' || br WHEN c IS NOT NULL THEN 'uncertain|' || c.r
+          WHEN unact THEN 'uncertain|FRAMEWORK_ACTIVATION_UNPROVEN' WHEN amb THEN 'uncertain|UNQUALIFIED_SIGNATURE_TYPE_AMBIGUOUS' WHEN trunc THEN 'not_analyzed|' || stop WHEN phys THEN 'uncertain|' || coalesce(pr, 'PACKAGED_DEPENDENCY_BYTECODE_USAGE') WHEN blocked THEN 'not_analyzed|' || br
           WHEN app > 0 AND op = 0 THEN 'not_found_in_static_analysis|NO_STATIC_PATH' ELSE 'not_analyzed|INCOMPLETE_EVIDENCE' END x FROM b)
         SELECT t AS target, string_split(x, '|')[1] AS status, string_split(x, '|')[2] AS reason, coalesce(dc, 0) AS direct_callers, CAST(coalesce(reach, 0) AS BIGINT) AS business_reach_depth FROM r""",
     "scope_chains": """
