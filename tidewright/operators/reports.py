@@ -199,75 +199,108 @@ def _compatible(a: tuple, b: tuple) -> bool:
     return len(a) == len(b) and all(not x or not y or x == y for x, y in zip(a, b))
 
 
-def count_variants(variants: list[tuple], exact: int = 32) -> int:
-    """The least number of groups of mutually compatible signatures (tuples; '' is unknown): a colouring of the conflicts.
+def count_variants(variants: list[tuple]) -> int:
+    """The least number of groups of mutually compatible signatures (tuples; '' is unknown); see colouring."""
+    return colouring(variants)[0]
 
-    Parts that don't conflict are coloured apart. A part of up to ``exact`` variants is solved by branch and bound, a larger one by the
-    greedy bound, which may be too high.
+
+def colouring(variants: list[tuple], steps: int = 500_000) -> tuple[int, bool]:
+    """The least number of groups of mutually compatible signatures, a colouring of their conflicts, and whether it is proved to be the least.
+
+    Signatures that conflict with no more than another one they agree with take its group, and those with fewer conflicts than a set of mutual conflicts has members always
+    find one: both are left out, again and again. What remains is solved part by part by branch and bound; only if that takes more than ``steps``
+    steps is the best number found so far given, unproved.
     """
     nodes = sorted(set(variants))
-    clash = {i: {j for j, b in enumerate(nodes) if j != i and not _compatible(a, b)} for i, a in enumerate(nodes)}
-
-    def greedy(part: list[int]) -> int:
-        colour: dict[int, int] = {}
-        while len(colour) < len(part):
-            k = max((i for i in part if i not in colour), key=lambda i: (len({colour[j] for j in clash[i] if j in colour}), len(clash[i]), -i))
-            colour[k] = min(set(range(len(part))) - {colour[j] for j in clash[k] if j in colour})
-        return max(colour.values()) + 1
-
-    def best(part: list[int]) -> int:
-        bound = greedy(part)
-        if len(part) > exact:
-            return bound
-        order = sorted(part, key=lambda i: -len(clash[i]))
-
-        def search(k: int, groups: list[list[int]]) -> None:
-            nonlocal bound
-            if len(groups) >= bound:
-                return
-            if k == len(order):
-                bound = len(groups)
-                return
-            for g in groups:
-                if not clash[order[k]] & set(g):
-                    g.append(order[k])
-                    search(k + 1, groups)
-                    g.pop()
-            search(k + 1, [*groups, [order[k]]])
-
-        search(0, [])
-        return bound
-
-    # Conflict components need the colours of the largest one only, since colours are shared.
-    left, most = set(clash), 0
-    while left:
-        part, queue = set(), [min(left)]
-        while queue:
-            i = queue.pop()
-            if i not in part:
-                part.add(i)
-                queue += clash[i] - part
-        left -= part
-        most = max(most, best(sorted(part)))
-    return most
-
-
-def logical_paths(paths: DataFrame, key: str, skeleton: str, signatures: str) -> DataFrame:
+    masks = [sum(1 << j for j, b in enumerate(nodes) if j != i and not _compatible(a, b)) for i, a in enumerate(nodes)]
+    bits = lambda m: [k for k in range(m.bit_length()) if m >> k & 1]
+
+    def clique(alive: int) -> int:
+        most = 0
+        for start in sorted(bits(alive), key=lambda k: -(masks[k] & alive).bit_count())[:20]:
+            size, room = 1, masks[start] & alive
+            while room:
+                k = max(bits(room), key=lambda k: (masks[k] & room).bit_count())
+                size, room = size + 1, room & masks[k]
+            most = max(most, size)
+        return most
+
+    alive, least = (1 << len(nodes)) - 1, 0
+    while True:
+        least = max(least, clique(alive)) if alive else least
+        before = alive
+        for i in bits(alive):
+            own = masks[i] & alive
+            # The group of a signature with all its conflicts and more has room for it.
+            others = alive & ~own & ~(1 << i)
+            if own.bit_count() < least or any(own & ~masks[j] == 0 for j in bits(others)):
+                alive &= ~(1 << i)
+        if alive == before:
+            break
+    most, proved, left = max(least, 1 if nodes else 0), True, steps
+    while alive:
+        part = new = alive & -alive
+        while new:
+            near = 0
+            for k in bits(new):
+                near |= masks[k] & alive
+            new, part = near & ~part, part | near
+        alive &= ~part
+        count, sure, left = _least_colours(bits(part), masks, part, most, left)
+        if count > most:
+            most, proved = count, sure
+        elif not sure and count == most:
+            proved = proved and most <= least
+    return most, proved
+
+
+def _least_colours(part: list[int], masks: list[int], alive: int, enough: int, steps: int) -> tuple[int, bool, int]:
+    """The least number of colours of a part, or ``enough`` if it needs no more; whether that is proved; steps left."""
+    def order(coloured: int, groups: list[int]) -> int:
+        open_ = [k for k in part if not coloured >> k & 1]
+        return max(open_, key=lambda k: (sum(1 for g in groups if masks[k] & g), (masks[k] & alive).bit_count(), -k))
+
+    best = len(part) + 1
+    stack: list[tuple[int, list[int]]] = [(0, [])]
+    first = True
+    while stack and best > enough:
+        coloured, groups = stack.pop()
+        if len(groups) >= best:
+            continue
+        if coloured == alive:
+            best = len(groups)
+            first = False
+            continue
+        steps -= not first  # the first descent always comes to a colouring
+        if steps < 0:
+            return best, False, 0
+        k = order(coloured, groups)
+        free = [g for g in range(len(groups)) if not masks[k] & groups[g]]
+        if len(groups) + 1 < best:
+            stack.append((coloured | 1 << k, [*groups, 1 << k]))
+        for g in reversed(free):
+            stack.append((coloured | 1 << k, [*groups[:g], groups[g] | 1 << k, *groups[g + 1 :]]))
+    return max(best, enough), True, steps
+
+
+def logical_paths(paths: DataFrame, key: str, skeleton: str, signatures: str, proved: str | None = None) -> DataFrame:
     """``key, paths``: how many paths a target has when paths of one skeleton whose signatures (array, '' unknown) may agree count as one.
 
-    Where all signatures of a skeleton are known, distinct ones are counted in the JVM; only skeletons with unknown ones go to Python, a skeleton's distinct variants at a time.
+    ``proved`` names a column that says whether the number is certain; it is unless a skeleton's conflicts are too many and too tangled (see colouring). Where all signatures of a skeleton are known, distinct ones are counted in the JVM; only skeletons with unknown ones go to Python, a skeleton's distinct variants at a time.
     """
     ship(paths.sparkSession)
     d = paths.select(key, skeleton, signatures).distinct()
     marked = d.groupBy(key, skeleton).agg(F.count("*").alias("n"), F.bool_or(F.exists(signatures, lambda x: x == "")).alias("open"))
-    known = marked.where("NOT open OR n = 1").select(key, F.col("n").cast("bigint").alias("n"))
+    known = marked.where("NOT open OR n = 1").select(key, F.col("n").cast("bigint").alias("n"), F.lit(True).alias("_sure"))
 
     def count(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"_key": [name[0]], "n": [count_variants([tuple(x) for x in pdf[signatures]])]})
+        n, sure = colouring([tuple(x) for x in pdf[signatures]])
+        return pd.DataFrame({"_key": [name[0]], "n": [n], "_sure": [sure]})
 
     kind = paths.schema[key].dataType.simpleString()
-    open_ = d.join(marked.where("open AND n > 1").select(key, skeleton), [key, skeleton], "left_semi").groupBy(key, skeleton).applyInPandas(count, f"_key {kind}, n bigint").withColumnRenamed("_key", key)
-    return known.unionByName(open_).groupBy(key).agg(F.sum("n").alias("paths"))
+    open_ = d.join(marked.where("open AND n > 1").select(key, skeleton), [key, skeleton], "left_semi").groupBy(key, skeleton).applyInPandas(count, f"_key {kind}, n bigint, _sure boolean").withColumnRenamed("_key", key)
+    sure = [F.bool_and("_sure").alias(proved)] if proved else []
+    return known.unionByName(open_).groupBy(key).agg(F.sum("n").alias("paths"), *sure)
 
 
 def merged_chains(chains: DataFrame, key: str, skeleton: str, signatures: str, seq: str) -> DataFrame:
