@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 STATES = ("reachable", "uncertain", "not_analyzed", "not_found_in_static_analysis", "not_impacted")
 
@@ -37,3 +37,41 @@ def worst(status: Column, order: list[str]) -> Column:
     """The aggregate of a group: its last status by ``order``."""
     rank = F.array_position(F.array(*map(F.lit, order)), status)
     return F.element_at(F.array(*map(F.lit, order)), F.max(rank).cast("int"))
+
+
+def frozen(text: Column) -> Column:
+    """Nested evidence (JSON text) as a variant, null where it isn't JSON: keys have no order there, lists do."""
+    return F.try_parse_json(text)
+
+
+def canonical(value: Column) -> Column:
+    """The one text of a variant: keys sorted, numbers as short as they can be; equal texts are equal evidence."""
+    return F.to_json(value)
+
+
+def evidence_id(value: Column) -> Column:
+    """A digest that depends on what a variant holds, not on the order of its keys."""
+    return F.sha2(canonical(value).cast("binary"), 256)
+
+
+def thawed(value: Column, schema: str) -> Column:
+    """A variant as a plain value of a schema, null where it doesn't fit."""
+    return F.from_json(canonical(value), schema)
+
+
+def as_sets(text: Column, schema: str, sets: list[str]) -> Column:
+    """Evidence whose named top-level lists have no order: they are sorted, and repeated entries given once, before it is frozen."""
+    plain = F.from_json(text, schema)
+    for name in sets:
+        plain = plain.withField(name, F.array_sort(F.array_distinct(plain[name])))
+    return F.parse_json(F.to_json(plain))
+
+
+def differences(rows: DataFrame, one: str, other: str, keys: list[str]) -> DataFrame:
+    """``keys, field, one, other`` (texts) of the top-level fields in which two variants of a row differ; a field that one lacks is null there."""
+    def fields(side: str) -> DataFrame:
+        each = rows.select(*keys, F.explode(F.map_entries(F.from_json(canonical(F.col(side)), "map<string, variant>"))).alias("e"))
+        return each.select(*keys, F.col("e.key").alias("field"), F.to_json("e.value").alias(side))
+
+    both = fields(one).join(fields(other), [*keys, "field"], "full")
+    return both.where(~F.col(one).eqNullSafe(F.col(other)))
