@@ -15,9 +15,12 @@ REASON_ALIASES = {"UNRESOLVED_DEPENDENCY_COORDINATES_AFTER_ENRICHMENT": "DEPENDE
 
 
 def normal_version(version: Column) -> Column:
-    """A version without leading v, build metadata after '+', plain endings and loose separators; null as ''."""
-    core = F.regexp_replace(F.trim(F.coalesce(version, F.lit(""))), r"^[vV]+|\+.*$", "")
-    return F.regexp_replace(F.regexp_replace(core, rf"(?i)[.\-_]?({'|'.join(PLAIN_ENDINGS)})$", ""), r"^[._\-]+|[._\-]+$", "")
+    """A version without leading v, build metadata after '+', one plain ending and loose separators; null as ''."""
+    core = F.ltrim(F.substring_index(F.trim(F.coalesce(version, F.lit(""))), "+", 1), F.lit("vV"))
+    over = F.lit(0)
+    for word in PLAIN_ENDINGS:
+        over = F.when(F.endswith(F.lower(core), F.lit(word)), len(word)).otherwise(over)
+    return F.btrim(F.left(core, F.length(core) - over), F.lit("._-"))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -123,12 +126,26 @@ def path_id(*nodes: Column) -> Column:
 
 
 def canonical_reason(value: Column, default: str = "UNKNOWN") -> Column:
-    """A reason in capitals with underscores between its words, camel case split; blank ones are ``default``, old names the present ones."""
-    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
-    words = F.upper(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
+    """A reason in capitals with underscores between its words, camel case split; blank ones are ``default``, old names the present ones.
+
+    A fold over the characters that knows how many capitals came last: a capital after a small letter or digit begins a word, and so does the last of several
+    capitals once a small letter follows it.
+    """
+    state = F.struct(F.lit("").alias("said"), F.lit(0).alias("capitals"), F.lit(False).alias("low"))
+
+    def step(s: Column, c: Column) -> Column:
+        said, many = s["said"], s["capitals"]
+        capital, small, digit = c.between("A", "Z"), c.between("a", "z"), c.between("0", "9")
+        grown = (
+            F.when(capital & s["low"], F.concat(said, F.lit("_"), c)).when(small & (many > 1), F.concat(F.left(said, F.length(said) - 1), F.lit("_"), F.right(said, F.lit(1)), c))
+            .when(capital | small | digit, F.concat(said, c)).when((said == "") | F.endswith(said, F.lit("_")), said).otherwise(F.concat(said, F.lit("_")))
+        )
+        return F.struct(grown.alias("said"), F.when(capital, many + 1).otherwise(0).alias("capitals"), (small | digit).alias("low"))
+
+    letters = F.filter(F.split(F.coalesce(value, F.lit("")), ""), lambda c: c != "")
+    words = F.upper(F.btrim(F.aggregate(letters, state, step)["said"], F.lit("_")))
     known = F.create_map(*[F.lit(x) for pair in REASON_ALIASES.items() for x in pair])
-    name = F.when(words == "", default).otherwise(words)
-    return F.coalesce(F.try_element_at(known, name), name)
+    return let(F.when(words == "", default).otherwise(words), lambda name: F.coalesce(F.try_element_at(known, name), name))
 
 
 def safe_name(text: Column, longest: int = 120) -> Column:

@@ -171,6 +171,12 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def ordered_distinct(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Each combination of ``keys`` (nulls are equal) once, with the ``seq`` of its first row and its ``place`` among the others in the order of those, from 1."""
+    first = rows.groupBy(*keys).agg(F.min(seq).alias(seq))
+    return global_rank(first, [F.col(seq), *[F.col(k) for k in keys]], "place")
+
+
 def first_rule(rows: DataFrame, rules: list[tuple[str, Column]], otherwise: str = "none") -> Column:
     """The name of the first rule that holds."""
     return reduce(lambda c, r: c.when(r[1], r[0]), rules[1:], F.when(rules[0][1], rules[0][0])).otherwise(otherwise)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dependencies, graphs, ledger, predicates, reporting, resolution, scans
+from . import dependencies, flows, graphs, ledger, predicates, reporting, resolution, scans
 
-_MODULES = (dependencies, graphs, ledger, predicates, reporting, resolution, scans)
+_MODULES = (dependencies, flows, graphs, ledger, predicates, reporting, resolution, scans)
 
 
 def queries() -> dict:
