@@ -20,6 +20,8 @@ from .common import as_scan, bounded, drop_rows, exists, located, release, remov
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Micro-batches in which a table's digests arrive: those of later ones meet the state that earlier ones left.
 BATCHES = 2
+#: Rows of a group whose texts are compared in one task; a larger group is dealt out in chunks, each with the kept text.
+CHUNK_ROWS = 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -97,12 +99,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = bounded(stage(groups.where("size > 1"), "dedup-repeated"))
 
     # Hits: read the texts of all rows in groups of two or more by their locators and compare bytes.
-    members = stage(digests.join(repeated.select("digest"), "digest").select("file", "row", "digest"), "dedup-members")
+    chunks = F.ceil(F.col("size") / CHUNK_ROWS)
+    chunk = F.pmod(F.xxhash64("file", "row"), chunks)
+    members = stage(digests.join(repeated.select("digest", "size"), "digest").select("file", "row", "digest", chunk.alias("chunk")), "dedup-members")
     texts = rows.select("file", "row", "doc_id", norm.alias("text")).join(bounded(members), ["file", "row"])
-    texts = stage(texts.select("digest", "doc_id", "file", "row", "text"), "dedup-texts")
-    keepers = repeated.select("digest", F.col("top.file").alias("file"), F.col("top.row").alias("row"))
-    kept_text = texts.join(keepers, ["digest", "file", "row"]).select("digest", F.col("text").alias("kept_text"))
-    differs = stage(texts.join(kept_text, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "dedup-differs")
+    texts = stage(texts.select("digest", "chunk", "doc_id", "file", "row", "text"), "dedup-texts")
+    keepers = repeated.select("digest", F.col("top.file").alias("file"), F.col("top.row").alias("row"), chunks.alias("chunks"))
+    kept_text = texts.drop("chunk").join(keepers, ["digest", "file", "row"]).select("digest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("text").alias("kept_text"))
+    differs = stage(texts.join(kept_text, ["digest", "chunk"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "dedup-differs")
     if not differs.isEmpty():
         return _regrouped(digests, groups, texts, differs, digest)
     return digests.join(groups, "digest").select(
