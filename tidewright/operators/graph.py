@@ -47,15 +47,19 @@ def least_costs(edges: DataFrame, seeds: DataFrame, limit: int, cost: str | None
     steps = edges.where("caller IS NOT NULL AND callee IS NOT NULL").groupBy("callee", "caller").agg((F.min(cost) if cost else F.lit(1)).cast("bigint").alias("step"))
     steps = cut(steps.where(F.col("step") <= limit).repartition("callee"))
     best = seeds.where("seed IS NOT NULL").select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("cost")).distinct()
-    best = cut(best.withColumn("known", F.lit(None).cast("bigint")))
+    best = cut(best.withColumn("fresh", F.lit(True)).repartition("seed", "node"))
     for _ in range(limit):
-        frontier = best.where("known IS NULL OR cost < known").select("seed", F.col("node").alias("callee"), "cost")
-        met = frontier.join(steps, "callee").select("seed", F.col("caller").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= limit)
-        # One aggregation finds the new least costs and, by what was known, the next frontier.
-        both = best.select("seed", "node", "cost", F.col("cost").alias("known")).unionByName(met.withColumn("known", F.lit(None).cast("bigint")))
-        best = cut(both.groupBy("seed", "node").agg(F.min("cost").alias("cost"), F.min("known").alias("known")))
-        if best.where("known IS NULL OR cost < known").isEmpty():
+        frontier = best.where("fresh").select("seed", F.col("node").alias("callee"), "cost")
+        met = frontier.join(steps, "callee").select("seed", F.col("caller").alias("node"), (F.col("cost") + F.col("step")).alias("met")).where(F.col("met") <= limit)
+        met = met.groupBy("seed", "node").agg(F.min("met").alias("met"))
+        # What is known stays where it lies: only what was met is shuffled to it.
+        fresh = F.col("met").isNotNull() & (F.col("cost").isNull() | (F.col("met") < F.col("cost")))
+        new = cut(best.drop("fresh").join(met, ["seed", "node"], "full").select("seed", "node", F.least("cost", "met").alias("cost"), fresh.alias("fresh")))
+        forget(best)
+        best = new
+        if best.where("fresh").isEmpty():
             break
+    forget(steps)
     return best.select("seed", "node", "cost")
 
 
