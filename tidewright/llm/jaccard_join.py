@@ -184,6 +184,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     # Prefix keys: n-grams of one class alone come first and fill the prefix, the others follow by (part of the space, frequency, hash).
     each = grams.select(F.explode("first").alias("gram"))
     frequent = stage(each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "join-frequent")
+    release(grams.sparkSession)  # the n-grams' shuffle files
     each = _possibly(grams, frequent)
     later = F.when((F.col("gram") >= 0) & (F.col("gram") < F.lit(first_part(percent))), 0).otherwise(1)
     shared = each.join(frequent, "gram").groupBy("class").agg(F.array_sort(F.collect_list(F.struct(later.alias("later"), "df", "gram"))).alias("shared"))
@@ -224,7 +225,10 @@ def _components_of(rows: DataFrame, light: DataFrame, prefixes: DataFrame, n: in
     keys = keys.select("grp", F.explode(F.array(F.xxhash64("gram", "band"), F.xxhash64("gram", F.col("band") + 1))).alias("key"))
     least = keys.groupBy("key").agg(F.min("grp").alias("least"), F.count("*").alias("many")).where("many > 1")
     met = keys.join(least, "key").where("grp != least").select(F.col("grp").alias("a"), F.col("least").alias("b")).distinct()
-    of_group = stage(components(stage(met, "join-met")), "join-clusters")
+    met = stage(met, "join-met")
+    release(rows.sparkSession)
+    of_group = stage(components(met), "join-clusters")
+    release(rows.sparkSession)
 
     # Classes of the clusters, with groups of several classes expanded, and their whole sets.
     several = prefixes.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")
