@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import activation, core, evidence, graph, propagation
+from ..operators import activation, core, evidence, graph, propagation, scope
 from ..sources.tables import table
 
 
@@ -84,7 +84,29 @@ def evidence_groups(spark, d):
     return got.select("l_returnflag", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "n", "orders_of_keys")
 
 
-QUERIES = {f.__name__: f for f in (string_chains, event_levels, advised_parts, filtered_routes, first_places, evidence_groups)}
+def changed_refs(spark, d):
+    """References (order lines) to changed APIs (parts) by class, field, and parameters or, where a side lacks them, name alone; counted by brand."""
+    params = lambda c: F.get(F.array(F.lit("()"), F.lit("(int)"), F.lit("")), F.pmod(F.col(c), F.lit(3)).cast("int"))
+    kinds = F.array(*map(F.lit, ("class", "field", "method", "constructor")))
+    apis = table(spark, d, "part").select(F.col("p_partkey").alias("api_id"), F.get(kinds, F.pmod("p_partkey", F.lit(4)).cast("int")).alias("kind"), _key("P", "p_partkey").alias("owner"), _key("m", "p_size").alias("member"), params("p_size").alias("params"), "p_brand")
+    l = table(spark, d, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("s"))
+    refs = l.select(F.struct("l_partkey", "l_orderkey", "l_linenumber").alias("reference_id"), F.get(kinds, F.pmod("l_partkey", F.lit(4)).cast("int")).alias("kind"), _key("P", "l_partkey").alias("owner"), F.concat(F.lit("m"), F.col("q").cast("int").cast("string")).alias("member"), params("s").alias("params"))
+    return scope.reference_counts(apis, scope.changed_references(apis, refs), ["p_brand"])
+
+
+def diagnostic_scopes(spark, d):
+    """Diagnostics (error events) by the APIs (customers) that they concern: by name and parameters, by path, or all."""
+    e = table(spark, d, "events").where("event_type = 'error' AND user_id IS NOT NULL")
+    sort = F.when(F.col("event_id") % 300 == 0, "global").when(F.col("event_id") % 100 == 1, "path").otherwise("api")
+    params = lambda k: F.get(F.array(F.lit("(S)"), F.lit("(q.S)"), F.lit("(int)"), F.lit(None).cast("string")), F.pmod(k, F.lit(4)).cast("int"))
+    segments = F.array(*map(F.lit, ("BUILDING", "MACHINERY", "FURNITURE")))
+    diagnostics = e.select(F.col("event_id").alias("diagnostic_id"), sort.alias("scope"), _key("u", "user_id").alias("name"), params(F.col("event_id")).alias("params"), F.get(segments, F.pmod("user_id", F.lit(3)).cast("int")).alias("path"))
+    apis = table(spark, d, "customer").select(F.col("c_custkey").alias("api_id"), _key("u", "c_custkey").alias("name"), params(F.col("c_nationkey")).alias("params"), F.col("c_mktsegment").alias("path"))
+    found = scope.diagnostics_of(diagnostics, apis)
+    return found.groupBy("api_id").agg(*[F.count_if(F.col("scope") == s).alias(s) for s in ("exact", "signature", "path", "global")])
+
+
+QUERIES = {f.__name__: f for f in (string_chains, event_levels, advised_parts, filtered_routes, first_places, evidence_groups, changed_refs, diagnostic_scopes)}
 
 SQL = {
     "string_chains": """
@@ -110,4 +132,15 @@ SQL = {
         SELECT f AS filter_id, count(*) AS routes, CAST(sum(id) AS BIGINT) AS ids FROM x GROUP BY 1""",
     "first_places": "SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS seq, row_number() OVER (ORDER BY min(l_orderkey * 10 + l_linenumber), l_partkey) AS place FROM lineitem GROUP BY l_partkey",
     "evidence_groups": "SELECT l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n, count(DISTINCT l_orderkey % 2) AS orders_of_keys FROM lineitem GROUP BY l_returnflag, l_linenumber, l_linestatus",
+    "changed_refs": """
+        WITH a AS (SELECT p_partkey id, p_partkey % 4 k, 'm' || p_size m, p_size % 3 p, p_brand FROM part),
+        l AS (SELECT l_partkey id, 'm' || CAST(min(l_quantity) AS INT) m, min(l_suppkey) % 3 p FROM lineitem GROUP BY l_partkey, l_orderkey, l_linenumber),
+        x AS (SELECT a.id, CASE WHEN k = 0 OR (k = 1 AND a.m = l.m) OR (k > 1 AND a.m = l.m AND a.p = l.p AND a.p < 2) THEN 'e' WHEN k > 1 AND a.m = l.m AND (a.p = 2 OR l.p = 2) THEN 'c' END q FROM a JOIN l ON a.id = l.id),
+        c AS (SELECT a.p_brand, count(*) FILTER (WHERE q = 'e') e, count(*) FILTER (WHERE q = 'c') c FROM a LEFT JOIN x ON x.id = a.id GROUP BY a.id, a.p_brand)
+        SELECT p_brand, count(*) AS apis, count(*) FILTER (WHERE e > 0) AS apis_exact, count(*) FILTER (WHERE e = 0 AND c > 0) AS apis_candidate, count(*) FILTER (WHERE e = 0 AND c = 0) AS apis_unreferenced, CAST(sum(e) AS BIGINT) AS occurrences_exact, CAST(sum(c) AS BIGINT) AS occurrences_candidate FROM c GROUP BY 1""",
+    "diagnostic_scopes": """
+        WITH e AS (SELECT event_id id, user_id u, event_id % 4 p, CASE WHEN event_id % 300 = 0 THEN 'global' WHEN event_id % 100 = 1 THEN 'path' ELSE 'api' END s, ['BUILDING', 'MACHINERY', 'FURNITURE'][user_id % 3 + 1] seg FROM events WHERE event_type = 'error' AND user_id IS NOT NULL),
+        a AS (SELECT c_custkey k, c_nationkey % 4 p, c_mktsegment seg FROM customer),
+        x AS (SELECT k, CASE WHEN s = 'global' THEN 'global' WHEN s = 'path' THEN 'path' WHEN a.p = e.p THEN 'exact' ELSE 'signature' END s FROM a JOIN e ON s = 'global' OR (s = 'path' AND a.seg = e.seg) OR (s = 'api' AND k = u AND (a.p = e.p OR a.p = 3 OR e.p = 3 OR (a.p < 2 AND e.p < 2))))
+        SELECT k AS api_id, count(*) FILTER (WHERE s = 'exact') AS exact, count(*) FILTER (WHERE s = 'signature') AS signature, count(*) FILTER (WHERE s = 'path') AS path, count(*) FILTER (WHERE s = 'global') AS "global" FROM x GROUP BY 1""",
 }
