@@ -163,6 +163,43 @@ def constant_impact(change: Column, had_constant: Column, referenced: Column, li
     return F.struct(compiled.alias("compile"), runtime.alias("runtime"))
 
 
+# Technologies by what their coordinates begin with.
+TECHNOLOGIES = {
+    "lombok": ("org.projectlombok:lombok",),
+    "jaxb": ("jakarta.xml.bind:jakarta.xml.bind-api", "javax.xml.bind:jaxb-api", "com.sun.xml.bind:jaxb-impl", "org.glassfish.jaxb:jaxb-runtime"),
+    "bytebuddy": ("net.bytebuddy:byte-buddy",),
+    "javassist": ("org.javassist:javassist",),
+    "aspectj": ("org.aspectj:aspectjweaver", "org.aspectj:aspectjrt"),
+    "dubbo": ("org.apache.dubbo:dubbo", "com.alibaba:dubbo"),
+    "netty": ("io.netty:netty-all", "io.netty:netty-common"),
+    "grpc": ("io.grpc:grpc-core", "io.grpc:grpc-stub"),
+    "spring_cloud": ("org.springframework.cloud:",),
+    "fastjson": ("com.alibaba:fastjson", "com.alibaba.fastjson2:fastjson2"),
+    "mapstruct": ("org.mapstruct:mapstruct",),
+    "mybatis": ("org.mybatis:mybatis", "org.mybatis.spring.boot:mybatis-spring-boot-starter", "com.baomidou:mybatis-plus"),
+    "nacos": ("com.alibaba.nacos:nacos-client", "com.alibaba.cloud:spring-cloud-starter-alibaba-nacos-discovery"),
+    "sentinel": ("com.alibaba.csp:sentinel-core", "com.alibaba.cloud:spring-cloud-starter-alibaba-sentinel"),
+    "rocketmq": ("org.apache.rocketmq:rocketmq-client", "org.apache.rocketmq:rocketmq-spring-boot-starter"),
+    "kafka": ("org.apache.kafka:kafka-clients", "org.springframework.kafka:spring-kafka"),
+    "elasticsearch": ("org.elasticsearch.client:", "co.elastic.clients:elasticsearch-java"),
+    "redis": ("io.lettuce:lettuce-core", "redis.clients:jedis"),
+}
+# The coordinates whose version is that of the framework, the first that is there counts.
+FRAMEWORK_COORDS = ("org.springframework.boot:spring-boot", "org.springframework.boot:spring-boot-autoconfigure", "org.springframework.boot:spring-boot-starter")
+
+
+def technologies(deps: DataFrame, keys: list[str], coord: str) -> DataFrame:
+    """A boolean column for each of the TECHNOLOGIES by key: whether the key's coordinates have it (see tech_flags)."""
+    return tech_flags(deps, keys, coord, TECHNOLOGIES)
+
+
+def framework_versions(deps: DataFrame, keys: list[str], coord: str, old: str, new: str) -> DataFrame:
+    """By key, ``old_version, new_version, evidence`` of the framework: those of the first of FRAMEWORK_COORDS among the key's rows ('-' is none), else nulls and 'not_found'."""
+    place = F.array_position(F.array(*map(F.lit, FRAMEWORK_COORDS)), F.col(coord))
+    found = deps.groupBy(*keys).agg(F.min(F.when(place > 0, F.struct(place.alias("at"), F.nullif(F.col(old), F.lit("-")).alias("old"), F.nullif(F.col(new), F.lit("-")).alias("new")))).alias("_f"))
+    return found.select(*keys, F.col("_f.old").alias("old_version"), F.col("_f.new").alias("new_version"), F.when(F.col("_f").isNull(), "not_found").otherwise("dependency_scope").alias("evidence"))
+
+
 def tech_flags(deps: DataFrame, keys: list[str], coord: str, prefixes: dict[str, tuple[str, ...]]) -> DataFrame:
     """For each key, a boolean column for each technology: whether any coordinate begins with one of its prefixes."""
     has = lambda ps: reduce(lambda a, b: a | b, [F.coalesce(F.col(coord).startswith(p), F.lit(False)) for p in ps])

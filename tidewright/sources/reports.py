@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..workers import ship
 
@@ -234,3 +234,38 @@ def changed_declarations(changed: DataFrame) -> DataFrame:
     gone = gone.join(came, [*keys, "declaration"], "left_anti")
     again = came.select(*keys).distinct().withColumn("again", F.lit(True))
     return gone.join(again, keys, "left").select(*keys, F.col("declaration").alias("old"), F.when(F.col("again"), "SIGNATURE_CHANGED").otherwise("REMOVED").alias("change_type"))
+
+
+_MODIFIERS = r"(?:(?:static|final|abstract|synchronized|default|native|transient|volatile|strictfp)\s+)*"
+_KOTLIN = r"(?:(?:open|abstract|override|final|suspend|inline|operator|infix|tailrec|external|const|lateinit)\s+)*"
+#: What a line of a diff may declare: language, kind and pattern, whose last group is the name. Kotlin's members are public unless they say otherwise.
+_DECLARED = (
+    (".java", "method", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:public|protected)\s+" + _MODIFIERS + r"(?:<[^>]+>\s+)?(?:[\w.$<>\[\],?& ]+\s)?(\w+)\s*\([^)]*\)"),
+    (".java", "field", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:public|protected)\s+" + _MODIFIERS + r"[\w.$<>\[\],?]+(?:\s*<[^=;()]*>)?(?:\[\])*\s+(\w+)\s*(?:=[^;]*)?;"),
+    (".kt", "method", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected)\s+)?" + _KOTLIN + r"fun\s+(?:<[^>]+>\s+)?(?:[\w.<>?]+\.)?(\w+)\s*\([^)]*\)(?:\s*:\s*[\w.<>?, ]+)?"),
+    (".kt", "field", r"^(?: {0,4}|\t?)(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected)\s+)?" + _KOTLIN + r"(?:val|var)\s+(\w+)\s*(?::\s*[\w.<>?, ]+)?(?:\s*=.*)?$"),
+)
+
+
+def changed_members(changed: DataFrame) -> DataFrame:
+    """Public and protected methods and fields of Java and Kotlin that a diff adds, removes or declares otherwise: ``diff, path, kind, name, old, new, change_type``.
+
+    ``changed`` as of changed_lines. A declaration is compared without its body, in single blanks: one that was only moved or formatted otherwise gives no row. Of overloads, those
+    that differ are paired in the order of their texts; a pair is METHOD_SIGNATURE_CHANGED or FIELD_CHANGED (its value counts too), what is left over is ADDED or REMOVED. Kotlin's properties are members if they
+    are indented by four blanks or a tab at most; declarations that go over several lines aren't seen.
+    """
+    parts = []
+    for ending, kind, pattern in _DECLARED:
+        mine = changed.where(F.col("path").endswith(ending) & F.col("line").rlike(pattern))
+        if ending == ".kt":
+            mine = mine.where(~F.col("line").rlike(r"\b(private|internal)\b"))
+        text = F.regexp_extract("line", pattern, 0) if kind == "method" else F.col("line")
+        parts.append(mine.select("diff", "path", F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("name"), "sign", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("declaration")))
+    d = reduce(DataFrame.unionByName, parts).distinct()
+    keys = ["diff", "path", "kind", "name"]
+    signs = d.groupBy(*keys, "declaration").agg(F.count("*").alias("n"), F.min("sign").alias("sign")).where("n = 1")  # on one sign alone
+    place = F.row_number().over(Window.partitionBy(*keys, "sign").orderBy("declaration"))
+    each = signs.withColumn("k", place)
+    both = each.groupBy(*keys, "k").agg(F.max(F.when(F.col("sign") == "-", F.col("declaration"))).alias("old"), F.max(F.when(F.col("sign") == "+", F.col("declaration"))).alias("new"))
+    change = F.when(F.col("new").isNull(), "REMOVED").when(F.col("old").isNull(), "ADDED").when(F.col("kind") == "field", "FIELD_CHANGED").otherwise("METHOD_SIGNATURE_CHANGED")
+    return both.select(*keys, "old", "new", change.alias("change_type"))
