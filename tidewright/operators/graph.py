@@ -97,14 +97,18 @@ def pareto(rows: DataFrame, keys: list[str], cost: str, gain: str, seq: str) ->
 def longest_only(chains: DataFrame, key: str, path: str, rank: str | None = None) -> DataFrame:
     """Chains (arrays) that no longer chain of the key ends with; with ``rank``, only one of a rank that is not above its own covers a chain.
 
-    A chain of one node is never covered. The ends of longer chains are joined on equality; no pair of chains is formed that shares none.
+    A chain of one node is never covered. Only hashes of the ends of longer chains are spread; where one is met, the chain that it is of, known by a
+    hash as well, is compared in full. No pair of chains is formed that shares none.
     """
     where = F.col(rank) if rank else F.lit(0)
-    longer = chains.where(F.size(path) > 2).select(F.col(key).alias("_key"), F.col(path).alias("_long"), where.alias("_rank")).distinct()
-    ends = longer.select("_key", "_long", "_rank", F.explode(F.sequence(F.lit(2), F.size("_long") - 1)).alias("_n"))
-    ends = ends.select("_key", "_rank", F.slice("_long", -F.col("_n"), F.col("_n")).alias("_end")).groupBy("_key", F.xxhash64("_end").alias("_hash"), "_end").agg(F.min("_rank").alias("_rank"))
-    on = (F.col(key) == F.col("_key")) & (F.xxhash64(path) == F.col("_hash")) & (F.col(path) == F.col("_end")) & (F.col("_rank") <= where)
-    return chains.join(ends, on, "left_anti")
+    longer = chains.where(F.size(path) > 2).select(F.col(key).alias("_key"), F.col(path).alias("_long"), where.alias("_rank"), F.xxhash64(path).alias("_id")).distinct()
+    hashes = F.transform(F.sequence(F.lit(2), F.size("_long") - 1), lambda n: F.xxhash64(F.slice("_long", -n, n)))
+    ends = longer.select("_key", "_rank", "_id", F.explode(hashes).alias("_hash")).groupBy("_key", "_hash").agg(F.min(F.struct("_rank", "_id")).alias("_m"))
+    mine = chains.where(F.size(path) > 1).select(F.col(key).alias("_k"), F.col(path).alias("_path"), where.alias("_w")).distinct()
+    hits = mine.join(ends, (F.col("_k") == F.col("_key")) & (F.xxhash64("_path") == F.col("_hash")) & (F.col("_m._rank") <= F.col("_w"))).select("_k", "_path", "_w", F.col("_m._id").alias("_of"))
+    n = F.size("_path")
+    sure = hits.join(longer.select("_key", "_id", "_long").distinct(), (F.col("_k") == F.col("_key")) & (F.col("_of") == F.col("_id")) & (F.slice("_long", -n, n) == F.col("_path"))).select("_k", "_path", "_w").distinct()
+    return chains.join(sure, (F.col(key) == F.col("_k")) & (F.col(path) == F.col("_path")) & (where == F.col("_w")), "left_anti")
 
 
 def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 64) -> DataFrame:
