@@ -44,10 +44,13 @@ def snapshot_diff(base: DataFrame, current: DataFrame, full_key: str, artifact_k
 
     def rest(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
         left_over = df.join(other.where("k IS NOT NULL").select(full_key, "k"), [full_key, "k"], "left_anti")
-        n = F.count("*").over(Window.partitionBy(artifact_key))
-        return left_over.select(F.col(artifact_key).alias("a"), n.alias(f"n_{name}"), F.struct(*names).alias(name))
+        return left_over.select(F.col(artifact_key).alias("a"), F.struct(*names).alias(name))
 
-    lb, lc = rest(b, c, "base"), rest(c, b, "current")
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        # A hot artifact is a count and a join that can be split, not a window in one task.
+        return df.join(df.groupBy("a").agg(F.count("*").alias(f"n_{name}")), "a", "left")
+
+    lb, lc = counted(cut(rest(b, c, "base")), "base"), counted(cut(rest(c, b, "current")), "current")
     one = lb.where("n_base = 1").join(lc.where("n_current = 1"), "a").select("base", "current", F.lit("unique_artifact_migration").alias("pairing_status"), "a")
     sides = [(lb, lc, "base"), (lc, lb, "current")]
     singles = []
