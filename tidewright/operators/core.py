@@ -155,18 +155,22 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
     Of rows of equal time the largest value counts; a row of ``left`` sees rows of its own time; null keys meet null keys. Rows are sorted within a key
     and a ``span`` of time, so that a hot key is many sorts; the last value of each span is carried over to the next ones, a row for each key and span.
     """
-    l = left.select(*left.columns, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    kind = right.schema[value].dataType
+    month = F.date_trunc(span, F.col("_t").cast("timestamp"))
+    l = left.select(*left.columns, F.col(at).alias("_t"), F.lit(2).alias("_side"), F.lit(None).cast(kind).alias("_v")).withColumn("_span", month)
     fill = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in keys]
-    r = right.select(*keys, *fill, F.col(since).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    both = l.unionByName(r).withColumn("_span", F.date_trunc(span, F.col("_t").cast("timestamp")))
-    inside = Window.partitionBy(*keys, "_span").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.col("_v").isNotNull()
-    ends = both.groupBy(*keys, "_span").agg(F.max(F.when(known, F.struct("_t", "_v"))).alias("_end"))
+    r = right.select(*keys, F.col(since).alias("_t"), F.col(value).alias("_v")).withColumn("_span", month)
+    # The last value of each span, and for each span of ``left`` the last one before it: a row for each key and span.
+    ends = r.where("_v IS NOT NULL").groupBy(*keys, "_span").agg(F.max(F.struct("_t", "_v")).alias("_end"), F.lit(False).alias("_asked"))
+    asked = l.select(*keys, "_span").distinct().select(*keys, "_span", F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"), F.lit(True).alias("_asked"))
+    spans = ends.unionByName(asked).groupBy(*keys, "_span").agg(F.max("_end").alias("_end"), F.bool_or("_asked").alias("_asked"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"), F.last("_end", ignorenulls=True).over(before)["_v"].alias("_carried"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_span").eqNullSafe(F.col("_s"))]
-    seen = both.withColumn("_last", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
-    return seen.join(carried, reduce(lambda a, b: a & b, on), "left").select(*left.columns, F.coalesce("_last", "_carried").alias("as_of"))
+    carried = spans.withColumn("_v", F.last("_end", ignorenulls=True).over(before)["_v"]).where("_asked AND _v IS NOT NULL")
+    # It goes ahead of the span's own rows, so that the large tables are dealt out and sorted once.
+    ahead = carried.select(*keys, *fill, F.lit(None).cast(left.schema[at].dataType).alias("_t"), F.lit(0).alias("_side"), "_v", "_span")
+    both = l.unionByName(r.select(*keys, *fill, "_t", F.lit(1).alias("_side"), "_v", "_span")).unionByName(ahead)
+    inside = Window.partitionBy(*keys, "_span").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("as_of", F.last("_v", ignorenulls=True).over(inside)).where("_side = 2").select(*left.columns, "as_of")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
