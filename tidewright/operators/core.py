@@ -152,7 +152,7 @@ def reconcile(analyzer: DataFrame, oracle: DataFrame, identity: list[str], relat
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, value: str, span: str = "month") -> DataFrame:
     """``left`` with the ``value`` of the latest row of ``right`` not after ``at``, without a range join.
 
-    Of rows of equal time the largest value counts; a row of ``left`` sees rows of its own time; null keys meet null keys. Rows are sorted within a key
+    Of rows of equal time the largest value counts; a row of ``left`` sees rows of its own time; null keys meet null keys, and null times null times alone. Rows are sorted within a key
     and a ``span`` of time, so that a hot key is many sorts; the last value of each span is carried over to the next ones, a row for each key and span.
     """
     kind = right.schema[value].dataType
@@ -161,7 +161,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
     fill = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in keys]
     r = right.select(*keys, F.col(since).alias("_t"), F.col(value).alias("_v")).withColumn("_span", month)
     # The last value of each span, and for each span of ``left`` the last one before it: a row for each key and span.
-    ends = r.where("_v IS NOT NULL").groupBy(*keys, "_span").agg(F.max(F.struct("_t", "_v")).alias("_end"), F.lit(False).alias("_asked"))
+    ends = r.where("_v IS NOT NULL AND _span IS NOT NULL").groupBy(*keys, "_span").agg(F.max(F.struct("_t", "_v")).alias("_end"), F.lit(False).alias("_asked"))
     asked = l.select(*keys, "_span").distinct().select(*keys, "_span", F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"), F.lit(True).alias("_asked"))
     spans = ends.unionByName(asked).groupBy(*keys, "_span").agg(F.max("_end").alias("_end"), F.bool_or("_asked").alias("_asked"))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
