@@ -135,8 +135,12 @@ def api_coverage(apis: DataFrame, failures: DataFrame) -> DataFrame:
 def guidance(findings: DataFrame, reason: str, target: str, samples: int = 5) -> DataFrame:
     """``reason, n, targets, samples``: how often each reason occurs, for how many targets, and the first ``samples`` of them in order."""
     each = findings.groupBy(reason, target).agg(F.count("*").alias("_n"))
-    named = each.withColumn("_k", F.row_number().over(Window.partitionBy(reason).orderBy(target)))
-    return named.groupBy(F.col(reason).alias("reason")).agg(F.sum("_n").alias("n"), F.count("*").alias("targets"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_k") <= samples, F.col(target).cast("string")))), "|").alias("samples"))
+    counts = each.groupBy(F.col(reason).alias("reason")).agg(F.sum("_n").alias("n"), F.count("*").alias("targets"))
+    # Spark keeps the first rows of each reason in every task before it sorts them together, so that a hot reason is no large sort.
+    place = F.row_number().over(Window.partitionBy(reason).orderBy(target))
+    first = each.select(reason, target).withColumn("_k", place).where(F.col("_k") <= samples)
+    first = first.groupBy(F.col(reason).alias("_reason")).agg(F.array_join(F.array_sort(F.collect_list(F.col(target).cast("string"))), "|").alias("samples"))
+    return counts.join(first, F.col("reason").eqNullSafe(F.col("_reason"))).select("reason", "n", "targets", "samples")
 
 
 def contract_diff(old: DataFrame, new: DataFrame, carriers: DataFrame) -> DataFrame:
