@@ -78,3 +78,10 @@ def test_pair_ranking_equals_all_pairs(spark, folder):
                 best[n] = min(best.get(n, pair), pair)
     assert any((a + b) % 2 for _, a, b in best.values())
     assert rows(catalog.queries()["pair_ranking"](spark, d)) == sorted((n, a, b, -gap) for n, (gap, a, b) in best.items())
+
+
+def test_words_of_calls_end_at_letters_beyond_ascii_as_in_the_sql(spark, folder):
+    texts = ["the \u00e9leve \u00e9leve. the reai \u00e9reai.", "p\u00e8re. the re", "ed. x\u00e9ed.", None, "the\u00e9 the a. \u00e9the of"]
+    d = folder(documents={"doc_id": list(range(5)), "text": texts})
+    assert rows(catalog.queries()["receiver_proof"](spark, d)) == [(0, 1, 0, 1), (1, 1, 0, 1), (2, 2, 2, 1), (4, 1, 0, 1)]
+    assert [r.rule for r in catalog.queries()["rule_scan"](spark, d).collect()] == ["internal"]
