@@ -37,6 +37,17 @@ def test_pointcuts_select_the_methods_they_say(spark):
     assert {p for p, a in anchors.items() if a == "any"} == {"execution(* save*(..))", "execution(* *(.., int))", "execution(* *(*, String))", "execution(* app.core.Service+.*(..))", "!(within(app..*) || within(appx..*))", "execution(* *())"}
 
 
+def test_copies_of_advices_and_methods_are_matched_once(spark):
+    advices = spark.createDataFrame([(f"{e}#{k}", "A", e) for e in ("execution(* save(..))", "within(lib.*)", "cflow(x())") for k in range(4)], "advice string, aspect string, expression string")
+    c = activation.pointcuts(advices, spark.createDataFrame([], "aspect string, name string, expression string"))
+    many = spark.createDataFrame([(r[0] + 10 * k, *r[1:]) for r in ROWS for k in range(5)], METHODS)
+    asked, met, members = activation.advised_classes(c, many)
+    assert met.count() == 4 and asked.count() == 8 and members.count() == 35
+    want = {(f"{e}#{k}", m + 10 * j) for e, ms in (("execution(* save(..))", (2, 3, 7)), ("within(lib.*)", (6,))) for k in range(4) for m in ms for j in range(5)}
+    got = activation.advised(c, many).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_filters_meet_routes(spark):
     routes = {1: "/api/ships", 2: "/api/ships/{id}", 3: "api/docks/{dock}/ships", 4: "/", 5: "/login", 6: "/{any}/x", 7: "/api/a.b"}
     filters = {"/**": {1, 2, 3, 4, 5, 6, 7}, "/api/**": {1, 2, 3, 6, 7}, "/api/*": {1, 6, 7}, "/api/ships/*": {2}, "/api/ships/7": {2}, "/api/docks/**": {3}, "/login": {5}, "/z/x": {6}, "/api/*/4/ships": {3}, "/api/a?b": set(), "/api/a.b": {7}, "/**/ships": {1, 3}, "/api/{v}": {1, 6, 7}}

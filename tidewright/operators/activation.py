@@ -144,14 +144,16 @@ def pointcuts(advices: DataFrame, definitions: DataFrame) -> DataFrame:
 
     def read(pdf: pd.DataFrame) -> pd.DataFrame:
         named = {n: e for a, n, e in zip(pdf["advice"], pdf["name"], pdf["expression"]) if a is None}
-        rows = []
+        rows, seen = [], {}
         for a, e in zip(pdf["advice"], pdf["expression"]):
             if a is not None:
-                try:
-                    for k, atoms in enumerate(_Pointcut(named).clauses(e or "")):
-                        rows.append((a, k, *_anchor(atoms), [empty | x for x in atoms], None))
-                except ValueError:
-                    rows.append((a, None, None, None, None, UNSUPPORTED))
+                e = e or ""
+                if e not in seen:
+                    try:
+                        seen[e] = [(k, *_anchor(atoms), [empty | x for x in atoms], None) for k, atoms in enumerate(_Pointcut(named).clauses(e))]
+                    except ValueError:
+                        seen[e] = [(None, None, None, None, UNSUPPORTED)]
+                rows.extend((a, *x) for x in seen[e])
         return pd.DataFrame(rows, columns=names, dtype=object).astype({"clause": "Int32"})
 
     return both.groupBy("aspect").applyInPandas(read, _CLAUSES)
@@ -179,14 +181,33 @@ def _holds(a: Column) -> Column:
     return F.coalesce(met, F.lit(False)) != a["negated"]
 
 
+def advised_classes(clauses: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What pointcuts select, by classes: ``advice, pointcut`` of advices, ``pointcut, shape`` that meet, each pair once, and ``method_id, shape`` of methods.
+
+    Advices of equal alternatives are one pointcut, methods that are alike in all that a pointcut can ask for one shape; each is named by its smallest member. Only one of each is matched, so copies
+    on either side aren't multiplied: counts and sums of pairs come from those of classes. Input as of advised.
+    """
+    good = clauses.where("reason IS NULL").groupBy("advice").agg(F.array_sort(F.collect_set(F.struct("anchor", "part", "atoms"))).alias("_alternatives"))
+    kinds = good.groupBy("_alternatives").agg(F.min("advice").alias("pointcut"))
+    look = F.struct("type", "supertypes", "method", "params", "annotations", "type_annotations").alias("_look")
+    each = methods.where("method_id IS NOT NULL").select("method_id", look).distinct()
+    shapes = each.groupBy("_look").agg(F.min("method_id").alias("shape"))
+    # A method may have several rows: its shapes are told apart by what they look like.
+    one = shapes.select(F.struct("shape", "_look").alias("method_id"), "shape", "_look.*")
+    asked = kinds.select("pointcut", F.explode("_alternatives").alias("_a")).select("pointcut", "_a.*")
+    met = asked.join(method_parts(one), ["anchor", "part"]).join(one, "method_id")
+    met = met.where(F.forall("atoms", _holds)).select("pointcut", F.col("method_id").alias("shape")).distinct()
+    members = each.join(shapes, "_look").select("method_id", F.struct("shape", "_look").alias("shape"))
+    return good.join(kinds, "_alternatives").select("advice", "pointcut"), met, members
+
+
 def advised(clauses: DataFrame, methods: DataFrame) -> DataFrame:
     """``advice, method_id`` of every method that a pointcut selects, each pair once; ``clauses`` as of pointcuts.
 
     ``methods``: method_id, type, supertypes, method, params (erased, in brackets), annotations, type_annotations (simple names). Results of methods aren't told apart.
     """
-    good = clauses.where("reason IS NULL").select("advice", "anchor", "part", "atoms")
-    met = good.join(method_parts(methods), ["anchor", "part"]).join(methods, "method_id")
-    return met.where(F.forall("atoms", _holds)).select("advice", "method_id").distinct()
+    advices, met, members = advised_classes(clauses, methods)
+    return advices.join(met, "pointcut").join(members, "shape").select("advice", "method_id").distinct()
 
 
 def route_pattern(pattern: Column) -> Column:
