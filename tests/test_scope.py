@@ -40,6 +40,20 @@ def test_diagnostics_by_scope(spark, monkeypatch):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_diagnostics_are_counted_as_their_pairs_are(spark):
+    rng = random.Random(3)
+    params = ["(S)", "(q.S)", "(int)", None]
+    for most in (9, 40):
+        d = [(rng.randrange(most), rng.choice(["api", "api", "path", "path", "global"][: rng.choice((4, 5))]), rng.choice("fgh"), rng.choice(params), rng.choice(["x", "y", None])) for _ in range(40)]
+        a = [(rng.randrange(most), rng.choice("fg"), rng.choice(params), rng.choice(["x", "y", None])) for _ in range(30)]
+        frames = spark.createDataFrame(d, "diagnostic_id int, scope string, name string, params string, path string"), spark.createDataFrame(a, "api_id int, name string, params string, path string")
+        want = {}
+        for r in scope.diagnostics_of(*frames).collect():
+            want.setdefault(r.api_id, {"exact": 0, "signature": 0, "path": 0, "global": 0})[r.scope] += 1
+        assert {r.api_id: {k: v for k, v in r.asDict().items() if k != "api_id"} for r in scope.diagnostic_counts(*frames).collect()} == want
+    assert "diagnostic_id" not in scope.diagnostic_counts(*frames).columns
+
+
 def test_references_by_all_kinds_of_keys(spark):
     rng = random.Random(1)
     pick = lambda n, kinds: [(k, rng.choice(kinds), rng.choice("AB"), rng.choice("fg"), rng.choice(["(int)", "()", "", None])) for k in range(n)]

@@ -107,6 +107,32 @@ def diagnostics_of(diagnostics: DataFrame, apis: DataFrame) -> DataFrame:
     return told.select("diagnostic_id", "api_id", F.get(F.array(*map(F.lit, ("exact", "signature", "path", "global"))), F.col("_s")).alias("scope"))
 
 
+def diagnostic_counts(diagnostics: DataFrame, apis: DataFrame) -> DataFrame:
+    """``api_id, exact, signature, path, global``: how many diagnostics concern each API by each scope, of APIs that any concerns; what diagnostics_of gives, counted without its pairs.
+
+    Only diagnostics by name are paired with their APIs. Those of a path are counted once for all its APIs, global ones once for all; what a name tells already is taken off again.
+    """
+    d, a = diagnostics.select("diagnostic_id", "scope", "name", "params", "path"), apis.select("api_id", F.col("name"), F.col("params").alias("_params"), F.col("path").alias("_path"))
+    equal = F.col("params").eqNullSafe(F.col("_params"))
+    may = F.col("params").isNull() | F.col("_params").isNull() | signatures_agree(F.col("params"), F.col("_params"))
+    named = d.where("scope = 'api'").join(a, "name").where(equal | may).groupBy("diagnostic_id", "api_id").agg(F.min(F.when(equal, 0).otherwise(1)).alias("_s"))
+    named = cut(named)
+    on = d.where("scope = 'path' AND path IS NOT NULL").select("diagnostic_id", "path").distinct()
+    places = a.where("_path IS NOT NULL").groupBy("api_id").agg(F.collect_set("_path").alias("_paths"))
+    one = places.where("size(_paths) = 1").select("api_id", F.col("_paths")[0].alias("path")).join(on.groupBy("path").agg(F.count("*").alias("_n")), "path").select("api_id", "_n")
+    # Of an API with several paths a diagnostic may have more than one.
+    some = places.where("size(_paths) > 1").select("api_id", F.explode("_paths").alias("path")).join(on, "path").select("api_id", "diagnostic_id").distinct().select("api_id", F.lit(1).cast("bigint").alias("_n"))
+    both = named.join(on, "diagnostic_id").join(places.select(F.col("api_id").alias("_api"), F.explode("_paths").alias("path")), "path").where(F.col("api_id").eqNullSafe(F.col("_api")))
+    both = both.select("diagnostic_id", "api_id").distinct().select("api_id", F.lit(-1).cast("bigint").alias("_n"))
+    n = d.where("scope = 'global'").select("diagnostic_id").distinct().agg(F.count("*").alias("_n"))
+    everywhere = a.select("api_id").distinct().crossJoin(F.broadcast(n)).where("_n > 0")  # a single row
+    zero, total = F.lit(0).cast("bigint"), F.col("_n")
+    by_name = named.select("api_id", *[(F.col("_s") == k).cast("bigint").alias(s) for k, s in enumerate(("exact", "signature"))], zero.alias("path"), zero.alias("global"))
+    by_path = [x.select("api_id", zero.alias("exact"), zero.alias("signature"), total.alias("path"), zero.alias("global")) for x in (one, some, both)]
+    general = everywhere.select("api_id", zero.alias("exact"), zero.alias("signature"), zero.alias("path"), total.alias("global"))
+    return reduce(DataFrame.unionByName, [by_name, *by_path, general]).groupBy("api_id").agg(*[F.sum(s).alias(s) for s in ("exact", "signature", "path", "global")])
+
+
 def changed_references(apis: DataFrame, references: DataFrame) -> DataFrame:
     """``api_id, reference_id, quality`` of references to changed APIs: exact or candidate; what is exact for an API is no candidate for it.
 
