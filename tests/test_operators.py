@@ -106,3 +106,15 @@ def test_names_reasons_and_chains(spark):
     nodes = ["a.B", 'c"\\d']
     one = spark.createDataFrame([tuple(nodes)], "a string, b string").select(text.path_id(F.col("a"), F.col("b"))).first()[0]
     assert one == "PATH-" + hashlib.sha1(json.dumps(nodes).encode()).hexdigest()[:12]
+
+
+def test_rows_of_a_hot_key_are_paired_in_equal_shares(spark, monkeypatch):
+    monkeypatch.setattr(core, "PACK", 3)
+    left = spark.createDataFrame([("a", k) for k in range(200)] + [("b", 1), ("b", 1), ("c", 2), (None, 3)], "k string, x int")
+    right = spark.createDataFrame([("a", k) for k in range(20)] + [("b", 7), ("b", None), ("d", 1), (None, 3)], "k string, y int")
+    got = core.dealt_join(left, right, ["k"])
+    key = lambda r: repr(tuple(r))
+    assert sorted(got.collect(), key=key) == sorted(left.join(right, "k").collect(), key=key)
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert max(sizes) < 1000  # of 4,004 pairs, nearly all of one key
+    assert core.dealt_join(left, right.limit(0), ["k"]).count() == 0

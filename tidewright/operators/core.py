@@ -13,6 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Rows that dealt_join packs in one array, about.
+PACK = 4096
+
 
 def zip_join(base: DataFrame, current: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Pair the k-th row of ``base`` with the k-th of ``current`` within a key; leftovers have a null side (columns base, current)."""
@@ -113,6 +116,21 @@ def reference_join(targets: DataFrame, references: DataFrame, exact: list[str],
     return hit.unionByName(weak.withColumn("quality", F.lit("candidate")))
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join by equal ``keys`` where few keys have many rows on both sides, so that pairs are far more than rows (repeated rows give repeated pairs).
+
+    Rows of ``left`` are dealt to a fixed number of blocks; those of ``right`` go to every block, packed in arrays of about PACK. So each task makes an equal share of any key's pairs, and
+    nothing but the two sides is shuffled or held.
+    """
+    blocks, packs = 4 * left.sparkSession.sparkContext.defaultParallelism, -(-right.count() // PACK) or 1
+    mine, other = ([c for c in df.columns if c not in keys] for df in (left, right))
+    one = left.withColumn("_block", F.pmod(F.xxhash64(*mine), F.lit(blocks)))
+    packed = right.groupBy(*keys, F.pmod(F.xxhash64(*other), F.lit(packs)).alias("_pack")).agg(F.collect_list(F.struct(*other)).alias("_rows"))
+    every = packed.select(*keys, "_rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"))
+    by = lambda df: df.repartition(blocks, "_block")
+    return by(one).join(by(every).hint("shuffle_hash"), [*keys, "_block"]).select(*keys, *mine, F.explode("_rows").alias("_row")).select(*keys, *mine, *[F.col("_row")[c].alias(c) for c in other])
+
+
 def reconcile(analyzer: DataFrame, oracle: DataFrame, identity: list[str], relation: list[str], valid: Column | None = None, present: Column | None = None) -> DataFrame:
     """``relation, verdict, n`` for two multisets of edges, of which as many as possible are matched one by one.
 

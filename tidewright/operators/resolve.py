@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import signatures_agree
+from .core import dealt_join
 
 
 def ranked_match(rows: DataFrame, key: list[str], candidates: DataFrame, value: str) -> DataFrame:
@@ -82,11 +83,14 @@ def member_matches(targets: DataFrame, uses: DataFrame) -> DataFrame:
     """``target_id, use_id`` of uses (reflection, handles) that may mean a target: equal owner, then equal member and agreeing parameters where the use tells them.
 
     ``targets``: target_id, owner, member, params, kind; ``uses``: use_id, owner, member, params, kind. A class target is met by any use of the owner; a use
-    without member or params may mean any.
+    without member or params may mean any. Targets, and uses, that are alike in all but their ids are matched once; only then are the pairs made, in equal shares for all tasks.
     """
-    t, u = targets.select("target_id", "owner", *[F.col(c).alias(f"t_{c}") for c in ("member", "params", "kind")]), uses.select("use_id", "owner", "member", "params", "kind")
+    look = F.struct("owner", "member", "params", "kind")
+    targets, uses = (df.where("owner IS NOT NULL").select(n, look.alias(of)) for df, n, of in ((targets, "target_id", "_t"), (uses, "use_id", "_u")))
+    t, u = targets.select("_t", F.col("_t.owner").alias("owner"), *[F.col(f"_t.{c}").alias(f"t_{c}") for c in ("member", "params", "kind")]).distinct(), uses.select("_u", "_u.*").distinct()
     same = (F.col("t_kind") == "class") | ((F.col("kind") == F.col("t_kind")) & (F.col("member").isNull() | ((F.col("member") == F.col("t_member")) & (F.col("params").isNull() | signatures_agree(F.col("params"), F.col("t_params"))))))
-    return t.join(u, "owner").where(same).select("target_id", "use_id")
+    met = t.join(u, "owner").where(same).select("_t", "_u")
+    return dealt_join(targets, met.join(uses, "_u").select("_t", "use_id"), ["_t"]).select("target_id", "use_id")
 
 
 def contract_methods(owners: DataFrame, methods: DataFrame) -> DataFrame:
