@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tidewright.functions import text
@@ -118,3 +120,15 @@ def test_rows_of_a_hot_key_are_paired_in_equal_shares(spark, monkeypatch):
     sizes = [len(p) for p in got.rdd.glom().collect()]
     assert max(sizes) < 2000  # of 4,004 pairs, nearly all of one key
     assert core.dealt_join(left, right.limit(0), ["k"]).count() == 0
+
+
+def test_replacements_of_many_like_owners_equal_brute_force(spark):
+    rng = random.Random(8)
+    for owners in (6, 9, 30):
+        sides = [{(rng.randrange(2), rng.randrange(owners), rng.choice("abcde")) for _ in range(n)} for n in (40, 30)]
+        held = [{k: {m for g, o, m in side if (g, o) == k} for k in {x[:2] for x in side}} for side in sides]
+        met = [(g, o, n, len(ms)) for (g, o), ms in held[0].items() for (h, n), ns in held[1].items() if g == h and o != n and ms <= ns and len(ms) > 1]
+        want = {x for x in met if sum(y[:2] == x[:2] for y in met) == 1 and sum((y[0], y[2]) == (x[0], x[2]) for y in met) == 1}
+        frames = [spark.createDataFrame(sorted(side), "g int, o int, m string") for side in sides]
+        got = core.set_replacements(*frames, "g", "o", "m").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)

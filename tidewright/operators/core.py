@@ -70,14 +70,28 @@ def snapshot_diff(base: DataFrame, current: DataFrame, full_key: str, artifact_k
 def set_replacements(old: DataFrame, new: DataFrame, group: str, owner: str, member: str, least: int = 2) -> DataFrame:
     """Owners of ``old`` whose members (``least`` or more) are all among those of exactly one owner of ``new``, mutually.
 
-    Both sides: distinct (group, owner, member). An equi-join on the member and a count stand for containment; no
-    pair is formed that shares nothing.
+    Both sides: distinct (group, owner, member). Owners of equal members are one class; an equi-join of classes on the member and a count stand for containment. How many owners contain, or
+    are contained in, one is a sum over classes, less itself; classes of more than two such owners (one of which may be the owner itself) can't be unique and are never expanded.
     """
-    size = old.groupBy(group, owner).agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    met = old.withColumnRenamed(owner, "old").join(new.withColumnRenamed(owner, "new"), [group, member]).where("old != new")
-    held = met.groupBy(group, "old", "new").agg(F.count("*").alias("overlap")).join(size.withColumnRenamed(owner, "old"), [group, "old"]).where("overlap = size")
-    one = [F.count("*").over(Window.partitionBy(group, side)) == 1 for side in ("old", "new")]
-    return held.withColumn("unique", one[0] & one[1]).where("unique").select(group, "old", "new", "overlap")
+    def sets_of(df: DataFrame, of: str) -> DataFrame:
+        return df.where(F.col(group).isNotNull() & F.col(owner).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(owner).alias(of)).agg(F.array_sort(F.collect_set(member)).alias(f"_{of}"), F.count("*").alias("size"))
+
+    # A null member is among those of no other owner.
+    olds = cut(sets_of(old, "old").where((F.col("size") >= least) & (F.col("size") == F.size("_old"))).drop("size"))
+    news = cut(sets_of(new, "new").drop("size"))
+    old_classes = olds.groupBy("_g", "_old").agg(F.count("*").alias("n_old"))
+    new_classes = news.groupBy("_g", "_new").agg(F.count("*").alias("n_new"))
+    x, y = old_classes.withColumn("m", F.explode("_old")), new_classes.withColumn("m", F.explode("_new"))
+    held = cut(x.join(y, ["_g", "m"]).groupBy("_g", "_old", "_new", "n_old", "n_new").agg(F.count("*").alias("overlap")).where(F.col("overlap") == F.size("_old")))
+    # How many owners of the other side each class meets, and which owners meet themselves.
+    above, below = held.groupBy("_g", "_old").agg(F.sum("n_new").alias("above")), held.groupBy("_g", "_new").agg(F.sum("n_old").alias("below"))
+    self_met = olds.join(news.withColumnRenamed("new", "old"), ["_g", "old"]).where(F.size(F.array_except("_old", "_new")) == 0).select("_g", F.col("old").alias("own"))
+    few = held.join(above.where("above <= 2"), ["_g", "_old"]).join(below.where("below <= 2"), ["_g", "_new"])
+    pairs = few.join(olds, ["_g", "_old"]).join(news, ["_g", "_new"]).where("old != new")
+    own = lambda side: self_met.select("_g", F.col("own").alias(side), F.lit(1).alias(f"self_{side}"))
+    pairs = pairs.join(own("old"), ["_g", "old"], "left").join(own("new"), ["_g", "new"], "left")
+    one = (F.col("above") - F.coalesce("self_old", F.lit(0)) == 1) & (F.col("below") - F.coalesce("self_new", F.lit(0)) == 1)
+    return pairs.where(one).select(F.col("_g").alias(group), "old", "new", "overlap")
 
 
 def best_row_merge(rows: DataFrame, keys: list[str], rank: list, seq: str, values: list[str]) -> DataFrame:
