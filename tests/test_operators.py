@@ -122,6 +122,15 @@ def test_rows_of_a_hot_key_are_paired_in_equal_shares(spark, monkeypatch):
     assert core.dealt_join(left, right.limit(0), ["k"]).count() == 0
 
 
+def test_references_are_counted_as_their_pairs_are(spark):
+    rng = random.Random(4)
+    refs = spark.createDataFrame([(rng.randrange(12), rng.randrange(4)) for _ in range(60)], "p int, s int").distinct()
+    targets = spark.createDataFrame([(p, p % 4, p) for p in range(15)] + [(1, None, 99)], "p int, s int, part int")
+    pairs = core.reference_join(targets, refs.withColumn("ref", F.concat_ws("-", "p", "s")), ["p", "s"], ["p"], "part", "ref").collect()
+    want = {(t, *(sum(r.part == t and r.quality == q for r in pairs) for q in ("exact", "candidate"))) for t in (*range(15), 99)}
+    assert {tuple(r) for r in core.reference_numbers(targets, refs, ["p", "s"], ["p"], "part").collect()} == want
+
+
 def test_replacements_of_many_like_owners_equal_brute_force(spark):
     rng = random.Random(8)
     for owners in (6, 9, 30):

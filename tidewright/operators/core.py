@@ -130,6 +130,22 @@ def reference_join(targets: DataFrame, references: DataFrame, exact: list[str],
     return hit.unionByName(weak.withColumn("quality", F.lit("candidate")))
 
 
+def reference_numbers(targets: DataFrame, references: DataFrame, exact: list[str], candidate: list[str], target_id: str) -> DataFrame:
+    """``target_id, exact, candidate``: how many references each target has by either key; what reference_join gives, counted without its pairs.
+
+    ``candidate`` is part of ``exact``, so that each exact reference is taken off the candidates. Targets are distinct rows; references of equal exact keys count once; targets without any reference have zeros.
+    """
+    if not {*candidate} <= {*exact}:
+        raise ValueError("the candidate key must be part of the exact one")
+    # Dealt by the weaker key, which serves all three counts, so that references are shuffled once; a number of partitions that is told isn't made less, which keeps tasks small.
+    parts = int(references.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = references.select(*exact).repartition(parts, *candidate).groupBy(*exact).agg(F.lit(1).cast("bigint").alias("_n"))
+    sure = targets.join(n, exact).groupBy(target_id).agg(F.sum("_n").alias("_e"))
+    weak = targets.select(target_id, *candidate).join(n.groupBy(*candidate).agg(F.sum("_n").alias("_w")), candidate, "left").groupBy(target_id).agg(F.sum("_w").alias("_w"))
+    e, w = (F.coalesce(c, F.lit(0)) for c in ("_e", "_w"))
+    return weak.join(sure, target_id, "left").select(target_id, e.alias("exact"), (w - e).alias("candidate"))
+
+
 def dealt_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The inner join by equal ``keys`` where few keys have many rows on both sides, so that pairs are far more than rows (repeated rows give repeated pairs).
 
