@@ -8,10 +8,13 @@ document frequencies are needed for that part only. N-grams of one document alon
 but can't link anything, which leaves most documents without a key.
 
 1. Documents with equal sets form a class; only one member of each goes on.
-2. Classes with identical prefixes and size form a group; each group has one key for every prefix
-   n-gram and size band (a link spans two neighbouring bands at most).
-3. Groups that meet under a key belong to one cluster. Each group is paired with the smallest group of the key
-   alone, so pairs stay as many as keys, however large a group of copies is.
+2. Classes of identical prefix, size and sketch (the n-grams of the first part) form a group; each group has one key for every
+   prefix n-gram and size band (a link spans two neighbouring bands at most).
+3. Two groups that meet under a key of at most ``FEW`` groups belong to one cluster if their sizes, the places of the key's
+   n-gram in them and their sketches leave room for a link: n-grams that only one of two sets has are at most
+   (100 - s) / (100 + s) of both sizes. So chance meetings don't tie a corpus together as it grows. A more frequent key is divided by a second
+   n-gram, as linked sets share two within prefixes that are longer by one; where that is frequent too, each group is
+   paired with the smallest one alone, so pairs stay as many as keys, however large a group of copies is.
 4. Groups are expanded, and the classes of a cluster are verified on their whole sets: those of a
    cluster are dealt into chunks of bounded size and number, and every two chunks meet in a task of their own, which
    counts shared n-grams of all its pairs at once and returns a spanning forest of its links. Chunks whose
@@ -34,6 +37,8 @@ from .components import components
 ROOM = 2.0
 #: Members of a chunk at most, and n-grams in it about.
 CHUNK, CHUNK_GRAMS = 512, 600_000
+#: Groups of a key of which all pairs are looked at.
+FEW = 64
 #: Bits of the map that tells n-grams of one class alone from others before they are shuffled.
 MAP_BITS = 1 << 26
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -79,7 +84,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
         sizes, digests, firsts = [], [], []
         for text in batch_bytes(b.column("text")):
             s = shingles(text, n)
-            first = s[: max(int(np.searchsorted(s, theta)), int(prefix_size(np.array(len(s)), percent)))] if len(s) else s
+            first = s[: max(int(np.searchsorted(s, theta)), int(prefix_size(np.array(len(s)), percent)) + 1)] if len(s) else s
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             # Sets of under ten can only reach a share of 0.9 if they are equal, and so on for other shares.
@@ -173,24 +178,62 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Staged ``class, n, prefix, grp`` of the classes that share a prefix n-gram with another; a class is the number of the member that stands for it."""
+    """Staged ``class, n, alone, prefix, further, sketch, grp`` (alone: n-grams of the first part in no other class, which come before; further: the prefix and the n-gram after it; sketch: the first part's other n-grams) of the classes that share a prefix n-gram with another; a class is the number of the member that stands for it."""
     # Classes of equal sets; the member with the smallest number stands for each.
     held = sets.where("size(first) > 0")
     numbers = held.select(F.xxhash64("digest", "n").alias("set"), "id")
     others = numbers.join(numbers.groupBy("set").agg(F.min("id").alias("class")), "set").where("id != class").select("id")
     chosen = drop_rows(held, stage(others, "join-others"), ["id"])
     grams = chosen.select(F.col("id").alias("class"), "n", F.size("first").alias("held"), "first")
+    ahead = lambda x: (x >= 0) & (x < F.lit(first_part(percent)))
 
     # Prefix keys: n-grams of one class alone come first and fill the prefix, the others follow by (part of the space, frequency, hash).
     each = grams.select(F.explode("first").alias("gram"))
     frequent = stage(each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "join-frequent")
     each = _possibly(grams, frequent)
-    later = F.when((F.col("gram") >= 0) & (F.col("gram") < F.lit(first_part(percent))), 0).otherwise(1)
+    later = F.when(ahead(F.col("gram")), 0).otherwise(1)
     shared = each.join(frequent, "gram").groupBy("class").agg(F.array_sort(F.collect_list(F.struct(later.alias("later"), "df", "gram"))).alias("shared"))
     need = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("bigint") + 1
-    room = (need - F.col("held") + F.size("shared")).cast("int")
-    prefixes = grams.drop("first").join(shared, "class").where(room > 0).select("class", "n", F.transform(F.slice("shared", 1, room), lambda x: x.gram).alias("prefix"))
-    return stage(prefixes.withColumn("grp", F.xxhash64("n", "prefix")), "join-prefixes")
+    alone = F.size(F.filter("first", ahead)) - F.size(F.filter("shared", lambda x: x.later == 0))
+    # Beyond the first part the order is that of hashes, and a set holds one n-gram more than its prefix has.
+    last, room = F.element_at("first", -1), F.greatest(need - alone, F.lit(0)).cast("int")
+    tail = (F.col("held") > need) & ~ahead(last)
+    prefix = F.when(tail, F.filter("shared", lambda x: x.gram != last)).otherwise(F.slice("shared", F.lit(1), room))
+    further = F.when(tail, F.col("shared")).otherwise(F.slice("shared", F.lit(1), room + 1))
+    names = lambda c: F.transform(c, lambda x: x.gram)
+    prefixes = grams.join(shared, "class").where(F.size(prefix) > 0).select("class", "n", alone.alias("alone"), names(prefix).alias("prefix"), names(further).alias("further"), names(F.filter("shared", lambda x: x.later == 0)).alias("sketch"))
+    return stage(prefixes.withColumn("grp", F.xxhash64("n", "alone", "prefix", "further", "sketch")), "join-prefixes")
+
+
+def _met(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Staged ``a, b``: pairs of groups whose components are the clusters."""
+    bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100.0 - 1e-9)).cast("bigint") if percent < 100 else F.col("n")
+    groups = stage(prefixes.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("n", "alone", "prefix", "further", "sketch")]), "join-groups")
+    # Only what one set has and not the other, at most so many n-grams: of the first n-gram that two sets share, all before it.
+    most = F.floor((100 - percent) * (F.col("n") + F.col("m")) / (100 + percent))
+
+    def under(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of groups that may be near under keys of few groups, and the rows of the other keys."""
+        several = stage(keys.groupBy("key").agg(F.min("grp").alias("least"), F.count("*").alias("many")).where("many > 1"), "join-keys")
+        held = keys.join(several.where(F.col("many") <= FEW).select("key"), "key")
+        other = held.select("key", F.col("grp").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"))
+        may = (F.col("a") < F.col("b")) & (F.col("at") + F.col("place") <= most) & (F.abs(F.col("n") - F.col("m")) <= most)
+        return held.withColumnRenamed("grp", "a").join(other, "key").where(may).select("a", "b").distinct(), keys.join(several.where(F.col("many") > FEW), "key")
+
+    keys = groups.select("grp", "n", "alone", F.posexplode("prefix").alias("at", "gram"), bands.alias("band"))
+    keys = keys.select("grp", "n", (F.col("alone") + F.col("at")).alias("at"), "gram", F.explode(F.array(F.xxhash64("gram", "band"), F.xxhash64("gram", F.col("band") + 1))).alias("key"))
+    pairs, hot = under(keys)
+    # Sets of which a link needs one n-gram alone have no second one.
+    second = F.concat(F.array_except("further", F.array("gram")), F.when(F.col("n") * percent <= 100, F.array("gram")).otherwise(F.array().cast("array<bigint>")))
+    twice = hot.select("grp", "n", "at", "gram", "key").join(groups.select("grp", "further"), "grp").select("grp", "n", "at", "key", F.explode(second).alias("second"))
+    more, hot = under(stage(twice.select("grp", "n", "at", F.xxhash64("key", "second").alias("key")), "join-twice"))
+    star = hot.where("grp != least").select(F.col("grp").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = pairs.unionByName(more).distinct()
+    one = groups.select(F.col("grp").alias("a"), "n", "alone", "sketch")
+    two = groups.select(F.col("grp").alias("b"), F.col("n").alias("m"), F.col("alone").alias("lone"), F.col("sketch").alias("line"))
+    apart = F.col("alone") + F.col("lone") + F.size("sketch") + F.size("line") - 2 * F.size(F.array_intersect("sketch", "line"))
+    near = stage(pairs, "join-pairs").join(one, "a").join(two, "b").where(apart <= most).select("a", "b")
+    return stage(star.unionByName(near), "join-met")
 
 
 def _possibly(grams: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -218,13 +261,7 @@ def _possibly(grams: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def _components_of(rows: DataFrame, light: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame:
     """Staged ``set, component_id`` of every set, from the prefixes of those that may have links."""
-    bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100.0 - 1e-9)).cast("bigint") if percent < 100 else F.col("n")
-    groups = prefixes.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keys = groups.select("grp", F.explode("prefix").alias("gram"), bands.alias("band"))
-    keys = keys.select("grp", F.explode(F.array(F.xxhash64("gram", "band"), F.xxhash64("gram", F.col("band") + 1))).alias("key"))
-    least = keys.groupBy("key").agg(F.min("grp").alias("least"), F.count("*").alias("many")).where("many > 1")
-    met = keys.join(least, "key").where("grp != least").select(F.col("grp").alias("a"), F.col("least").alias("b")).distinct()
-    of_group = stage(components(stage(met, "join-met")), "join-clusters")
+    of_group = stage(components(_met(prefixes, percent)), "join-clusters")
 
     # Classes of the clusters, with groups of several classes expanded, and their whole sets.
     several = prefixes.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")
