@@ -16,6 +16,9 @@ from .core import cut, forget
 FADED = 0.3
 STOPS = ("LOW_CONFIDENCE_EDGE", "DEPTH_LIMIT_REACHED", "CONFIDENCE_DECAYED", "SYSTEM_CODE_REACHED", "FRAMEWORK_BOUNDARY")
 
+#: Edges that are sent to every task where a length of walks has no more of them, so that many rows at few nodes stay spread out.
+FEW = 50_000
+
 
 def edge_cost(confidence: Column) -> Column:
     """1, 2 or 5 for high, medium and any other confidence."""
@@ -46,21 +49,46 @@ def least_costs(edges: DataFrame, seeds: DataFrame, limit: int, cost: str | None
     """
     steps = edges.where("caller IS NOT NULL AND callee IS NOT NULL").groupBy("callee", "caller").agg((F.min(cost) if cost else F.lit(1)).cast("bigint").alias("step"))
     steps = cut(steps.where(F.col("step") <= limit).repartition("callee"))
-    best = seeds.where("seed IS NOT NULL").select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("cost")).distinct()
-    best = cut(best.withColumn("fresh", F.lit(True)).repartition("seed", "node"))
-    for _ in range(limit):
-        frontier = best.where("fresh").select("seed", F.col("node").alias("callee"), "cost")
-        met = frontier.join(steps, "callee").select("seed", F.col("caller").alias("node"), (F.col("cost") + F.col("step")).alias("met")).where(F.col("met") <= limit)
-        met = met.groupBy("seed", "node").agg(F.min("met").alias("met"))
-        # What is known stays where it lies: only what was met is shuffled to it.
-        fresh = F.col("met").isNotNull() & (F.col("cost").isNull() | (F.col("met") < F.col("cost")))
-        new = cut(best.drop("fresh").join(met, ["seed", "node"], "full").select("seed", "node", F.least("cost", "met").alias("cost"), fresh.alias("fresh")))
-        forget(best)
-        best = new
-        if best.where("fresh").isEmpty():
+    now = cut(seeds.where("seed IS NOT NULL").select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("cost")).distinct())
+    once, few = _layers(steps, now.select("node"), limit)
+    levels = [now]
+    for here in few:
+        met = now.select("seed", F.col("node").alias("callee"), "cost").join(steps if here is None else F.broadcast(here), "callee")
+        met = met.select("seed", F.col("caller").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= limit).groupBy("seed", "node").agg(F.min("cost").alias("cost"))
+        if not once:
+            known = reduce(DataFrame.unionByName, levels).select("seed", "node", F.col("cost").alias("least"))
+            met = met.join(known, (met["seed"] == known["seed"]) & (met["node"] == known["node"]) & (F.col("least") <= F.col("cost")), "left_anti")
+        now = cut(met)
+        if now.isEmpty():
+            break
+        levels.append(now)
+    forget(steps, *[e for e in few if e is not None])
+    found = reduce(DataFrame.unionByName, levels)
+    return found if once else found.groupBy("seed", "node").agg(F.min("cost").alias("cost"))
+
+
+def _layers(edges: DataFrame, nodes: DataFrame, limit: int) -> tuple[bool, list[DataFrame | None]]:
+    """Whether each node is reached by walks of one length alone, of up to ``limit`` edges from any of ``nodes``, and, for each length, the edges if they are at most FEW, else None.
+
+    Only nodes are held, not who reaches them. Where walks of different lengths meet, nothing is known of the edges.
+    """
+    now = cut(nodes.distinct())
+    seen, few, once = [now], [], True
+    while len(few) < limit:
+        here = edges.join(now.select(F.col("node").alias("callee")), "callee", "left_semi")
+        if now.count() <= FEW and here.count() <= FEW:
+            few.append(here := cut(here))
+        else:
+            few.append(None)
+        now = cut(here.select(F.col("caller").alias("node")).distinct())
+        seen.append(now)
+        if now.isEmpty():
+            few.pop()
             break
-    forget(steps)
-    return best.select("seed", "node", "cost")
+        if not now.join(reduce(DataFrame.unionByName, seen[:-1]), "node", "left_semi").isEmpty():
+            once, few = False, [None] * limit
+    forget(*seen)
+    return once, few
 
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
