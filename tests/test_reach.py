@@ -40,3 +40,13 @@ def test_what_is_known_is_written_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "cut", lambda df: (out := keep(df), "seed" in df.columns and written.append(out.count()))[0])
     assert graph.least_costs(*chains(spark), 5).count() == 200
     assert sum(written) == 200
+
+
+def test_paths_to_few_nodes_are_not_dealt_by_node(spark, monkeypatch):
+    plans = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df))[1])
+    got = graph.paths(*chains(spark), 5)
+    assert got.groupBy(F.size("path").alias("n")).count().orderBy("n").collect() == [(k, 40) for k in (2, 3, 4, 5)]
+    last = [p for p in plans if "Join Inner" in p]
+    assert last and all("strategy=broadcast" in p for p in last)

@@ -93,13 +93,16 @@ def _layers(edges: DataFrame, nodes: DataFrame, limit: int) -> tuple[bool, list[
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``seed, path`` (array, seed first) of every path without a repeated node, of 1 to ``depth`` edges: for few seeds."""
-    now = seeds.select("seed", F.array("seed").alias("path"))
-    out = None
-    for level in range(1, depth + 1):
-        now = now.join(edges, F.element_at("path", -1) == edges["callee"]).where(~F.array_contains("path", F.col("caller"))).select("seed", F.concat("path", F.array("caller")).alias("path"))
+    edges = cut(edges.select("caller", "callee"))
+    now = cut(seeds.select("seed", F.array("seed").alias("path")))
+    few = _layers(edges, seeds.select(F.col("seed").alias("node")), depth)[1]
+    levels = []
+    for here in few or [None]:
+        now = now.join(edges if here is None else F.broadcast(here), F.element_at("path", -1) == F.col("callee")).where(~F.array_contains("path", F.col("caller"))).select("seed", F.concat("path", F.array("caller")).alias("path"))
         now = cut(now)
-        out = now if out is None else out.unionByName(now)
-    return out
+        levels.append(now)
+    forget(edges)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
