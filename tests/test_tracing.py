@@ -67,6 +67,19 @@ def test_a_node_is_not_followed_again_from_a_worse_state(spark):
     assert [(r.path, r.stop) for r in got.collect()] == [(["a", "c", "d", "e"], "NO_CALLER")]  # the way by b comes to c later and costs more
 
 
+def test_states_are_kept_only_where_walks_of_different_lengths_meet(spark, monkeypatch):
+    kept = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (df.columns == ["seed", "at", "cost", "score"] and kept.append(1), keep(df))[1])
+    high = lambda a, b: (a, b, "high", False, False, False, False)
+    edges = [high("b", "a"), high("c", "b"), high("b2", "a"), high("c", "b2"), high("d", "c")]
+    for more, least in (([], 1), ([high("c", "a")], 2)):
+        kept.clear()
+        got = graph.traced(spark.createDataFrame(edges + more, EDGES), spark.createDataFrame([("a",)], "seed string"), 9)
+        assert {(r.seed, tuple(r.path), r.cost, r.confidence, r["last"], r.stop) for r in got.collect()} == brute(edges + more, {"a": False}, 9)
+        assert len(kept) == 1 if least == 1 else len(kept) > 1
+
+
 def test_topological_levels_equal_brute_force(spark):
     rng = random.Random(2)
     for k in range(3):

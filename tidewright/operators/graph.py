@@ -151,34 +151,40 @@ def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 6
     costs no less and is no surer than one that came there before, or on the same level (ties: the smallest path), isn't followed or given. A path ends where
     ``stop_reason`` says so (``stop``), at a business entry ('BUSINESS_ENTRY'), or where nothing but its own nodes calls its last one ('NO_CALLER').
     """
-    e = cut(edges.where("NOT test").select(F.col("callee").alias("at"), "caller", "confidence", "system", "boundary", "entry").distinct().repartition("at"))
+    e = cut(edges.where("NOT test").select(F.col("callee").alias("at"), "caller", "confidence", "system", "boundary", "entry").repartition("at").distinct())
     exact = F.coalesce(F.col("exact"), F.lit(False)) if "exact" in seeds.columns else F.lit(False)
     larger = adaptive_limit(max_cost, e.count() if "exact" in seeds.columns else 0, True, True)
     limit = F.when(F.col("exact") & F.col("all_high"), larger).otherwise(max_cost)
     now = seeds.groupBy("seed").agg(F.max(exact).alias("exact")).select("seed", "exact", F.array("seed").alias("path"), F.col("seed").alias("at"), F.lit(0).cast("bigint").alias("cost"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("all_high"))
     now = cut(now)
+    once, few = _layers(e.select(F.col("at").alias("callee"), "caller", "confidence", "system", "boundary", "entry"), now.select(F.col("at").alias("node")), max_edges)
     frontier, ended = cut(now.select("seed", "at", "cost", "score")), []
-    for _ in range(max_edges):
-        grown = now.join(e, "at").where("NOT array_contains(path, caller)").select(
+    for k in range(max_edges):
+        # One join gives what follows a path and, where nothing does, the path itself.
+        here = e if k >= len(few) or few[k] is None else F.broadcast(few[k].withColumnRenamed("callee", "at"))
+        here = here.withColumnRenamed("at", "_from")
+        met = now.join(here, (F.col("at") == F.col("_from")) & ~F.array_contains("path", F.col("caller")), "left")
+        grown = met.where("_from IS NOT NULL").select(
             "seed", "exact", F.concat("path", F.array("caller")).alias("path"), F.col("caller").alias("at"), (F.col("cost") + edge_cost(F.col("confidence"))).alias("cost"), (F.col("score") * decay(F.col("confidence"))).alias("score"),
             F.col("confidence").alias("last"), (F.col("all_high") & (F.col("confidence") == "high")).alias("all_high"), "system", "boundary", "entry",
         )
-        further = grown.select("seed", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
-        ends = now.join(further, ["seed", "path"], "left_anti").withColumn("stop", F.lit("NO_CALLER"))
-        f = frontier.select(F.col("seed").alias("_seed"), F.col("at").alias("_at"), F.col("cost").alias("_cost"), F.col("score").alias("_score"))
+        ends = met.where("_from IS NULL").select(*now.columns).withColumn("stop", F.lit("NO_CALLER"))
+        new, f = pareto(grown, ["seed", "at"], "cost", "score", "path"), frontier.select(F.col("seed").alias("_seed"), F.col("at").alias("_at"), F.col("cost").alias("_cost"), F.col("score").alias("_score"))
         beaten = (F.col("seed") == F.col("_seed")) & (F.col("at") == F.col("_at")) & (F.col("_cost") <= F.col("cost")) & (F.col("_score") >= F.col("score"))
-        new = pareto(grown, ["seed", "at"], "cost", "score", "path").join(f, beaten, "left_anti")
+        if not once:  # else no path came there on an earlier level
+            new = new.join(f, beaten, "left_anti")
         stop = F.when(F.col("entry"), "BUSINESS_ENTRY").otherwise(stop_reason(F.col("cost"), limit, F.col("score"), F.col("system"), F.col("boundary"), F.col("last")))
         level = cut(new.withColumn("stop", stop).drop("system", "boundary", "entry").unionByName(ends))
         ended.append(level.where("stop IS NOT NULL"))
-        came = level.where("stop IS NULL OR stop != 'NO_CALLER'").select("seed", "at", "cost", "score")
-        wider = cut(frontier.unionByName(came))
-        forget(frontier)
-        frontier, now = wider, level.where("stop IS NULL")
+        if not once:
+            wider = cut(frontier.unionByName(level.where("stop IS NULL OR stop != 'NO_CALLER'").select("seed", "at", "cost", "score")))
+            forget(frontier)
+            frontier = wider
+        now = level.where("stop IS NULL")
         if now.isEmpty():
             break
     ended.append(now.withColumn("stop", F.lit("DEPTH_LIMIT_REACHED")))
-    forget(frontier, e)
+    forget(frontier, e, *[x for x in few if x is not None])
     return reduce(DataFrame.unionByName, ended).select("seed", "path", "cost", F.round("score", 6).alias("confidence"), "last", "stop")
 
 
