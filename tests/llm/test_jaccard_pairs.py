@@ -46,3 +46,28 @@ def test_links_under_frequent_keys_equal_all_pairs(spark, monkeypatch):
                         least[a] = least[b] = min(least[a], least[b])
         got = jaccard_join.linked(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), percent=percent)
         assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(least))
+
+
+def test_little_is_shuffled_beside_keys(spark, monkeypatch):
+    """Neither the n-grams of whole first parts, nor the members of a key twice."""
+    joined = {}
+    keep = jaccard_join.stage
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    def staged(df, name):
+        inner = [x for x in nodes(df._jdf.queryExecution().optimizedPlan()) if x.nodeName() == "Join" and x.joinType().toString() == "Inner"]
+        joined[name] = [[x.children().apply(k).output().mkString(" ") for k in (0, 1)] for x in inner]
+        return keep(df, name)
+
+    monkeypatch.setattr(jaccard_join, "stage", staged)
+    rng = random.Random(3)
+    base = " ".join(rng.choices(WORDS, k=200))
+    got = jaccard_join.linked(spark.createDataFrame([(1, base), (2, base + " end"), (3, "end of " + base)], "doc_id bigint, text string"))
+    assert [r.component_id for r in got.collect()] == [1, 1, 1]
+    assert joined["join-prefixes"] and not any("first" in side for pair in joined["join-prefixes"] for side in pair)
+    assert not any("grp" in one and "b#" in two for one, two in joined["join-pairs"]) and len(joined["join-pairs"]) == 2
+    assert joined["join-links"] == []  # the sets know their cluster and chunk

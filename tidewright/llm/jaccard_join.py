@@ -41,6 +41,8 @@ CHUNK, CHUNK_GRAMS = 512, 600_000
 FEW = 64
 #: Bits of the map that tells n-grams of one class alone from others before they are shuffled.
 MAP_BITS = 1 << 26
+#: A class, its cluster, the cluster's number of chunks and the class's chunk.
+_DEALT = ("class", "cluster", "chunks", "chunk")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -97,7 +99,8 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
 def _whole(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     check_hash_seed()
     for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([shingles(t, n).tobytes() for t in batch_bytes(b.column("text"))], pa.binary())], ["class", "grams"])
+        grams = pa.array([shingles(t, n).tobytes() for t in batch_bytes(b.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _DEALT], grams], [*_DEALT, "grams"])
 
 
 def links_between(sets: list[np.ndarray], percent: int, label: list[int]) -> list[tuple[int, int]]:
@@ -184,7 +187,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     numbers = held.select(F.xxhash64("digest", "n").alias("set"), "id")
     others = numbers.join(numbers.groupBy("set").agg(F.min("id").alias("class")), "set").where("id != class").select("id")
     chosen = drop_rows(held, stage(others, "join-others"), ["id"])
-    grams = chosen.select(F.col("id").alias("class"), "n", F.size("first").alias("held"), "first")
+    grams = chosen.select(F.col("id").alias("class"), "n", "first")
     ahead = lambda x: (x >= 0) & (x < F.lit(first_part(percent)))
 
     # Prefix keys: n-grams of one class alone come first and fill the prefix, the others follow by (part of the space, frequency, hash).
@@ -192,16 +195,18 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     frequent = stage(each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "join-frequent")
     each = _possibly(grams, frequent)
     later = F.when(ahead(F.col("gram")), 0).otherwise(1)
-    shared = each.join(frequent, "gram").groupBy("class").agg(F.array_sort(F.collect_list(F.struct(later.alias("later"), "df", "gram"))).alias("shared"))
+    shared = each.join(frequent, "gram").select("class", "df", "gram").repartition("class").groupBy("class").agg(F.array_sort(F.collect_list(F.struct(later.alias("later"), "df", "gram"))).alias("shared"))
     need = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("bigint") + 1
-    alone = F.size(F.filter("first", ahead)) - F.size(F.filter("shared", lambda x: x.later == 0))
+    # What a set is asked for beside its shared n-grams: the list of all itself isn't shuffled.
+    about = grams.select("class", "n", F.size("first").alias("held"), F.size(F.filter("first", ahead)).alias("ahead"), F.element_at("first", -1).alias("last"))
+    alone = F.col("ahead") - F.size(F.filter("shared", lambda x: x.later == 0))
     # Beyond the first part the order is that of hashes, and a set holds one n-gram more than its prefix has.
-    last, room = F.element_at("first", -1), F.greatest(need - alone, F.lit(0)).cast("int")
+    last, room = F.col("last"), F.greatest(need - alone, F.lit(0)).cast("int")
     tail = (F.col("held") > need) & ~ahead(last)
     prefix = F.when(tail, F.filter("shared", lambda x: x.gram != last)).otherwise(F.slice("shared", F.lit(1), room))
     further = F.when(tail, F.col("shared")).otherwise(F.slice("shared", F.lit(1), room + 1))
     names = lambda c: F.transform(c, lambda x: x.gram)
-    prefixes = grams.join(shared, "class").where(F.size(prefix) > 0).select("class", "n", alone.alias("alone"), names(prefix).alias("prefix"), names(further).alias("further"), names(F.filter("shared", lambda x: x.later == 0)).alias("sketch"))
+    prefixes = about.join(shared, "class").where(F.size(prefix) > 0).select("class", "n", alone.alias("alone"), names(prefix).alias("prefix"), names(further).alias("further"), names(F.filter("shared", lambda x: x.later == 0)).alias("sketch"))
     return stage(prefixes.withColumn("grp", F.xxhash64("n", "alone", "prefix", "further", "sketch")), "join-prefixes")
 
 
@@ -210,15 +215,16 @@ def _met(prefixes: DataFrame, percent: int) -> DataFrame:
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100.0 - 1e-9)).cast("bigint") if percent < 100 else F.col("n")
     groups = stage(prefixes.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("n", "alone", "prefix", "further", "sketch")]), "join-groups")
     # Only what one set has and not the other, at most so many n-grams: of the first n-gram that two sets share, all before it.
-    most = F.floor((100 - percent) * (F.col("n") + F.col("m")) / (100 + percent))
+    most = lambda n, m: F.floor((100 - percent) * (n + m) / (100 + percent))
 
     def under(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of groups that may be near under keys of few groups, and the rows of the other keys."""
         several = stage(keys.groupBy("key").agg(F.min("grp").alias("least"), F.count("*").alias("many")).where("many > 1"), "join-keys")
-        held = keys.join(several.where(F.col("many") <= FEW).select("key"), "key")
-        other = held.select("key", F.col("grp").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"))
-        may = (F.col("a") < F.col("b")) & (F.col("at") + F.col("place") <= most) & (F.abs(F.col("n") - F.col("m")) <= most)
-        return held.withColumnRenamed("grp", "a").join(other, "key").where(may).select("a", "b").distinct(), keys.join(several.where(F.col("many") > FEW), "key")
+        held = keys.join(several.where(F.col("many") <= FEW).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("grp", "n", "at")).alias("all"))
+        x = {c: F.col(f"x.{c}") for c in ("grp", "n", "at")}
+        may = lambda y: (x["grp"] < y["grp"]) & (x["at"] + y["at"] <= most(x["n"], y["n"])) & (F.abs(x["n"] - y["n"]) <= most(x["n"], y["n"]))
+        pairs = held.select(F.explode("all").alias("x"), "all").select(x["grp"].alias("a"), F.explode(F.filter("all", may)).alias("y"))
+        return pairs.select("a", F.col("y.grp").alias("b")).distinct(), keys.join(several.where(F.col("many") > FEW), "key")
 
     keys = groups.select("grp", "n", "alone", F.posexplode("prefix").alias("at", "gram"), bands.alias("band"))
     keys = keys.select("grp", "n", (F.col("alone") + F.col("at")).alias("at"), "gram", F.explode(F.array(F.xxhash64("gram", "band"), F.xxhash64("gram", F.col("band") + 1))).alias("key"))
@@ -232,7 +238,7 @@ def _met(prefixes: DataFrame, percent: int) -> DataFrame:
     one = groups.select(F.col("grp").alias("a"), "n", "alone", "sketch")
     two = groups.select(F.col("grp").alias("b"), F.col("n").alias("m"), F.col("alone").alias("lone"), F.col("sketch").alias("line"))
     apart = F.col("alone") + F.col("lone") + F.size("sketch") + F.size("line") - 2 * F.size(F.array_intersect("sketch", "line"))
-    near = stage(pairs, "join-pairs").join(one, "a").join(two, "b").where(apart <= most).select("a", "b")
+    near = stage(pairs, "join-pairs").join(one, "a").join(two, "b").where(apart <= most(F.col("n"), F.col("m"))).select("a", "b")
     return stage(star.unionByName(near), "join-met")
 
 
@@ -268,29 +274,29 @@ def _components_of(rows: DataFrame, light: DataFrame, prefixes: DataFrame, n: in
     in_play = of_group.select(F.col("node").alias("grp")).unionByName(several).distinct()
     members = prefixes.join(in_play, "grp").join(of_group.withColumnRenamed("node", "grp"), "grp", "left")
     members = stage(members.select("class", "n", F.coalesce("component", "grp").alias("cluster")), "join-members")
-    at = stage(light.select(F.col("id").alias("class"), "file", "row").join(bounded(members.select("class")), "class"), "join-at")
-    texts = rows.join(bounded(at), ["file", "row"]).select("class", "text")
-    whole = stage(texts.mapInArrow(lambda it: _whole(it, n), "class bigint, grams binary"), "join-whole")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("total"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("many") / CHUNK), F.ceil(F.col("total") / CHUNK_GRAMS)).cast("int").alias("chunks"))
     dealt = members.join(sizes, "cluster").select("class", "cluster", "chunks", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int").alias("chunk"))
     dealt = stage(dealt, "join-dealt")
+    at = stage(light.select(F.col("id").alias("class"), "file", "row").join(bounded(dealt), "class"), "join-at")
+    texts = rows.join(bounded(at), ["file", "row"]).select(*_DEALT, "text")
+    whole = stage(texts.mapInArrow(lambda it: _whole(it, n), "class bigint, cluster bigint, chunks int, chunk int, grams binary"), "join-whole")
 
     def tiles(of: DataFrame, others) -> DataFrame:
-        both = of.withColumn("other", F.explode(others)).select("class", "label", "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-        return both.join(whole, "class").groupBy("cluster", "i", "j").applyInPandas(lambda key, pdf: _verify(key, pdf, percent), "a bigint, b bigint")
+        both = of.withColumn("other", F.explode(others)).select("class", "label", "grams", "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+        return both.groupBy("cluster", "i", "j").applyInPandas(lambda key, pdf: _verify(key, pdf, percent), "a bigint, b bigint")
 
     # First each chunk by itself and with chunk 0, then, where that leaves a cluster in parts, the other pairs of chunks.
     own = F.array_distinct(F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0), F.col("chunk"))))
-    edges = stage(tiles(dealt.withColumn("label", F.col("class")), own), "join-links")
+    edges = stage(tiles(whole.withColumn("label", F.col("class")), own), "join-links")
     large = dealt.where("chunks > 2")
     if not large.isEmpty():
         part = stage(components(edges), "join-parts")
         large = large.join(part.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
         apart = large.groupBy("cluster").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("cluster")
-        rest = large.join(apart, "cluster").where("chunk > 0")
+        rest = stage(large.join(apart, "cluster").where("chunk > 0").select("class", "label"), "join-rest")
         further = F.filter(F.sequence(F.lit(1), F.col("chunks") - 1), lambda x: x != F.col("chunk"))
-        edges = stage(edges.unionByName(tiles(rest, further)), "join-links")
+        edges = stage(edges.unionByName(tiles(whole.where("chunks > 2 AND chunk > 0").join(bounded(rest), "class"), further)), "join-links")
     part = components(edges).withColumnRenamed("node", "class")
 
     # The smallest identifier of each component, given to all its sets.
