@@ -85,3 +85,12 @@ def test_files_of_rounds_are_removed(spark):
     assert there()
     forget(df, spark.range(2))
     assert not there()
+
+
+def test_values_of_a_place_travel_in_blocks(spark):
+    literals = [("main", k, "c0", 0, f"v{k:03}", None, None) for k in range(130)] + [("main", 130, "c0", 0, None, None, None)]
+    a, l, _ = frames(spark, [*literals, ("c0", 0, "c1", 0, None, 0, None), ("c1", 0, "c0", 0, None, 0, None)], [], [("c1", 0)])
+    sets, names = propagation.value_sets(a, l)
+    assert names.count() == 131 and sets.count() <= 2 * (names.select("block").distinct().count()) < 131
+    got = [tuple(r) for r in propagation.named(sets, names).collect()]
+    assert len(got) == 262 and set(got) == {(m, 0, v) for m in ("c0", "c1") for v in [None, *(f"v{k:03}" for k in range(130))]}
