@@ -1,5 +1,6 @@
 """Reachability on graphs with and without layers, and what it writes on the way."""
 
+import os
 import random
 
 import pytest
@@ -50,3 +51,26 @@ def test_paths_to_few_nodes_are_not_dealt_by_node(spark, monkeypatch):
     assert got.groupBy(F.size("path").alias("n")).count().orderBy("n").collect() == [(k, 40) for k in (2, 3, 4, 5)]
     last = [p for p in plans if "Join Inner" in p]
     assert last and all("strategy=broadcast" in p for p in last)
+
+
+@pytest.mark.parametrize("few", (0, 50_000))
+def test_edges_are_dealt_to_the_level_they_belong_to(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    n, read = 40, []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := keep(df), read.append((df.columns, out.count())))[0])
+    edges, seeds = chains(spark, n)
+    for run in (lambda: graph.least_costs(edges, seeds, 5), lambda: graph.paths(edges, seeds, 5)):
+        read.clear()
+        run()
+        # 160 edges in four levels: each level takes its own out of what is left, instead of all being dealt again.
+        assert [c for names, c in read if "_here" in names] == [160, 120, 80, 40, 0]
+
+
+def test_levels_are_held_as_compressed_columns(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("P"), (F.col("id") % 50).cast("string")).alias("seed"), F.lit("node of a long name").alias("node"))
+    out = graph.cut(df)
+    files = out.inputFiles()
+    assert files and sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in files) < 100_000 and out.count() == 20_000
+    graph.forget(out)
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)

@@ -7,11 +7,13 @@ total order given by the caller, so results don't depend on how rows are dealt t
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows that dealt_join packs in one array, about.
 PACK = 4096
@@ -257,6 +259,12 @@ def global_rank(df: DataFrame, order: list, rank: str = "rank") -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder, so that lost executors and long lineages do no harm."""
+    _folder(df)
+    return df.checkpoint()
+
+
+def _folder(df: DataFrame) -> str:
+    """The application's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -266,16 +274,34 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tidewright-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder as Parquet: for many rows, which take a fraction of the room that ``cut`` needs. How rows are dealt is not kept."""
+    path = f"{_folder(df)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete the files of frames that ``cut`` has written and that nothing reads any more."""
+    """Delete the files of frames that ``cut`` or ``stored`` has written and that nothing reads any more."""
     for df in frames:
-        plan = df._jdf.queryExecution().analyzed()
-        if plan.getClass().getSimpleName() != "LogicalRDD":
-            continue
-        held = plan.rdd().getCheckpointFile()
-        if held.isDefined():
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(held.get())
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if (path := getattr(df, "stored_at", None)) is None:
+            plan = df._jdf.queryExecution().analyzed()
+            if plan.getClass().getSimpleName() != "LogicalRDD":
+                continue
+            held = plan.rdd().getCheckpointFile()
+            if not held.isDefined():
+                continue
+            path = held.get()
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

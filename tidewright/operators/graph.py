@@ -1,7 +1,7 @@
 """Reverse reachability over call graphs: bounded loops of equi-joins with pruning before every level.
 
 A level's frontier is reduced before it is joined again, so paths are never enumerated where distances or
-frontiers are asked for. Every level is cut from the lineage with a reliable checkpoint, so that none is computed twice.
+frontiers are asked for. Every level is written to the checkpoint folder as Parquet, so that none is computed twice; an edge is dealt only to the level that it belongs to.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .core import cut, forget
+from .core import forget, release, stored as cut
 
 #: A path's confidence below which it isn't followed, and the stop reasons.
 FADED = 0.3
@@ -47,61 +47,66 @@ def least_costs(edges: DataFrame, seeds: DataFrame, limit: int, cost: str | None
     ``edges`` has caller and callee, and a positive integer ``cost`` column or else each edge costs 1; repeated edges count by the cheapest,
     null ends lead nowhere. ``seeds`` has seed; repeated ones count once. Without seeds the result is empty.
     """
-    steps = edges.where("caller IS NOT NULL AND callee IS NOT NULL").groupBy("callee", "caller").agg((F.min(cost) if cost else F.lit(1)).cast("bigint").alias("step"))
-    steps = cut(steps.where(F.col("step") <= limit).repartition("callee"))
+    # Dealt before it is grouped, so that edges are shuffled once.
+    steps = edges.where("caller IS NOT NULL AND callee IS NOT NULL").select("callee", "caller", (F.col(cost) if cost else F.lit(1)).cast("bigint").alias("step"))
+    steps = cut(steps.repartition("callee").groupBy("callee", "caller").agg(F.min("step").alias("step")).where(F.col("step") <= limit))
     now = cut(seeds.where("seed IS NOT NULL").select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("cost")).distinct())
-    once, few = _layers(steps, now.select("node"), limit)
+    once, layers, files = _layers(steps, now.select("node"), limit)
     levels = [now]
-    for here in few:
-        met = now.select("seed", F.col("node").alias("callee"), "cost").join(steps if here is None else F.broadcast(here), "callee")
+    for here in layers if once else [steps] * limit:
+        met = now.select("seed", F.col("node").alias("callee"), "cost").join(here, "callee")
         met = met.select("seed", F.col("caller").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).where(F.col("cost") <= limit).groupBy("seed", "node").agg(F.min("cost").alias("cost"))
         if not once:
             known = reduce(DataFrame.unionByName, levels).select("seed", "node", F.col("cost").alias("least"))
             met = met.join(known, (met["seed"] == known["seed"]) & (met["node"] == known["node"]) & (F.col("least") <= F.col("cost")), "left_anti")
-        now = cut(met)
+        now, met = cut(met), None
+        release(now.sparkSession)
         if now.isEmpty():
             break
         levels.append(now)
-    forget(steps, *[e for e in few if e is not None])
+    forget(steps, *files)
     found = reduce(DataFrame.unionByName, levels)
     return found if once else found.groupBy("seed", "node").agg(F.min("cost").alias("cost"))
 
 
-def _layers(edges: DataFrame, nodes: DataFrame, limit: int) -> tuple[bool, list[DataFrame | None]]:
-    """Whether each node is reached by walks of one length alone, of up to ``limit`` edges from any of ``nodes``, and, for each length, the edges if they are at most FEW, else None.
+def _layers(edges: DataFrame, nodes: DataFrame, limit: int) -> tuple[bool, list[DataFrame], list[DataFrame]]:
+    """Whether each node is reached by walks of one length alone, of up to ``limit`` edges from any of ``nodes``; if so, the edges of each length, marked for broadcast if they are at most FEW; and what was written for them.
 
-    Only nodes are held, not who reaches them. Where walks of different lengths meet, nothing is known of the edges.
+    Only nodes are held, not who reaches them. The edges of a length are taken out before the next one is looked for, as no other length has them. Where walks of different lengths meet, nothing is known of the edges.
     """
     now = cut(nodes.distinct())
-    seen, few, once = [now], [], True
-    while len(few) < limit:
-        here = edges.join(now.select(F.col("node").alias("callee")), "callee", "left_semi")
-        if now.count() <= FEW and here.count() <= FEW:
-            few.append(here := cut(here))
-        else:
-            few.append(None)
+    rest, seen, layers, files, once = edges, [now], [], [], True
+    while once and len(layers) < limit:
+        split = cut(rest.join(now.select(F.col("node").alias("callee"), F.lit(True).alias("_here")), "callee", "left"))
+        files.append(split)
+        here, rest = split.where("_here").drop("_here"), split.where("_here IS NULL").drop("_here")
+        layers.append(F.broadcast(here) if now.count() <= FEW and here.count() <= FEW else here)
         now = cut(here.select(F.col("caller").alias("node")).distinct())
         seen.append(now)
         if now.isEmpty():
-            few.pop()
+            layers.pop()
             break
-        if not now.join(reduce(DataFrame.unionByName, seen[:-1]), "node", "left_semi").isEmpty():
-            once, few = False, [None] * limit
+        once = now.join(reduce(DataFrame.unionByName, seen[:-1]), "node", "left_semi").isEmpty()
+        release(edges.sparkSession)
     forget(*seen)
-    return once, few
+    if not once:
+        forget(*files)
+        return False, [], []
+    return True, layers, files
 
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``seed, path`` (array, seed first) of every path without a repeated node, of 1 to ``depth`` edges: for few seeds."""
     edges = cut(edges.select("caller", "callee"))
     now = cut(seeds.select("seed", F.array("seed").alias("path")))
-    few = _layers(edges, seeds.select(F.col("seed").alias("node")), depth)[1]
+    once, layers, files = _layers(edges, seeds.select(F.col("seed").alias("node")), depth)
     levels = []
-    for here in few or [None]:
-        now = now.join(edges if here is None else F.broadcast(here), F.element_at("path", -1) == F.col("callee")).where(~F.array_contains("path", F.col("caller"))).select("seed", F.concat("path", F.array("caller")).alias("path"))
+    for here in layers or [edges] if once else [edges] * depth:
+        now = now.join(here, F.element_at("path", -1) == F.col("callee")).where(~F.array_contains("path", F.col("caller"))).select("seed", F.concat("path", F.array("caller")).alias("path"))
         now = cut(now)
+        release(now.sparkSession)
         levels.append(now)
-    forget(edges)
+    forget(edges, *files)
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -157,11 +162,11 @@ def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 6
     limit = F.when(F.col("exact") & F.col("all_high"), larger).otherwise(max_cost)
     now = seeds.groupBy("seed").agg(F.max(exact).alias("exact")).select("seed", "exact", F.array("seed").alias("path"), F.col("seed").alias("at"), F.lit(0).cast("bigint").alias("cost"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("all_high"))
     now = cut(now)
-    once, few = _layers(e.select(F.col("at").alias("callee"), "caller", "confidence", "system", "boundary", "entry"), now.select(F.col("at").alias("node")), max_edges)
+    once, layers, files = _layers(e.withColumnRenamed("at", "callee"), now.select(F.col("at").alias("node")), max_edges)
     frontier, ended = cut(now.select("seed", "at", "cost", "score")), []
     for k in range(max_edges):
         # One join gives what follows a path and, where nothing does, the path itself.
-        here = e if k >= len(few) or few[k] is None else F.broadcast(few[k].withColumnRenamed("callee", "at"))
+        here = e if not once else layers[k].withColumnRenamed("callee", "at") if k < len(layers) else e.where("false")
         here = here.withColumnRenamed("at", "_from")
         met = now.join(here, (F.col("at") == F.col("_from")) & ~F.array_contains("path", F.col("caller")), "left")
         grown = met.where("_from IS NOT NULL").select(
@@ -184,7 +189,7 @@ def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 6
         if now.isEmpty():
             break
     ended.append(now.withColumn("stop", F.lit("DEPTH_LIMIT_REACHED")))
-    forget(frontier, e, *[x for x in few if x is not None])
+    forget(frontier, e, *files)
     return reduce(DataFrame.unionByName, ended).select("seed", "path", "cost", F.round("score", 6).alias("confidence"), "last", "stop")
 
 
