@@ -74,3 +74,13 @@ def test_levels_are_held_as_compressed_columns(spark):
     assert files and sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in files) < 100_000 and out.count() == 20_000
     graph.forget(out)
     assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
+
+
+def test_a_path_is_written_without_its_seed_beside_it(spark, monkeypatch):
+    written = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (written.append(df.columns), keep(df))[1])
+    edges, seeds = chains(spark, 3)
+    got = graph.paths(edges, seeds, 2)
+    assert {(r.seed, tuple(r.path)) for r in got.collect()} == {(f"a{i}", p) for i in range(3) for p in ((f"a{i}", f"b{i}"), (f"a{i}", f"b{i}", f"c{i}"))}
+    assert [names for names in written if "path" in names] == [["path"], ["path"]]

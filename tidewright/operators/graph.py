@@ -98,16 +98,17 @@ def _layers(edges: DataFrame, nodes: DataFrame, limit: int) -> tuple[bool, list[
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``seed, path`` (array, seed first) of every path without a repeated node, of 1 to ``depth`` edges: for few seeds."""
     edges = cut(edges.select("caller", "callee"))
-    now = cut(seeds.select("seed", F.array("seed").alias("path")))
+    now = seeds.select(F.array("seed").alias("path"))
     once, layers, files = _layers(edges, seeds.select(F.col("seed").alias("node")), depth)
     levels = []
     for here in layers or [edges] if once else [edges] * depth:
-        now = now.join(here, F.element_at("path", -1) == F.col("callee")).where(~F.array_contains("path", F.col("caller"))).select("seed", F.concat("path", F.array("caller")).alias("path"))
+        # The seed is the first of its path and isn't written beside it.
+        now = now.join(here, F.element_at("path", -1) == F.col("callee")).where(~F.array_contains("path", F.col("caller"))).select(F.concat("path", F.array("caller")).alias("path"))
         now = cut(now)
         release(now.sparkSession)
         levels.append(now)
     forget(edges, *files)
-    return reduce(DataFrame.unionByName, levels)
+    return reduce(DataFrame.unionByName, levels).select(F.element_at("path", 1).alias("seed"), "path")
 
 
 def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
