@@ -107,3 +107,14 @@ def test_topological_of_empty_tables(spark):
     none = spark.createDataFrame([], "before int, after int")
     assert graph.topological(none.selectExpr("before AS node"), none).count() == 0
     assert [tuple(r) for r in graph.topological(spark.createDataFrame([(4,)], "node int"), none).collect()] == [(4, 0)]
+
+
+def test_paths_are_held_without_their_ends_and_edges_of_a_level_are_dealt_once(spark, monkeypatch):
+    written = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := keep(df), written.append((df.columns, out.count())))[0])
+    high = lambda a, b: (a, b, "high", False, False, False, False)
+    edges = [high("b", "a"), high("b2", "a"), high("c", "b"), high("c", "b2"), high("d", "c"), high("e", "d")]
+    got = graph.traced(spark.createDataFrame(edges, EDGES), spark.createDataFrame([("a",), ("lone",)], "seed string"), 9)
+    assert {(r.seed, tuple(r.path), r.cost, r.confidence, r["last"], r.stop) for r in got.collect()} == brute(edges, {"a": False, "lone": False}, 9)
+    assert all("path" not in names for names, _ in written) and [n for names, n in written if "_here" in names] == [6, 4, 2, 1, 0]

@@ -157,25 +157,31 @@ def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 6
     costs no less and is no surer than one that came there before, or on the same level (ties: the smallest path), isn't followed or given. A path ends where
     ``stop_reason`` says so (``stop``), at a business entry ('BUSINESS_ENTRY'), or where nothing but its own nodes calls its last one ('NO_CALLER').
     """
+    # Dealt before repeated ones are taken out, so that edges are shuffled once.
     e = cut(edges.where("NOT test").select(F.col("callee").alias("at"), "caller", "confidence", "system", "boundary", "entry").repartition("at").distinct())
     exact = F.coalesce(F.col("exact"), F.lit(False)) if "exact" in seeds.columns else F.lit(False)
     larger = adaptive_limit(max_cost, e.count() if "exact" in seeds.columns else 0, True, True)
     limit = F.when(F.col("exact") & F.col("all_high"), larger).otherwise(max_cost)
-    now = seeds.groupBy("seed").agg(F.max(exact).alias("exact")).select("seed", "exact", F.array("seed").alias("path"), F.col("seed").alias("at"), F.lit(0).cast("bigint").alias("cost"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("all_high"))
+    # A path is held as its seed, what is between, and its last node; null is between where it has no edge yet.
+    nodes = f"array<{edges.schema['caller'].dataType.simpleString()}>"
+    now = seeds.groupBy("seed").agg(F.max(exact).alias("exact")).select("seed", "exact", F.lit(None).cast(nodes).alias("between"), F.col("seed").alias("at"), F.lit(0).cast("bigint").alias("cost"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("all_high"))
     now = cut(now)
     once, layers, files = _layers(e.withColumnRenamed("at", "callee"), now.select(F.col("at").alias("node")), max_edges)
     frontier, ended = cut(now.select("seed", "at", "cost", "score")), []
+    grows = F.coalesce(F.concat("between", F.array("at")), F.array().cast(nodes))
+    new_node = (F.col("caller") != F.col("seed")) & (F.col("caller") != F.col("at")) & ~F.coalesce(F.array_contains("between", F.col("caller")), F.lit(False))
     for k in range(max_edges):
         # One join gives what follows a path and, where nothing does, the path itself.
         here = e if not once else layers[k].withColumnRenamed("callee", "at") if k < len(layers) else e.where("false")
         here = here.withColumnRenamed("at", "_from")
-        met = now.join(here, (F.col("at") == F.col("_from")) & ~F.array_contains("path", F.col("caller")), "left")
+        met = now.join(here, (F.col("at") == F.col("_from")) & new_node, "left")
         grown = met.where("_from IS NOT NULL").select(
-            "seed", "exact", F.concat("path", F.array("caller")).alias("path"), F.col("caller").alias("at"), (F.col("cost") + edge_cost(F.col("confidence"))).alias("cost"), (F.col("score") * decay(F.col("confidence"))).alias("score"),
+            "seed", "exact", grows.alias("between"), F.col("caller").alias("at"), (F.col("cost") + edge_cost(F.col("confidence"))).alias("cost"), (F.col("score") * decay(F.col("confidence"))).alias("score"),
             F.col("confidence").alias("last"), (F.col("all_high") & (F.col("confidence") == "high")).alias("all_high"), "system", "boundary", "entry",
         )
         ends = met.where("_from IS NULL").select(*now.columns).withColumn("stop", F.lit("NO_CALLER"))
-        new, f = pareto(grown, ["seed", "at"], "cost", "score", "path"), frontier.select(F.col("seed").alias("_seed"), F.col("at").alias("_at"), F.col("cost").alias("_cost"), F.col("score").alias("_score"))
+        # Paths of a level are of one length, so that what is between orders them as the whole paths do.
+        new, f = pareto(grown, ["seed", "at"], "cost", "score", "between"), frontier.select(F.col("seed").alias("_seed"), F.col("at").alias("_at"), F.col("cost").alias("_cost"), F.col("score").alias("_score"))
         beaten = (F.col("seed") == F.col("_seed")) & (F.col("at") == F.col("_at")) & (F.col("_cost") <= F.col("cost")) & (F.col("_score") >= F.col("score"))
         if not once:  # else no path came there on an earlier level
             new = new.join(f, beaten, "left_anti")
@@ -186,12 +192,14 @@ def traced(edges: DataFrame, seeds: DataFrame, max_cost: int, max_edges: int = 6
             wider = cut(frontier.unionByName(level.where("stop IS NULL OR stop != 'NO_CALLER'").select("seed", "at", "cost", "score")))
             forget(frontier)
             frontier = wider
-        now = level.where("stop IS NULL")
+        now, met, grown, ends, new, f = level.where("stop IS NULL"), None, None, None, None, None
+        release(e.sparkSession)
         if now.isEmpty():
             break
     ended.append(now.withColumn("stop", F.lit("DEPTH_LIMIT_REACHED")))
     forget(frontier, e, *files)
-    return reduce(DataFrame.unionByName, ended).select("seed", "path", "cost", F.round("score", 6).alias("confidence"), "last", "stop")
+    path = F.coalesce(F.concat(F.array("seed"), "between", F.array("at")), F.array("seed")).alias("path")
+    return reduce(DataFrame.unionByName, ended).select("seed", path, "cost", F.round("score", 6).alias("confidence"), "last", "stop")
 
 
 def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
