@@ -141,3 +141,13 @@ def test_replacements_of_many_like_owners_equal_brute_force(spark):
         frames = [spark.createDataFrame(sorted(side), "g int, o int, m string") for side in sides]
         got = core.set_replacements(*frames, "g", "o", "m").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_of_a_product_take_little_room_where_they_are_written(spark, tmp_path):
+    left, right = spark.range(800).selectExpr("0 AS k", "id * 7 AS a"), spark.range(20_000).selectExpr("0 AS k", "id * 3 AS b")
+    out = str(tmp_path / "pairs")
+    core.dealt_join(left, right, ["k"]).write.parquet(out)
+    size = sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet"))
+    got = spark.read.parquet(out).selectExpr("count(*) AS n", "sum(a) AS a", "sum(b) AS b").collect()[0]
+    assert tuple(got) == (16_000_000, 20_000 * 7 * 799 * 400, 800 * 3 * 19_999 * 10_000)
+    assert size < 0.6 * 16_000_000

@@ -15,8 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Rows that dealt_join packs in one array, about.
-PACK = 4096
+#: Rows that dealt_join packs in one array, about: a few dozen times fewer than a page of Parquet has, so that a pack that is given again and again is compressed away. Rows of a block, about: as many times it is given at once.
+PACK, BLOCK = 256, 128
 
 
 def zip_join(base: DataFrame, current: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -151,16 +151,17 @@ def reference_numbers(targets: DataFrame, references: DataFrame, exact: list[str
 def dealt_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The inner join by equal ``keys`` where few keys have many rows on both sides, so that pairs are far more than rows (repeated rows give repeated pairs).
 
-    Rows of ``left`` are dealt to a fixed number of blocks; those of ``right`` go to every block, packed in arrays of about PACK. So each task makes an equal share of any key's pairs, and
-    nothing but the two sides is shuffled or held.
+    Rows of ``left`` are dealt to blocks of about BLOCK; those of ``right`` go to every block, packed in arrays of about PACK. So each task makes an equal share of any key's pairs, and
+    nothing but the two sides is shuffled or held. A pack is given for one row of its block after the other: pairs, where they are written, repeat within short runs and take a fraction of a byte each.
     """
-    blocks, packs = 4 * left.sparkSession.sparkContext.defaultParallelism, -(-right.count() // PACK) or 1
+    parts, packs = 4 * left.sparkSession.sparkContext.defaultParallelism, -(-right.count() // PACK) or 1
+    blocks = max(parts, -(-left.count() // BLOCK))
     mine, other = ([c for c in df.columns if c not in keys] for df in (left, right))
     one = left.withColumn("_block", F.pmod(F.xxhash64(*mine), F.lit(blocks)))
-    packed = right.groupBy(*keys, F.pmod(F.xxhash64(*other), F.lit(packs)).alias("_pack")).agg(F.collect_list(F.struct(*other)).alias("_rows"))
+    packed = right.withColumn("_pack", F.pmod(F.xxhash64(*other), F.lit(packs))).repartition(parts, "_pack").groupBy(*keys, "_pack").agg(F.collect_list(F.struct(*other)).alias("_rows"))
     every = packed.select(*keys, "_rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"))
-    by = lambda df: df.repartition(blocks, "_block")
-    return by(one).join(by(every).hint("shuffle_hash"), [*keys, "_block"]).select(*keys, *mine, F.explode("_rows").alias("_row")).select(*keys, *mine, *[F.col("_row")[c].alias(c) for c in other])
+    by = lambda df: df.repartition(parts, "_block")
+    return by(one).hint("shuffle_hash").join(by(every), [*keys, "_block"]).select(*keys, *mine, F.explode("_rows").alias("_row")).select(*keys, *mine, *[F.col("_row")[c].alias(c) for c in other])
 
 
 def reconcile(analyzer: DataFrame, oracle: DataFrame, identity: list[str], relation: list[str], valid: Column | None = None, present: Column | None = None) -> DataFrame:
